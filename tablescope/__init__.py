@@ -9,3 +9,11 @@ object); import them from the modules below.
 ``plans``      cleaning step lists and the catalogue of registered queries
 ``streaming``  the stateful stream operator
 """
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions of this package travel to the executors by value, so that grouped
+# pandas tasks run there without the package being installed.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -157,3 +157,34 @@ def running_last(
     local = blocks.withColumn(name, F.last("_value", ignorenulls=True).over(inside))
     out = _join_carry(local, carry, keys).withColumn(name, F.coalesce(quoted(name), F.col("_carry")))
     return out.drop(BLOCK, "_carry", "_value")
+
+
+def rolling(
+    df: DataFrame,
+    name: str,
+    aggregate: Column,
+    length: int,
+    order: Sequence[str],
+    keys: Sequence[str] = (),
+    task_rows: int = TASK_ROWS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Add an aggregate over the last ``length`` rows per key, this row included.
+
+    For a large key the rows are numbered, cut into numbered chunks, and the
+    last ``length - 1`` rows of each chunk are lent to the next one.
+    """
+    part = [quoted(k) for k in keys]
+    _, largest = group_sizes(df, keys)
+    if largest <= task_rows:
+        w = W.partitionBy(*part).orderBy(*[quoted(c) for c in order]).rowsBetween(-(length - 1), 0)
+        return df.withColumn(name, aggregate.over(w))
+    chunk = max(block_rows, length)
+    placed = positions(df, "_pos", order, keys, task_rows=task_rows, block_rows=block_rows)
+    own = F.floor((F.col("_pos") - 1) / chunk)
+    lent = (F.col("_pos") - 1) % chunk >= chunk - (length - 1)
+    copies = placed.withColumn("_own", own).withColumn(
+        "_chunk", F.explode(F.when(lent, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))
+    )
+    w = W.partitionBy("_chunk", *part).orderBy("_pos").rowsBetween(-(length - 1), 0)
+    return copies.withColumn(name, aggregate.over(w)).where("_chunk = _own").drop("_pos", "_own", "_chunk")
