@@ -45,8 +45,8 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _numeric_stage(df: DataFrame, columns: Sequence[str], scaling: str) -> SQLTransformer:
-    """Median imputation and scaling in one projection; a zero divisor counts as one."""
+def _numeric_stage(df: DataFrame, columns: Sequence[str], scaling: str, offset: float) -> SQLTransformer:
+    """Median imputation, scaling and a shift in one projection; a zero divisor counts as one."""
     q = quantile_values(df, columns, [0.25, 0.5, 0.75])
     empty = [c for c in columns if q[c][1] is None]
     if empty:
@@ -74,7 +74,7 @@ def _numeric_stage(df: DataFrame, columns: Sequence[str], scaling: str) -> SQLTr
         else:
             centre, spread = row[f"a{i}"], row[f"b{i}"]
         value = f"coalesce(CAST({_sql_name(c)} AS DOUBLE), {q[c][1]!r}D)"
-        made.append(f"({value} - {centre!r}D) / {spread or 1.0!r}D AS {_sql_name('_num_' + c)}")
+        made.append(f"({value} - {centre!r}D) / {spread or 1.0!r}D + {offset!r}D AS {_sql_name('_num_' + c)}")
     return SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")
 
 
@@ -100,8 +100,12 @@ def fit_preparation(
     categorical: Sequence[str],
     scaling: str = "standard",
     encoding: str = "onehot",
+    offset: float = 0.0,
 ) -> Preparation:
-    """Learn the preparation on ``df``.  Unknown categories become all zeros (one-hot) or -1 (ordinal)."""
+    """Learn the preparation on ``df``.  Unknown categories become all zeros (one-hot) or -1 (ordinal).
+
+    ``offset`` shifts the scaled numbers; distances do not change.
+    """
     for c in [*numeric, *categorical]:
         require_column(df, c)
     if not numeric and not categorical:
@@ -110,7 +114,7 @@ def fit_preparation(
         raise ValueError(f"unknown encoding {encoding!r}")
     stages, inputs, names = [], [], []
     if numeric:
-        stages.append(_numeric_stage(df, numeric, scaling))
+        stages.append(_numeric_stage(df, numeric, scaling, offset))
         inputs += [f"_num_{c}" for c in numeric]
         names += [f"num__{c}" for c in numeric]
     if categorical:

@@ -304,7 +304,9 @@ def _nominal(n: int) -> dict:
 
 
 def _cluster(df, name, hyper, numeric, categorical, left_out, seed, scaling, encoding) -> Trained:
-    preparation = fit_preparation(df, numeric, categorical, scaling, encoding)
+    # bisecting k-means splits a cluster by noise in proportion to its centre, which must not be zero
+    offset = 1.0 if name == "hierarchical" else 0.0
+    preparation = fit_preparation(df, numeric, categorical, scaling, encoding, offset)
     prepared = preparation.pipeline.transform(df)
     estimator = _clusterer(name, hyper, seed)
     _no_leftovers(name, hyper)
