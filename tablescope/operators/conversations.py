@@ -86,20 +86,12 @@ def mentions(
     needles = needles.withColumn("gram", F.left("needle", F.lit(GRAM)))
     lengths = [r[0] for r in needles.select(F.length("gram")).distinct().collect()]
     rows = messages.select(*keys, low.alias("_low"))
-    grams = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.when(
-                        F.length("_low") >= g,
-                        F.transform(
-                            F.sequence(F.lit(1), F.length("_low") - (g - 1)), lambda i, g=g: F.substring(F.col("_low"), i, F.lit(g))
-                        ),
-                    ).otherwise(F.array().cast("array<string>"))
-                    for g in lengths
-                ]
-            )
-        )
-    )
+
+    def substrings(g: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("_low") - (g - 1))
+        cut = F.transform(starts, lambda i: F.substring(F.col("_low"), i, F.lit(g)))
+        return F.when(F.length("_low") >= g, cut).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.flatten(F.array(*[substrings(g) for g in lengths])))
     pairs = rows.select("*", F.explode(grams).alias("gram")).join(needles, "gram")
     return pairs.where(F.contains("_low", F.col("needle"))).select(*keys, "id").distinct()

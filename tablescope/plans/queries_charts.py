@@ -148,12 +148,12 @@ def judged_documents(t: Tables) -> DataFrame:
     "roc_curve",
     f"""WITH s AS (SELECT quality, n_chars::DOUBLE AS score FROM labels JOIN documents USING (doc_id)),
       g AS (SELECT score, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality <> 1) AS neg FROM s GROUP BY 1),
-      r AS (SELECT score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, row_number() OVER w AS at,
+      r AS (SELECT score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, row_number() OVER w AS spot,
                    lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg, sum(pos) OVER () AS p, sum(neg) OVER () AS n
             FROM g WINDOW w AS (ORDER BY score DESC)),
-      k AS (SELECT at, tp, fp, p, n FROM r WHERE at = 1 OR next_pos IS NULL OR pos <> next_pos OR neg <> next_neg
+      k AS (SELECT spot, tp, fp, p, n FROM r WHERE spot = 1 OR next_pos IS NULL OR pos <> next_pos OR neg <> next_neg
             UNION ALL SELECT 0, 0, 0, max(p), max(n) FROM r),
-      o AS (SELECT *, row_number() OVER (ORDER BY at) AS position, count(*) OVER () AS m FROM k)
+      o AS (SELECT *, row_number() OVER (ORDER BY spot) AS position, count(*) OVER () AS m FROM k)
       SELECT position, {rsql('fp / n', 8)} AS fpr, {rsql('tp / p', 8)} AS tpr FROM o
       WHERE (position - 1) % (CASE WHEN m > 100 THEN floor(m / 100.0)::BIGINT ELSE 1 END) = 0
       UNION ALL SELECT max(m) + 1, 1.0, 1.0 FROM o""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from ..operators import stats
+from ..operators import evaluate, stats
 from ..sources.tables import Tables
 from .registry import query
 from .shared import EVENTS_WITH_GAPS, events_with_gaps, rounded, rsql
@@ -127,4 +127,4 @@ def daily_mean(t: Tables) -> DataFrame:
 
 @query("cluster_sizes", "SELECT label AS cluster, count(*) AS count FROM embeddings GROUP BY 1")
 def cluster_sizes(t: Tables) -> DataFrame:
-    return t.embeddings.groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("count"))
+    return evaluate.cluster_sizes(t.embeddings, "label")

@@ -7,15 +7,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..sources.tables import Tables
 
 
+def _nudge(digits: int) -> float:
+    """Far below the last digit kept: moves exact halves, which engines settle differently, off the edge."""
+    return 2.71828 * 10.0 ** -(digits + 3)
+
+
 def rounded(c: Column | str, digits: int = 4) -> Column:
     """Rounded, and never negative zero."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits) + F.lit(0.0)
+    return F.round(c + F.lit(_nudge(digits)), digits) + F.lit(0.0)
 
 
 def rsql(expression: str, digits: int = 4) -> str:
     """The same in SQL."""
-    return f"(round({expression}, {digits}) + 0e0)"
+    return f"(round(({expression}) + {_nudge(digits):.5e}, {digits}) + 0e0)"
 
 
 def events_with_gaps(t: Tables) -> DataFrame:

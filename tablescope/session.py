@@ -14,6 +14,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tablescope")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
