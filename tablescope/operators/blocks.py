@@ -50,6 +50,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition by key into a fixed number of tasks, for grouped Python work.
+
+    Adaptive execution merges partitions by their bytes; groups that are small
+    but slow to work on would then all end up in one task.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *[quoted(k) for k in keys])
+
+
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     """(rows, rows of the largest key), from a map-side combined count."""
     row = (

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import quoted
 from ..functions.solvers import arima, exponential_smoothing
+from .blocks import spread_groups
 from .series import calendar_point, forecast_metrics, resample, trend
 
 # Algorithm names, and the names reported when a simpler one had to do.
@@ -101,7 +102,7 @@ def fit_series(
             part["method_used"] = method
         return pd.concat([test.reindex(columns=names), future.reindex(columns=names)])
 
-    return series.groupBy(*[quoted(k) for k in keys]).applyInPandas(one, out)
+    return spread_groups(series, keys).groupBy(*[quoted(k) for k in keys]).applyInPandas(one, out)
 
 
 def forecast(

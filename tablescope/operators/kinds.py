@@ -92,16 +92,30 @@ def _two_valued(df: DataFrame, columns: list[str]) -> set[str]:
     """Columns with exactly two distinct values, both boolean words.
 
     No distinct count is needed: a numeric column qualifies when it holds 0 and
-    1 and nothing else, and the spellings of ten words are few enough for a set.
+    1 and nothing else.  Only text columns made of such words throughout get a
+    second look; the spellings of ten words are few enough for a set.
     """
     checks = []
     for i, c in enumerate(columns):
         v = quoted(c)
-        word = F.lower(v.cast("string")).isin(BOOLEAN_WORDS) if not is_numeric(df, c) else v.isin(0, 1)
-        checks.append(F.count_if(v.isNotNull() & ~word).alias(f"other{i}"))
-        checks.append(F.size(F.collect_set(F.when(word, v.cast("string")))).alias(f"found{i}"))
+        if is_numeric(df, c):
+            checks += [F.count_if(v == 0).alias(f"a{i}"), F.count_if(v == 1).alias(f"b{i}"), F.count(v).alias(f"n{i}")]
+        else:
+            word = F.lower(v.cast("string")).isin(BOOLEAN_WORDS)
+            checks += [F.count_if(word).alias(f"a{i}"), F.lit(0).alias(f"b{i}"), F.count(v).alias(f"n{i}")]
     row = df.agg(*checks).first()
-    return {c for i, c in enumerate(columns) if row[f"other{i}"] == 0 and row[f"found{i}"] == 2}
+    found, texts = set(), []
+    for i, c in enumerate(columns):
+        a, b, n = row[f"a{i}"], row[f"b{i}"], row[f"n{i}"]
+        if is_numeric(df, c):
+            if a and b and a + b == n:
+                found.add(c)
+        elif n and a == n:
+            texts.append(c)
+    if texts:
+        sets = df.agg(*[F.size(F.collect_set(quoted(c).cast("string"))).alias(f"k{i}") for i, c in enumerate(texts)]).first()
+        found |= {c for i, c in enumerate(texts) if sets[f"k{i}"] == 2}
+    return found
 
 
 def kinds_table(df: DataFrame, mode: str = "full") -> DataFrame:

@@ -89,9 +89,15 @@ def profile(df: DataFrame) -> DataFrame:
         ]
     )
     base = df.sparkSession.range(0, 1, 1, 1).select(F.explode(facts).alias("f")).select("f.*")
-    out = base.join(F.broadcast(null_counts(df)), "column").join(F.broadcast(distinct_counts(df)), "column")
+    out = base.join(F.broadcast(null_counts(df)), "column")
+    others = [c for c in df.columns if c not in numbers]
+    figures = None
     if numbers:
-        out = out.join(F.broadcast(describe_numeric(df, numbers, rows).drop("n")), "column", "left")
+        figures = describe_numeric(df, numbers, rows).drop("n")
+    if others:
+        rest = distinct_counts(df, others)
+        figures = rest if figures is None else figures.unionByName(rest, allowMissingColumns=True)
+    out = out.join(F.broadcast(figures), "column", "left")
     return out.withColumn("cardinality_ratio", F.col("distinct_count") / F.greatest(F.lit(rows), F.lit(1)))
 
 

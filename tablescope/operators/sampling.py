@@ -52,18 +52,23 @@ def split(
             values = list(sizes)
             cuts = order_statistics(
                 marked,
-                [(F.when(quoted(label).eqNullSafe(F.lit(v)), F.col("_h")), shares[v] - 1) for v in values],
+                {
+                    f"h{i}": (F.when(quoted(label).eqNullSafe(F.lit(v)), F.col("_h")), lambda _, r=shares[v] - 1: [r])
+                    for i, v in enumerate(values)
+                },
                 direct_rows,
             )
             hit = F.lit(False)
-            for v, cut in zip(values, cuts):
+            for i, v in enumerate(values):
+                cut = cuts[f"h{i}"][1].get(shares[v] - 1)
                 if cut is not None:
                     mine = quoted(label).eqNullSafe(F.lit(v))
                     hit = hit | (mine & _below(marked.where(mine), cut, shares[v], key))
             return marked.withColumn("is_test", hit).drop("_h")
     rows = df.count()
     wanted = -int(-rows * test_fraction // 1)
-    cut = order_statistics(marked, [(F.col("_h"), wanted - 1)], direct_rows)[0] if wanted else None
+    found = order_statistics(marked, {"h": (F.col("_h"), lambda _: [wanted - 1])}, direct_rows)["h"][1]
+    cut = found.get(wanted - 1)
     hit = F.lit(False) if cut is None else _below(marked, cut, wanted, key)
     return marked.withColumn("is_test", hit).drop("_h")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import (
     double,
@@ -19,7 +19,7 @@ from ..functions.columns import (
 )
 from .blocks import TASK_ROWS, running_totals
 from .lookups import broadcast_if_small
-from .quantiles import DIRECT_ROWS, quantiles
+from .quantiles import quantiles
 
 STATISTICS = [
     "mean", "median", "mode", "variance", "std", "min", "max", "range",
@@ -43,6 +43,18 @@ def value_counts(df: DataFrame, columns: Sequence[str], cast: str = "string") ->
     return unpivot(df, columns, cast).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def numeric_value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n) of numeric columns with doubles as values.
+
+    Whole numbers are counted as such first, so ids beyond 2**53 stay distinct.
+    """
+    whole = [c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)]
+    rest = [c for c in columns if c not in whole]
+    parts = [value_counts(df, names, cast) for names, cast in ((whole, "bigint"), (rest, "double")) if names]
+    parts = [p.withColumn("value", F.col("value").cast("double")) for p in parts]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, distinct_count) of non-null values, from 128-bit value fingerprints.
 
@@ -69,64 +81,67 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, mode) of numeric columns; the smallest of the tied values."""
+    """(column, mode, distinct_count) of numeric columns; the smallest of the tied values."""
     return (
-        value_counts(df, columns, "double")
+        numeric_value_counts(df, columns)
         .groupBy("column")
-        .agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
+        .agg(
+            F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
+            F.count(F.lit(1)).alias("distinct_count"),
+        )
     )
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, rows: int | None = None) -> DataFrame:
     """One row per numeric column with mean, quantiles, spread and shape.
 
-    One aggregate for all columns.  Quantiles are exact: inside that aggregate
-    for small tables, by rank narrowing for large ones.  The mode comes from
-    value counts, so no task holds all distinct values of a column.
+    The moments of all columns are one map-side combined aggregate over the
+    long form (short generated code whatever the number of columns), exact
+    quantiles come from ``quantiles``, and mode and distinct count from value
+    counts, so no task holds all distinct values of a column.
     """
     columns = list(numeric_columns(df) if columns is None else columns)
     for c in columns:
         require_numeric(df, c)
-    rows = df.count() if rows is None else rows
-    small = rows <= DIRECT_ROWS
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    outside = None if small else quantiles(df, columns, [0.25, 0.5, 0.75], rows)
-    parts = []
-    for i, c in enumerate(columns):
-        v = double(c)
-        parts.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(v).alias("n"),
-                finite(F.avg(v)).alias("mean"),
-                finite(F.var_samp(v)).alias("variance"),
-                finite(F.stddev_samp(v)).alias("std"),
-                finite(F.min(v)).alias("min"),
-                finite(F.max(v)).alias("max"),
-                finite(F.max(v) - F.min(v)).alias("range"),
-                (F.percentile(v, probs) if small else F.array(*outside[c])).alias("q"),
-                sample_skewness(v).alias("skewness"),
-                sample_kurtosis(v).alias("kurtosis"),
-            ).alias(f"s{i}")
+    quarters = quantiles(df, columns, [0.25, 0.5, 0.75], rows)
+    v = F.col("value")
+    figures = (
+        unpivot(df, columns, "double")
+        .groupBy("column")
+        .agg(
+            F.count(v).alias("n"),
+            finite(F.avg(v)).alias("mean"),
+            finite(F.var_samp(v)).alias("variance"),
+            finite(F.stddev_samp(v)).alias("std"),
+            finite(F.min(v)).alias("min"),
+            finite(F.max(v)).alias("max"),
+            sample_skewness(v).alias("skewness"),
+            sample_kurtosis(v).alias("kurtosis"),
         )
-    one = df.agg(*parts)
-    wide = one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(columns))])).alias("s")).select("s.*")
+    )
+    cells = [
+        F.struct(F.lit(c).alias("column"), *[q.alias(k) for k, q in zip(("q25", "q50", "q75"), quarters[c])])
+        for c in columns
+    ]
+    names = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    wide = names.join(F.broadcast(figures), "column", "left")
     return wide.join(F.broadcast(modes(df, columns)), "column", "left").select(
         "column",
-        "n",
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
         "mean",
-        F.get("q", F.lit(1)).alias("median"),
+        F.col("q50").alias("median"),
         "mode",
         "variance",
         "std",
         "min",
         "max",
-        "range",
-        F.get("q", F.lit(0)).alias("q25"),
-        F.get("q", F.lit(1)).alias("q50"),
-        F.get("q", F.lit(2)).alias("q75"),
+        finite(F.col("max") - F.col("min")).alias("range"),
+        "q25",
+        "q50",
+        "q75",
         "skewness",
         "kurtosis",
+        F.coalesce("distinct_count", F.lit(0)).cast("bigint").alias("distinct_count"),
     )
 
 
@@ -232,7 +247,7 @@ def average_ranks(df: DataFrame, columns: Sequence[str], task_rows: int = TASK_R
     Ranks come from value counts, so a value held by a third of the rows is
     one row here, and running totals over the values give the rest.
     """
-    counts = value_counts(df, columns, "double")
+    counts = numeric_value_counts(df, columns)
     totals = running_totals(counts, {"upto": F.col("n")}, ["value"], ["column"], task_rows=task_rows)
     return totals.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0).drop("upto")
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.columns import micros, quoted
-from .blocks import TASK_ROWS, cut_lineage, group_sizes
+from .blocks import TASK_ROWS, cut_lineage, group_sizes, spread_groups
 
 # The limits per minute for an address and for a user.
 WINDOW_SECONDS = 60
@@ -86,7 +86,8 @@ def throttle(
         return pdf[columns]
 
     if largest <= task_rows:
-        decided = events.withColumn("_chunk", F.lit(0).cast("bigint")).groupBy("_key").applyInPandas(lambda pdf: run(pdf), schema)
+        whole = spread_groups(events.withColumn("_chunk", F.lit(0).cast("bigint")), ["_key"])
+        decided = whole.groupBy("_key").applyInPandas(lambda pdf: run(pdf), schema)
     else:
         decided = _in_chunks(events, order, limit, window, rows, largest, task_rows, run, schema)
     return decided.select(F.col("_key").alias(key), *[quoted(c) for c in order], F.col("_us").alias("ts_us"), "accepted")
@@ -130,7 +131,7 @@ def _in_chunks(
         return done.assign(_large=pdf["_large"].iloc[0])
 
     def solve(pdfs: DataFrame, carry: DataFrame) -> DataFrame:
-        return pdfs.groupBy(*same).cogroup(carry.groupBy(*same)).applyInPandas(pair, full)
+        return spread_groups(pdfs, same).groupBy(*same).cogroup(carry.groupBy(*same)).applyInPandas(pair, full)
 
     used = cut_lineage(carried(events))
     decided = cut_lineage(solve(events, used))

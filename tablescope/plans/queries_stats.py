@@ -29,8 +29,8 @@ def _describe_sql(table: str, columns: list[str]) -> str:
 
 def _tidy(df: DataFrame) -> DataFrame:
     digits = {"variance": 2}
-    done = [c for c in df.columns if c not in ("column", "n", "mode", "min", "max")]
-    return df.withColumns({c: rounded(c, digits.get(c, 4)) for c in done})
+    done = [c for c in df.columns if c not in ("column", "n", "mode", "min", "max", "distinct_count")]
+    return df.drop("distinct_count").withColumns({c: rounded(c, digits.get(c, 4)) for c in done})
 
 
 @query("describe_numeric", _describe_sql("lineitem", _MEASURES))
