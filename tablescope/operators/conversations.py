@@ -88,9 +88,8 @@ def mentions(
     rows = messages.select(*keys, low.alias("_low"))
 
     def substrings(g: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("_low") - (g - 1))
-        cut = F.transform(starts, lambda i: F.substring(F.col("_low"), i, F.lit(g)))
-        return F.when(F.length("_low") >= g, cut).otherwise(F.array().cast("array<string>"))
+        # a look-ahead matches at every character, so one pass gives all overlapping substrings
+        return F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1))
 
     grams = F.array_distinct(F.flatten(F.array(*[substrings(g) for g in lengths])))
     pairs = rows.select("*", F.explode(grams).alias("gram")).join(needles, "gram")
