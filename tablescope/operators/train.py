@@ -93,10 +93,14 @@ def _boosted(hyper: dict, seed: int) -> dict:
     }
 
 
-def _regressor(name: str, hyper: dict, seed: int, train: DataFrame) -> Estimator:
+TINY_PENALTY = 1e-6
+"""Picks the shortest of the equally good solutions when indicator columns add up to one."""
+
+
+def _regressor(name: str, hyper: dict, seed: int, train: DataFrame, redundant: bool = False) -> Estimator:
     common = _common()
     if name == "linear_regression":
-        return LinearRegression(**common, regParam=0.0)
+        return LinearRegression(**common, elasticNetParam=0.0, standardization=False, regParam=TINY_PENALTY if redundant else 0.0)
     if name == "ridge":
         # Spark divides the squared error by n and the penalty by the label's deviation
         row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_label").alias("sd")).first()
@@ -230,7 +234,8 @@ def _regress(rows, target, name, hyper, preparation, left_out, key, test_fractio
     prepared = preparation.pipeline.transform(rows).withColumn("_label", double(target))
     parted = split(prepared, key, test_fraction, seed)
     part = parted.where(~F.col("is_test"))
-    estimator = _regressor(name, hyper, seed, part)
+    redundant = any(n.startswith("cat__") for n in preparation.names)
+    estimator = _regressor(name, hyper, seed, part, redundant)
     _no_leftovers(name, hyper)
     model, seconds = _fit(estimator, part)
     scored = model.transform(parted.where("is_test")).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import evaluate, explain, sampling, train
+from ..operators import cluster, evaluate, explain, sampling, train
 from ..sources.tables import Tables
 from .queries_charts import SCORED_LINES, judged_documents, scored_lines
 from .registry import query
@@ -324,3 +324,23 @@ def local_surrogate(t: Tables) -> DataFrame:
     trained = expensive_model(t, "logistic_regression")
     dearest = t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5)
     return explain.local_surrogate(trained, t.orders, dearest, ["o_orderkey"])
+
+
+@query(
+    "nearest_labels",
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+  d AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rn FROM e a, e b),
+  n AS (SELECT vec_id, label, count(*) AS votes FROM d WHERE rn <= 5 GROUP BY 1, 2),
+  w AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) AS rn FROM n)
+  SELECT vec_id, label AS prediction FROM w WHERE rn = 1""",
+)
+def nearest_labels(t: Tables) -> DataFrame:
+    """Every vector gets the majority label of its five nearest vectors, itself included."""
+    return cluster.assign_clusters(t.embeddings, "vec_id", "label", "embedding", t.embeddings, "vec_id")
+
+
+@query("cluster_density")
+def cluster_density(t: Tables) -> DataFrame:
+    """Density clusters of the parts over size and price; compared with brute force in the tests."""
+    parts = t.part.select("p_partkey", "p_size", (F.col("p_retailprice") / 10).alias("price"))
+    return cluster.dbscan(parts, "p_partkey", ["p_size", "price"], eps=1.0, min_samples=6)
