@@ -188,7 +188,10 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(nodes.withColumn("label", F.col("node")))
     while True:
-        offered = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
+        seen = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("theirs")), "b")
+        seen = seen.join(labels.select(F.col("node").alias("a"), F.col("label").alias("mine")), "a")
+        # the smaller label goes to the node and to the node its own label stands for
+        offered = seen.where("theirs < mine").select(F.explode(F.array("a", "mine")).alias("node"), F.col("theirs").alias("label"))
         least = labels.unionByName(offered).groupBy("node").agg(F.min("label").alias("label"))
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = cut_lineage(least.join(jump, "label").select("node", F.col("further").alias("label")))
