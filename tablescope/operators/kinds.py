@@ -43,11 +43,17 @@ def coerce_dates(df: DataFrame) -> DataFrame:
     return df.withColumns({c: quoted(c).try_cast("timestamp") for c in found}) if found else df
 
 
-def classify(df: DataFrame, mode: str = "full", rows: int | None = None, approx: bool = False) -> dict[str, str]:
+def classify(
+    df: DataFrame,
+    mode: str = "full",
+    rows: int | None = None,
+    approx: bool = False,
+    distinct: dict[str, int] | None = None,
+) -> dict[str, str]:
     """Kind of every column.  Runs a few one-row aggregates; nothing per row reaches the driver.
 
-    ``approx`` counts distinct texts with a sketch when only the categorical
-    versus text decision needs them.
+    ``approx`` counts distinct texts with a sketch, for the categorical versus
+    text decision only; ``distinct`` hands over counts that are already known.
     """
     dates = set(parsable_dates(df))
     kinds: dict[str, str] = {}
@@ -77,7 +83,9 @@ def classify(df: DataFrame, mode: str = "full", rows: int | None = None, approx:
             texts.append(c)
     if texts:
         rows = df.count() if rows is None else rows
-        if approx:
+        if distinct is not None:
+            distinct = {c: distinct[c] for c in texts}
+        elif approx:
             one = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(texts)]).first()
             distinct = {c: one[f"d{i}"] for i, c in enumerate(texts)}
         else:

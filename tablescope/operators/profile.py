@@ -75,8 +75,11 @@ def approx_bytes(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: kind, type, nulls, distinct values and, for numbers, moments and quantiles."""
     rows = df.count()
-    kinds = classify(df, "full", rows)
     numbers = [c for c in df.columns if isinstance(df.schema[c].dataType, T.NumericType)]
+    others = [c for c in df.columns if c not in numbers]
+    # one row per column
+    distinct = {r["column"]: r["distinct_count"] for r in distinct_counts(df, others).collect()} if others else {}
+    kinds = classify(df, "full", rows, distinct=distinct)
     facts = F.array(
         *[
             F.struct(
@@ -84,20 +87,18 @@ def profile(df: DataFrame) -> DataFrame:
                 F.lit(c).alias("column"),
                 F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
                 F.lit(k).alias("kind"),
+                F.lit(distinct.get(c)).cast("bigint").alias("_distinct"),
             )
             for i, (c, k) in enumerate(kinds.items())
         ]
     )
     base = df.sparkSession.range(0, 1, 1, 1).select(F.explode(facts).alias("f")).select("f.*")
     out = base.join(F.broadcast(null_counts(df)), "column")
-    others = [c for c in df.columns if c not in numbers]
-    figures = None
     if numbers:
-        figures = describe_numeric(df, numbers, rows).drop("n")
-    if others:
-        rest = distinct_counts(df, others)
-        figures = rest if figures is None else figures.unionByName(rest, allowMissingColumns=True)
-    out = out.join(F.broadcast(figures), "column", "left")
+        out = out.join(F.broadcast(describe_numeric(df, numbers, rows).drop("n")), "column", "left")
+        out = out.withColumn("distinct_count", F.coalesce("_distinct", "distinct_count")).drop("_distinct")
+    else:
+        out = out.withColumnRenamed("_distinct", "distinct_count")
     return out.withColumn("cardinality_ratio", F.col("distinct_count") / F.greatest(F.lit(rows), F.lit(1)))
 
 

@@ -280,7 +280,8 @@ def detect_series(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         if keys:
             base = sizes.join(facts, list(keys), "left")
         else:
-            base = sizes.join(F.broadcast(facts), F.lit(True), "left")
+            # one row each
+            base = sizes.withColumns({c: facts.select(c).scalar() for c in facts.columns})
     few = F.col("total") < MIN_ROWS
     undated = F.lit(date_column is None)
     warnings = F.array_compact(
