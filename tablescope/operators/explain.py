@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -191,9 +190,3 @@ def local_surrogate(
         return pd.DataFrame({**{k: group[i] for i, k in enumerate(key)}, "feature": [names[j] for j in top], "weight": beta[top]})
 
     return answered.groupBy(*keys).applyInPandas(solve, out)
-
-
-def model_outputs(model: Model, rows: DataFrame, which: int = 0) -> DataFrame:
-    """Rows with the explained number in ``f`` (``rows`` holding the prepared vector)."""
-    scored = model.transform(rows)
-    return scored.withColumn("f", _output(scored, which))

@@ -13,7 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import double, quoted, require_column
+from ..functions.columns import double, require_column
 from .clean import MAX_CATEGORIES
 from .quantiles import quantiles
 from .stats import value_counts
@@ -47,11 +47,11 @@ def _sql_text(value: str) -> str:
 
 def _numeric_stage(df: DataFrame, columns: Sequence[str], scaling: str, offset: float) -> SQLTransformer:
     """Median imputation, scaling and a shift in one projection; a zero divisor counts as one."""
-    q = quantile_values(df, columns, [0.25, 0.5, 0.75])
-    empty = [c for c in columns if q[c][1] is None]
+    medians = {c: q[0] for c, q in quantile_values(df, columns, [0.5]).items()}
+    empty = [c for c in columns if medians[c] is None]
     if empty:
         raise ValueError(f"no values to learn from in {', '.join(empty)}")
-    filled = {c: F.coalesce(double(c), F.lit(q[c][1])) for c in columns}
+    filled = {c: F.coalesce(double(c), F.lit(medians[c])) for c in columns}
     if scaling == "standard":
         aggregates = [f(filled[c]).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.avg), ("b", F.stddev_pop))]
     elif scaling == "minmax":
@@ -73,7 +73,7 @@ def _numeric_stage(df: DataFrame, columns: Sequence[str], scaling: str, offset:
             centre, spread = after[c][1], after[c][2] - after[c][0]
         else:
             centre, spread = row[f"a{i}"], row[f"b{i}"]
-        value = f"coalesce(CAST({_sql_name(c)} AS DOUBLE), {q[c][1]!r}D)"
+        value = f"coalesce(CAST({_sql_name(c)} AS DOUBLE), {medians[c]!r}D)"
         made.append(f"({value} - {centre!r}D) / {spread or 1.0!r}D + {offset!r}D AS {_sql_name('_num_' + c)}")
     return SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")
 
@@ -154,8 +154,3 @@ def route_features(kinds: dict[str, str], features: Sequence[str]) -> tuple[list
     numeric = [f for f in features if kinds.get(f) == "numerical"]
     categorical = [f for f in features if kinds.get(f) == "categorical"]
     return numeric, categorical, [f for f in features if f not in numeric and f not in categorical]
-
-
-def visible(df: DataFrame) -> DataFrame:
-    """Without the helper columns the stages add."""
-    return df.select(*[quoted(c) for c in df.columns if not c.startswith(("_num_", "_cat_", "_idx_", "_hot_")) and c != FEATURES])

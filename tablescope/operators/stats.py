@@ -17,8 +17,8 @@ from ..functions.columns import (
     sample_kurtosis,
     sample_skewness,
 )
-from .blocks import TASK_ROWS, running_totals
-from .lookups import broadcast_if_small
+from .blocks import TASK_ROWS, cut_lineage, running_totals
+from .lookups import BROADCAST_BYTES
 from .quantiles import quantiles
 
 STATISTICS = [
@@ -252,6 +252,10 @@ def average_ranks(df: DataFrame, columns: Sequence[str], task_rows: int = TASK_R
     return totals.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0).drop("upto")
 
 
+RANK_BYTES = 32
+"""Two numbers and the row overhead of a broadcast rank."""
+
+
 def spearman(df: DataFrame, columns: Sequence[str] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Rank correlation matrix in the form of :func:`pearson`, listwise nulls dropped."""
     columns = list(numeric_columns(df) if columns is None else columns)
@@ -260,10 +264,14 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, task_rows: int
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, coefficient double")
     rows = df.select(*[double(c).alias(f"v{i}") for i, c in enumerate(columns)]).na.drop()
-    ranks = average_ranks(rows, rows.columns, task_rows)
+    # written once: every column joins its part of it
+    ranks = cut_lineage(average_ranks(rows, rows.columns, task_rows).select("column", "value", "rank"))
+    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     for i in range(len(columns)):
         one = ranks.where(F.col("column") == f"v{i}").select(F.col("value").alias(f"k{i}"), F.col("rank").alias(f"c{i}"))
-        rows = rows.join(broadcast_if_small(one), F.col(f"v{i}") == F.col(f"k{i}")).drop(f"k{i}", f"v{i}")
+        if sizes.get(f"v{i}", 0) * RANK_BYTES <= BROADCAST_BYTES:
+            one = F.broadcast(one)
+        rows = rows.join(one, F.col(f"v{i}") == F.col(f"k{i}")).drop(f"k{i}", f"v{i}")
     return _pairs(rows, columns)
 
 
