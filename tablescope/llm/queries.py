@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .neardup import near_duplicates
 from .substrings import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +25,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), words=35, whole=False)
+
+
+@query
+def op5_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), words=3, threshold=(85, 100))
