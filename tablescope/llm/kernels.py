@@ -18,6 +18,8 @@ CHUNK = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+MARK = np.zeros(256, bool)
+MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -74,7 +76,7 @@ def slices(texts: list[bytes], limit: int = 2 * CHUNK) -> Iterator[tuple[int, in
 class Words:
     """The words of some texts: byte ``start`` and ``end`` in ``data``, ``hash``, ``doc``; ``first[d]`` is the first word of text d."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, trim: bool = False, prefixes: tuple[int, ...] = ()):
         joined = b"\n".join(texts)
         self.data = np.frombuffer(joined, np.uint8)
         if lower:
@@ -87,9 +89,14 @@ class Words:
         self.start, self.end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         self.doc = np.searchsorted(self.origin, self.start, "right") - 1
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        self.hash = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
+        if trim:  # leave out up to three punctuation marks at either end
+            for _ in range(3):
+                self.end -= MARK[self.data[self.end - 1]] & (self.end - self.start > 1)
+                self.start += MARK[self.data[np.minimum(self.start, max(0, len(self.data) - 1))]] & (self.end - self.start > 1)
+        self.prefixes = [np.empty(len(self.start), U) for _ in prefixes]
+        self.hash = self._hashes(prefixes)
+
+    def _hashes(self, prefixes: tuple[int, ...]) -> np.ndarray:
         out = np.empty(len(self.start), U)
         at = 0
         while at < len(self.start):
@@ -99,7 +106,10 @@ class Words:
             sums = np.zeros(stop - base + 1, U)
             np.cumsum((self.data[base:stop].astype(U) + U(1)) * powers(BASE, stop - base), out=sums[1:])
             s, e = self.start[at:to] - base, self.end[at:to] - base
-            out[at:to] = mix((sums[e] - sums[s]) * powers(_inverse(BASE), stop - base)[s] + (e - s).astype(U))
+            back = powers(_inverse(BASE), stop - base)[s]
+            out[at:to] = mix((sums[e] - sums[s]) * back + (e - s).astype(U))
+            for k, own in zip(prefixes, self.prefixes):
+                own[at:to] = mix((sums[np.minimum(s + k, e)] - sums[s]) * back + U(1000 + k))
             at = to
         return out
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .neardup import near_duplicates
+from .quality import fit_quality, score_quality
 from .substrings import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,9 @@ def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=3, threshold=(85, 100))
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, folder, "labels")))
