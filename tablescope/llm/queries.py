@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .neardup import near_duplicates
 from .quality import fit_quality, score_quality
 from .substrings import remove_repeats
+from .toxicity import CUT, fit_toxicity, tag_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,3 +38,13 @@ def op5_near_copies(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, folder, "labels")))
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    field = fit_toxicity(docs, table(spark, folder, "labels"), allowed=fold != 1)
+    return tag_toxicity(docs, field).select(
+        "doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "spans"
+    )
