@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .neardup import near_duplicates
+from .pii import find_pii, fit_pii
 from .quality import fit_quality, score_quality
 from .substrings import remove_repeats
 from .toxicity import CUT, fit_toxicity, tag_toxicity
@@ -48,3 +49,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return tag_toxicity(docs, field).select(
         "doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "spans"
     )
+
+
+@query
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = find_pii(docs, fit_pii(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
