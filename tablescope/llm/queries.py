@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import bpe_round_trip
 from .neardup import near_duplicates
 from .pii import find_pii, fit_pii
 from .quality import fit_quality, score_quality
@@ -56,3 +58,8 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = find_pii(docs, fit_pii(docs))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
