@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_round_trip
 from .neardup import near_duplicates
+from .packing import pack_pieces, token_pieces
 from .pii import find_pii, fit_pii
 from .quality import fit_quality, score_quality
 from .substrings import remove_repeats
@@ -63,3 +64,9 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = token_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_pieces(pieces)
