@@ -12,6 +12,7 @@ from .neardup import near_duplicates
 from .packing import pack_pieces, token_pieces
 from .pii import find_pii, fit_pii
 from .quality import fit_quality, score_quality
+from .secrets import secret_spans
 from .substrings import remove_repeats
 from .toxicity import CUT, fit_toxicity, tag_toxicity
 
@@ -70,3 +71,9 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = token_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pack_pieces(pieces)
+
+
+@query
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_spans(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
