@@ -13,11 +13,11 @@ from .packing import pack_pieces, token_pieces
 from .pii import find_pii, fit_pii
 from .quality import fit_quality, score_quality
 from .secrets import secret_spans
+from .sql import SQL  # noqa: F401  (offered beside the queries)
 from .substrings import remove_repeats
 from .toxicity import CUT, fit_toxicity, tag_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
