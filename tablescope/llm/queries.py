@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_round_trip
+from .fingerprints import neighbour_likeness
 from .neardup import near_duplicates
 from .packing import pack_pieces, token_pieces
 from .pii import find_pii, fit_pii
@@ -77,3 +78,8 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_spans(table(spark, folder, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_likeness(table(spark, folder, "documents"))
