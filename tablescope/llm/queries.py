@@ -17,6 +17,7 @@ from .secrets import secret_spans
 from .sql import SQL  # noqa: F401  (offered beside the queries)
 from .substrings import remove_repeats
 from .toxicity import CUT, fit_toxicity, tag_toxicity
+from .vectors import linked_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -83,3 +84,8 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_likeness(table(spark, folder, "documents"))
+
+
+@query
+def op4_linked_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return linked_vectors(table(spark, folder, "embeddings"), least=0.93)
