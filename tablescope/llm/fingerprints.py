@@ -9,7 +9,7 @@ takes away its vector (``joined``, ``without``).  The vector has two parts:
   Against the number of phrases these are random signs, so the cosine of two fingerprints estimates the cosine of
   the multisets of phrases, with an error of about 0.09.
 
-Phrases end at marks, at line ends and before words that start with a to e; cuts depend on the neighbouring
+Phrases end at marks, at line ends and before words that start with a to e or t; cuts depend on the neighbouring
 characters alone.  Lanes hold texts of up to a million phrases; beyond that they run into each other, which
 changes likeness only.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..operators.blocks import cut_lineage
 
 EXACT, WORDS, STEP = 8, 2, 20
-PHRASE = r"[.!?,;|\n]+\s*|\s+(?=[a-eA-E])"
+PHRASE = r"[.!?,;|\n]+\s*|\s+(?=[a-etA-ET])"
 LANES = (1 << 40) | (1 << 20) | 1
 LANE = (1 << 20) - 1
 
@@ -99,16 +99,15 @@ def as_text(a: Column) -> Column:
     )
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with fingerprint struct(exact, like, n).  Null texts count as empty; rows stay as they are."""
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
-    units = own.select("_row", F.explode(_units(F.coalesce(F.col(text), F.lit("")), 0)).alias("u")).select("_row", "u.*")
-    sums = _sums(units, ["_row"]).select("_row", F.struct("exact", "like", "n").alias("fingerprint"))
-    return own.join(sums, "_row").drop("_row")
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns ``keep`` with fingerprint struct(exact, like, n), for every row.  Null texts count as empty."""
+    own = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), _units(F.coalesce(F.col(text), F.lit("")), 0).alias("_units"))
+    rows = own.select(F.struct(*keep).alias("_kept"), "_row", F.explode("_units").alias("_u")).select("_kept", "_row", "_u.*")
+    return _sums(rows, ["_row", "_kept"]).select("_kept.*", F.struct("exact", "like", "n").alias("fingerprint"))
 
 
 def _followers(rows: DataFrame) -> DataFrame:
-    """(row, id, n, next): the row that follows in the order of (id, row); the first one follows the last.
+    """(row, id, n, copies, next): the row that follows in the order of (id, row); the first one follows the last.
 
     Rows are range-partitioned and written, which fixes each row's block; only the first row of each block looks
     beyond it, by way of one row per block.
@@ -121,44 +120,51 @@ def _followers(rows: DataFrame) -> DataFrame:
     after = firsts.select("block", F.coalesce(F.lead("first").over(W.orderBy("block")), F.first("first").over(whole))["row"].alias("after"))
     inside = W.partitionBy("block").orderBy("id", "row")
     return blocks.withColumn("lead", F.lead("row").over(inside)).join(F.broadcast(after), "block").select(
-        "row", "id", "n", F.coalesce("lead", "after").alias("next")
+        "row", "id", "n", "copies", F.coalesce("lead", "after").alias("next")
     )
 
 
+def _once(joined_by_row: DataFrame) -> DataFrame:
+    """One of the equal rows; the join has brought them together in order already."""
+    return joined_by_row.withColumn("_n", F.row_number().over(W.partitionBy("row").orderBy("row"))).where("_n = 1").drop("_n")
+
+
 def neighbour_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n/4) code points replaced by the first as many (or all) of the
-    next document's, in the order of keys, the first following the last; null keys come first, rows of one key
-    follow each other.  near_edited and near_next are the likeness of the text's fingerprint to those of the edited
-    text and of the next document.  Null texts count as empty, whose edited text is empty; a single document
-    follows itself; an empty table gives an empty result; other columns are not read.  The texts are shuffled once.
+    next document's, in the order of keys, the first following the last; null keys come first, different texts of
+    one key follow each other.  Equal rows are one document and come back as often as they are there.  near_edited
+    and near_next are the likeness of the text's fingerprint to those of the edited text and of the next document.
+    Null texts count as empty, whose edited text is empty; a single document follows itself; an empty table gives
+    an empty result; other columns are not read.  The texts are shuffled once; a row is known by its key and two
+    hashes of its text, so that it is the same row whenever the input is read.
     """
-    base = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    followers = cut_lineage(_followers(base.select("id", "row", F.length("text").alias("n"))))
+    own = F.coalesce(F.col(text), F.lit(""))
+    name = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("-")), F.hex(F.xxhash64(own)), F.hex(F.xxhash64(own, F.lit(1))))
+    base = docs.select(F.col(key).alias("id"), name.alias("row"), own.alias("text"))
+    rows = base.groupBy("id", "row", F.length("text").alias("n")).agg(F.count(F.lit(1)).alias("copies"))
+    followers = cut_lineage(_followers(rows))
     texts = base.select("row", "text")
-    wanted = followers.select(F.col("next").alias("row"), F.col("row").alias("of"), F.col("id"), F.floor(F.col("n") / 4).cast("int").alias("take"))
-    heads = texts.join(wanted, "row").select(
-        F.col("of").alias("row"), "id", "take", F.expr("substring(text, 1, take)").alias("head"), F.col("row").alias("next")
-    )
-    pairs = texts.join(heads, "row").select(
-        "row", "id", "next", "text", F.concat(F.expr("substring(text, 1, length(text) - take)"), "head").alias("edited")
-    )
+    wanted = followers.select(F.col("next").alias("row"), F.col("row").alias("of"), "id", "copies", F.floor(F.col("n") / 4).cast("int").alias("take"))
+    heads = _once(texts.join(wanted, "row")).select(F.col("of").alias("row"), "id", "copies", "take", F.expr("substring(text, 1, take)").alias("head"))
+    edited = F.concat(F.expr("substring(text, 1, length(text) - take)"), "head")
+    pairs = _once(texts.join(heads, "row")).select("row", "id", "copies", "text", edited.alias("edited"))
     facts = pairs.select(
-        "row", "id", F.length("text").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "row", F.struct("id", "copies", F.length("text").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")).alias("doc"),
         F.explode(F.concat(_units(F.col("text"), 0), _units(F.col("edited"), 1))).alias("u"),
     )
-    sums = _sums(facts.select("row", "id", "n_chars", "edited_sha256", "u.*"), ["row", "id", "n_chars", "edited_sha256", "side"])
-    prints = sums.select("row", "id", "n_chars", "edited_sha256", "side", F.struct("exact", "like", "n").alias("print"))
+    prints = _sums(facts.select("row", "doc", "u.*"), ["row", "doc", "side"]).select("row", "doc", "side", F.struct("exact", "like", "n").alias("print"))
     both = cut_lineage(
-        prints.groupBy("row", "id", "n_chars", "edited_sha256").agg(
+        prints.groupBy("row", "doc").agg(
             F.first(F.when(F.col("side") == 0, F.col("print")), True).alias("own"), F.first(F.when(F.col("side") == 1, F.col("print")), True).alias("edited")
         )
     )
     after = both.select("row", F.col("own").alias("following")).join(wanted.select("row", "of"), "row").select(F.col("of").alias("row"), "following")
-    own, edited, following = F.col("own"), F.col("edited"), F.col("following")
-    return both.join(after, "row").select(
-        F.col("id").alias(key), F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256",
-        as_text(own).alias("fingerprint"), as_text(edited).alias("edited_fingerprint"),
-        likeness(own, edited).alias("near_edited"), likeness(own, following).alias("near_next"),
+    mine, changed, following = F.col("own"), F.col("edited"), F.col("following")
+    out = both.join(after, "row").select(
+        F.col("doc.id").alias(key), F.col("doc.n_chars").cast("bigint").alias("n_chars"), "doc.edited_sha256",
+        as_text(mine).alias("fingerprint"), as_text(changed).alias("edited_fingerprint"),
+        likeness(mine, changed).alias("near_edited"), likeness(mine, following).alias("near_next"), F.col("doc.copies").alias("_copies"),
     )
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies")

@@ -200,7 +200,7 @@ def fit_pii(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> Booste
     """Fit on at most ``sample`` candidates of ``docs``, those whose hashes are lowest."""
     found = docs.select(text).mapInArrow(_examples, "turn bigint, kind int, label double, x array<double>")
     table = found.orderBy("turn", "kind", "label").limit(sample).toArrow()
-    x = np.array(table["x"].to_pylist(), float).reshape(table.num_rows, -1)
+    x = np.array(table["x"].to_pylist(), float).reshape(table.num_rows, len(describe("", 0, 0, 0)))
     return Boosted.fit(x, table["label"].to_numpy(), table["kind"].to_numpy())
 
 
