@@ -23,18 +23,21 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
-def code_lookup(df: DataFrame, column: str, codes: DataFrame, out: str, default: int) -> DataFrame:
+def code_lookup(
+    df: DataFrame, column: str, codes: DataFrame, out: str, default: int, limit: int = BROADCAST_BYTES
+) -> DataFrame:
     """Replace ``column`` by its code from ``codes(value, code)``, ``default`` where null.
 
-    Small code tables are broadcast.  Large ones are joined by shuffle, where
-    adaptive execution splits a hot value; null cells take no part in that
-    join, so they cannot pile up in one task.
+    So are values without a code.  Small code tables are broadcast.  Large ones
+    are joined by shuffle, where adaptive execution splits a hot value; null
+    cells take no part in that join, so they cannot pile up in one task.
     """
     hit = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
     keep = [F.coalesce(F.col("_code"), F.lit(default)).cast("bigint").alias(out) if c == column else quoted(c) for c in df.columns]
-    if measured_bytes(hit) <= BROADCAST_BYTES:
-        return df.join(F.broadcast(hit), quoted(column) == F.col("_value"), "left").select(*keep)
-    known = df.where(quoted(column).isNotNull()).join(hit, quoted(column) == F.col("_value"), "inner").select(*keep)
+    same = quoted(column) == F.col("_value")
+    if measured_bytes(hit) <= limit:
+        return df.join(F.broadcast(hit), same, "left").select(*keep)
+    known = df.where(quoted(column).isNotNull()).join(hit, same, "left").select(*keep)
     unknown = df.where(quoted(column).isNull()).withColumn("_code", F.lit(None).cast("bigint")).select(*keep)
     return known.unionByName(unknown)
 

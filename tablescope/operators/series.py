@@ -17,7 +17,6 @@ from .lookups import broadcast_if_small
 
 # Detection thresholds, frequency ladder and target words.
 MIN_ROWS = 10
-PROBE_VALUES = 20
 PROBE_MINIMUM = 5
 PROBE_SHARE = 0.8
 TARGET_WORDS = ["sales", "revenue", "count", "demand", "temp", "value", "price", "amount"]
@@ -30,18 +29,16 @@ STEPS = {"s": SECOND, "min": MINUTE, "h": HOUR, "D": DAY}
 
 
 def find_date_column(df: DataFrame) -> str | None:
-    """First date or timestamp column; else the first text column whose first values parse as dates."""
+    """First date or timestamp column; else the first text column most of whose values parse as dates (one aggregate over all rows)."""
     for c in df.columns:
         if is_datetime(df, c):
             return c
-    for c in df.columns:
-        if not is_string(df, c):
-            continue
-        probe = df.select(quoted(c).alias("v")).where("v IS NOT NULL").limit(PROBE_VALUES)
-        row = probe.agg(F.count("v").alias("n"), F.count(F.col("v").try_cast("timestamp")).alias("ok")).first()
-        if row["n"] > PROBE_MINIMUM and row["ok"] / row["n"] > PROBE_SHARE:
-            return c
-    return None
+    texts = [c for c in df.columns if is_string(df, c)]
+    if not texts:
+        return None
+    counts = [F.struct(F.count(quoted(c)).alias("n"), F.count(quoted(c).try_cast("timestamp")).alias("ok")) for c in texts]
+    row = df.agg(F.array(*counts).alias("c")).first()["c"]
+    return next((c for c, x in zip(texts, row) if x["n"] > PROBE_MINIMUM and x["ok"] / x["n"] > PROBE_SHARE), None)
 
 
 def target_candidates(df: DataFrame, date_column: str | None) -> list[str]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import (
     double,
@@ -18,7 +20,7 @@ from ..functions.columns import (
     sample_skewness,
 )
 from .blocks import TASK_ROWS, cut_lineage, running_totals
-from .lookups import BROADCAST_BYTES
+from .lookups import broadcast_if_small
 from .quantiles import quantiles
 
 STATISTICS = [
@@ -176,16 +178,16 @@ def describe_categorical(df: DataFrame, columns: Sequence[str], rows: int | None
     )
 
 
-MATRIX_COLUMNS = 30
-"""Up to this many columns one aggregate of pairwise ``corr`` is used, beyond it the Gram matrix."""
+AGGREGATED = 16
+"""Up to this many columns, all pairs are one aggregate; wider tables add up products of centred blocks of rows, with equal results."""
 
 
 def pearson(df: DataFrame, columns: Sequence[str] | None = None, listwise: bool = True) -> DataFrame:
-    """Long correlation matrix (column_a, column_b, coefficient).
+    """Long correlation matrix (column_a, column_b, coefficient), null where a column is constant.
 
     ``listwise`` first drops rows with a null in any of the columns; otherwise
-    each pair uses the rows where both are present.  Empty below two columns
-    or two complete rows.
+    each pair uses the rows where both are present.  Empty below two columns;
+    pairs with fewer than two rows are left out.
     """
     columns = list(numeric_columns(df) if columns is None else columns)
     for c in columns:
@@ -194,23 +196,28 @@ def pearson(df: DataFrame, columns: Sequence[str] | None = None, listwise: bool
     if len(columns) < 2:
         return spark.createDataFrame([], "column_a string, column_b string, coefficient double")
     values = df.select(*[double(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    if listwise:
-        values = values.na.drop()
-        if len(columns) > MATRIX_COLUMNS:
-            return _pearson_matrix(values, columns)
-    return _pairs(values, columns)
+    if len(columns) > AGGREGATED:
+        return _products(values, columns, listwise)
+    return _pairs(values.na.drop() if listwise else values, columns, listwise)
 
 
-def _pairs(values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairs of columns c0..cd in one aggregate; both halves of the matrix in the output."""
+def _correlation(a: Column, b: Column, whole: bool) -> Column:
+    """Over the rows where both are present; null if either does not vary (by its ends, as sums of squares only nearly cancel)."""
+    x, y = (a, b) if whole else (F.when(b.isNotNull(), a), F.when(a.isNotNull(), b))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, finite(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))))
+
+
+def _pairs(values: DataFrame, columns: Sequence[str], whole: bool = True) -> DataFrame:
+    """All pairs of columns c0..cd, ``whole`` if no cell is null; both halves of the matrix in the output."""
     d = len(columns)
     made = []
     for i in range(d):
         for j in range(i, d):
             a, b = F.col(f"c{i}"), F.col(f"c{j}")
             n = F.count_if(a.isNotNull() & b.isNotNull())
-            r = F.when((n >= 2), finite(F.corr(a, b)))
-            made.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), n.alias("n"), r.alias("r")))
+            made.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), n.alias("n"), _correlation(a, b, whole).alias("r")))
     upper = values.agg(F.array(*made).alias("m")).select(F.explode("m").alias("p")).select("p.*").where("n >= 2")
     names = F.array(*[F.lit(c) for c in columns])
     both = upper.select(
@@ -227,18 +234,49 @@ def _pairs(values: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _pearson_matrix(values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+def _products(values: DataFrame, columns: Sequence[str], listwise: bool = True) -> DataFrame:
+    """The same for wide tables: sums over blocks of rows of products of values less their column's mean.
 
-    vectors = VectorAssembler(inputCols=values.columns, outputCol="v").transform(values).select("v")
-    matrix = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
-    rows = [
-        (a, b, None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-    ]
-    return values.sparkSession.createDataFrame(rows, "column_a string, column_b string, coefficient double")
+    Each task sends columns x columns numbers, whatever its rows; ``listwise`` leaves out rows with a null,
+    otherwise a null leaves the other pairs alone.
+    """
+    d = len(columns)
+    center = values.agg(F.array(*[F.avg(f"c{i}") for i in range(d)]).alias("m")).first()["m"]
+    means = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in center])
+
+    def add_up(batches):
+        n, s, q, c = (np.zeros((d, d)) for _ in range(4))
+        low, high = np.full((d, d), np.inf), np.full((d, d), -np.inf)
+        for frame in batches:
+            x = frame.to_numpy(float)
+            there = ~np.isnan(x)
+            if listwise:
+                x = x[there.all(axis=1)]
+                there = np.ones(x.shape, bool)
+            if not len(x):
+                continue
+            for j in range(d):
+                own = np.where(there[:, j : j + 1] & there, x, np.nan)
+                low[:, j] = np.fmin(low[:, j], np.fmin.reduce(own, axis=0))
+                high[:, j] = np.fmax(high[:, j], np.fmax.reduce(own, axis=0))
+            x = np.where(there, x - means, 0.0)
+            there = there.astype(float)
+            n, s, q, c = n + there.T @ there, s + x.T @ there, q + (x * x).T @ there, c + x.T @ x
+        i, j = np.indices((d, d)).reshape(2, -1)
+        yield pd.DataFrame({"i": i, "j": j, "n": n.ravel(), "s": s.ravel(), "q": q.ravel(), "c": c.ravel(), "low": low.ravel(), "high": high.ravel()})
+
+    parts = values.mapInPandas(add_up, "i int, j int, n double, s double, q double, c double, low double, high double")
+    sums = parts.groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in ("n", "s", "q", "c")], (F.min("low") < F.max("high")).alias("moves"))
+    other = sums.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("t"), F.col("q").alias("u"), F.col("moves").alias("turns"))
+    both = sums.join(F.broadcast(other), ["i", "j"]).where("n >= 2")  # columns x columns rows
+    left, right = F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("u") - F.col("t") * F.col("t") / F.col("n")
+    r = F.try_divide(F.col("c") - F.col("s") * F.col("t") / F.col("n"), F.sqrt(left) * F.sqrt(right))
+    names = F.array(*[F.lit(c) for c in columns])
+    return both.select(
+        F.get(names, F.col("i")).alias("column_a"),
+        F.get(names, F.col("j")).alias("column_b"),
+        F.when(F.col("moves") & F.col("turns"), finite(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))).alias("coefficient"),
+    )
 
 
 def average_ranks(df: DataFrame, columns: Sequence[str], task_rows: int = TASK_ROWS) -> DataFrame:
@@ -252,27 +290,26 @@ def average_ranks(df: DataFrame, columns: Sequence[str], task_rows: int = TASK_R
     return totals.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0).drop("upto")
 
 
-RANK_BYTES = 32
-"""Two numbers and the row overhead of a broadcast rank."""
-
-
 def spearman(df: DataFrame, columns: Sequence[str] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Rank correlation matrix in the form of :func:`pearson`, listwise nulls dropped."""
+    """Rank correlation matrix in the form of :func:`pearson`, listwise nulls dropped.
+
+    Rows are written once with a number and go long: one join fetches the
+    ranks of all columns, one regrouping by number makes rows of ranks again,
+    however many columns there are.
+    """
     columns = list(numeric_columns(df) if columns is None else columns)
     for c in columns:
         require_numeric(df, c)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, coefficient double")
-    rows = df.select(*[double(c).alias(f"v{i}") for i, c in enumerate(columns)]).na.drop()
-    # written once: every column joins its part of it
-    ranks = cut_lineage(average_ranks(rows, rows.columns, task_rows).select("column", "value", "rank"))
-    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for i in range(len(columns)):
-        one = ranks.where(F.col("column") == f"v{i}").select(F.col("value").alias(f"k{i}"), F.col("rank").alias(f"c{i}"))
-        if sizes.get(f"v{i}", 0) * RANK_BYTES <= BROADCAST_BYTES:
-            one = F.broadcast(one)
-        rows = rows.join(one, F.col(f"v{i}") == F.col(f"k{i}")).drop(f"k{i}", f"v{i}")
-    return _pairs(rows, columns)
+    values = df.select(*[double(c).alias(f"v{i}") for i, c in enumerate(columns)]).na.drop()
+    rows = cut_lineage(values.withColumn("_row", F.monotonically_increasing_id()))
+    ranks = average_ranks(rows, values.columns, task_rows).select("column", "value", "rank")
+    cells = rows.select("_row", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in values.columns])).alias("c"))
+    ranked = cells.select("_row", "c.*").join(broadcast_if_small(cut_lineage(ranks)), ["column", "value"])
+    back = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(f"c{i}") for i, c in enumerate(values.columns)])
+    ranked = back.drop("_row")
+    return _pairs(ranked, columns) if len(columns) <= AGGREGATED else _products(ranked, columns)
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -359,13 +359,14 @@ def score(pipeline: PipelineModel, df: DataFrame, columns: Mapping[str, str]) ->
 
 
 def pca_scatter(scored: DataFrame, label: str, key: Sequence[str], points: int = 500, seed: int = 42) -> DataFrame:
-    """(x, y, cluster): two principal components of a seeded sample of the prepared vectors."""
+    """(key, x, y, cluster) of a seeded sample of rows on the first two principal axes of all rows."""
     from pyspark.ml.feature import PCA, StandardScaler
 
     from .sampling import sample_rows
 
-    rows = sample_rows(scored, points, key, seed).select(quoted(label).alias("cluster"), FEATURES)
-    centred = StandardScaler(withMean=True, withStd=False, inputCol=FEATURES, outputCol="_c").fit(rows).transform(rows)
-    projected = PCA(k=2, inputCol="_c", outputCol="_xy").fit(centred).transform(centred)
+    center = StandardScaler(withMean=True, withStd=False, inputCol=FEATURES, outputCol="_c").fit(scored)
+    axes = PCA(k=2, inputCol="_c", outputCol="_xy").fit(center.transform(scored))
+    shown = sample_rows(scored, points, key, seed).select(*[quoted(k) for k in key], quoted(label).alias("cluster"), FEATURES)
+    projected = axes.transform(center.transform(shown))
     xy = vector_to_array("_xy")
-    return projected.select(F.get(xy, F.lit(0)).alias("x"), F.get(xy, F.lit(1)).alias("y"), "cluster")
+    return projected.select(*[quoted(k) for k in key], F.get(xy, F.lit(0)).alias("x"), F.get(xy, F.lit(1)).alias("y"), "cluster")

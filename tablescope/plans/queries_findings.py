@@ -133,6 +133,26 @@ def all_findings(t: Tables) -> DataFrame:
     return findings.findings(charges(t))
 
 
+def _with_rate(t: Tables) -> DataFrame:
+    """The charges with a number that never varies."""
+    return charges(t).withColumn("rate", F.lit(0.19))
+
+
+@query(
+    "findings_constant_number",
+    f"""WITH {CHARGES}, k AS ({_SKEWS}), pairs AS ({_PAIR_LIST}),
+  three AS (SELECT * FROM pairs WHERE r > 0.85 ORDER BY i, j LIMIT 3)
+  SELECT 'warning' AS kind, 'collinear' AS code, 'Highly correlated feature pairs detected: '
+         || string_agg(printf('(%s & %s: %.2f)', a, b, r), ', ' ORDER BY i, j) || '.' AS message FROM three HAVING count(*) > 0
+  UNION ALL (SELECT 'info', 'skewed', printf('Feature ''%s'' exhibits extreme skewness (%.2f).', c, abs(s)) FROM k
+             WHERE abs(s) > 2 AND abs(s) = (SELECT max(abs(s)) FROM k))
+  UNION ALL SELECT 'success', 'target', 'Recommended target: ''l_extendedprice'' (classified as numerical data). Train a Regression model to predict values in this column.'
+  UNION ALL SELECT 'warning', 'constant', 'Columns with constant values: currency, rate.' FROM charges HAVING count(DISTINCT currency) = 1""",
+)
+def findings_constant_number(t: Tables) -> DataFrame:
+    return findings.findings(_with_rate(t))
+
+
 def runs_from_lines(t: Tables) -> DataFrame:
     """A run log made from the line items: one "model" per line number and status, one project per return flag."""
     r = F.corr("l_quantity", "l_extendedprice")
@@ -191,6 +211,22 @@ def advice_cards(t: Tables) -> DataFrame:
     return cards.select("category", "title", "evidence", "confidence")
 
 
+_RATED_INPUTS = f"WITH {CHARGES}, rated AS (SELECT *, 0.19::DOUBLE AS rate FROM charges), {_inputs_sql('rated', [*_NUMBERS, 'l_returnflag', 'currency', 'rate'], [*_NUMBERS, 'rate'])}"
+
+
+@query(
+    "advice_cards_constant",
+    f"""{_RATED_INPUTS}, pairs AS ({_PAIR_LIST}), {RUNS}
+  SELECT 'Data Quality' AS category, CASE WHEN score < 85 THEN 'Low Dataset Health Score' ELSE 'Healthy Dataset Profile' END AS title,
+         printf('Health Score = %d%%', score) AS evidence, CASE WHEN score < 85 THEN 0.95 ELSE 0.90 END::DOUBLE AS confidence FROM h
+  UNION ALL (SELECT 'Feature Engineering', 'Multicollinearity Redundancy', printf('Pearson Correlation = %.3f', r), 0.98 FROM pairs WHERE r > 0.85 ORDER BY i, j LIMIT 1)
+  UNION ALL SELECT 'Model Performance', 'Optimal Classifier Recommended', printf('Metric Score = %.4f', max(coalesce(r2, 0))), 0.92 FROM runs HAVING count(*) > 1""",
+)
+def advice_cards_constant(t: Tables) -> DataFrame:
+    cards = advice.advice_cards(_with_rate(t), runs_from_lines(t))
+    return cards.select("category", "title", "evidence", "confidence")
+
+
 @query(
     "model_advice",
     f"""WITH {CHARGES}, k AS ({_SKEWS}), pairs AS ({_PAIR_LIST}),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import evaluate, stats
 from ..sources.tables import Tables
@@ -104,6 +104,55 @@ def spearman(t: Tables) -> DataFrame:
     return stats.spearman(t.lineitem, _MEASURES).withColumn("coefficient", rounded("coefficient", 6))
 
 
+_FIXED = ["l_quantity", "l_extendedprice", "fixed"]
+_GONE = 'WITH held AS (SELECT l_quantity, l_extendedprice, 5::DOUBLE AS fixed FROM lineitem) '
+
+
+def _varied_sql(prefix: str, table: str, columns: dict[str, str]) -> str:
+    """As above, null where a column does not vary; one pass for any number of columns."""
+    cells = ", ".join(
+        f"{{'column_a': '{a}', 'column_b': '{b}', 'coefficient': {rsql(f'covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)', 6)}}}"
+        for a, x in columns.items()
+        for b, y in columns.items()
+    )
+    return f"{prefix} SELECT p.* FROM (SELECT unnest([{cells}]) AS p FROM {table})"
+
+
+def _with_constant(t: Tables) -> DataFrame:
+    return t.lineitem.select("l_quantity", "l_extendedprice", F.lit(5.0).alias("fixed"))
+
+
+@query("pearson_constant", _varied_sql(_GONE, "held", {c: c for c in _FIXED}))
+def pearson_constant(t: Tables) -> DataFrame:
+    return stats.pearson(_with_constant(t)).withColumn("coefficient", rounded("coefficient", 6))
+
+
+@query(
+    "spearman_constant",
+    _varied_sql(
+        _GONE + ", ranks AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in _FIXED) + " FROM held)",
+        "ranks",
+        {c: f"r_{c}" for c in _FIXED},
+    ),
+)
+def spearman_constant(t: Tables) -> DataFrame:
+    return stats.spearman(_with_constant(t)).withColumn("coefficient", rounded("coefficient", 6))
+
+
+_WIDE = {f"w{k}": f"(l_quantity * {k % 7 + 1} + l_extendedprice * {k / 1000} + l_linenumber * {k * k % 11})" for k in range(39)}
+
+
+@query(
+    "pearson_wide",
+    _varied_sql(
+        "WITH wide AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _WIDE.items()) + ", 1::DOUBLE AS fixed FROM lineitem)", "wide", {c: c for c in [*_WIDE, "fixed"]}
+    ),
+)
+def pearson_wide(t: Tables) -> DataFrame:
+    wide = t.lineitem.select(*[F.expr(e).alias(c) for c, e in _WIDE.items()], F.lit(1.0).alias("fixed"))
+    return stats.pearson(wide).withColumn("coefficient", rounded("coefficient", 6))
+
+
 @query(
     "average_ranks",
     """SELECT 'o_totalprice' AS "column", o_totalprice AS value, count(*) AS n,

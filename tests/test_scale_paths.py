@@ -9,7 +9,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tablescope.operators import blocks, charts, clean, conversations, evaluate, sampling, series, stats, throttle
+from tablescope.operators import blocks, charts, clean, conversations, evaluate, lookups, sampling, series, stats, throttle
 from tablescope.operators.quantiles import order_statistics, quantiles
 
 
@@ -189,3 +189,30 @@ def test_histogram_matches_numpy(hot, spark):
     flat = sorted(charts.histogram(spark.createDataFrame([(2.0,), (2.0,)], "x double"), "x").collect())
     want, edges = np.histogram([2.0, 2.0], bins=10)
     assert [r["count"] for r in flat] == list(want) and flat[0]["low"] == edges[0] and math.isclose(flat[-1]["high"], edges[-1])
+
+
+def test_unknown_values_keep_their_rows_on_both_paths(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, value string")
+    codes = spark.createDataFrame([("a", 0)], "value string, code bigint")
+    for limit in (0, 1 << 20):
+        got = lookups.code_lookup(df, "value", codes, "value", -1, limit=limit)
+        assert sorted(map(tuple, got.collect())) == [(1, 0), (2, -1), (3, -1)]
+
+
+def test_date_column_by_all_rows(spark):
+    rows = [(f"n{i}", "2024-01-01" if i < 30 else f"x{i}", f"2024-02-{i % 28 + 1:02d}" if i > 15 else "soon") for i in range(200)]
+    df = spark.createDataFrame(rows, "name string, misleading string, day string")
+    assert series.find_date_column(df) == "day"
+
+
+@pytest.mark.parametrize("aggregated", [0, 16])
+def test_correlation_of_constants_and_gaps(spark, monkeypatch, aggregated):
+    monkeypatch.setattr(stats, "AGGREGATED", aggregated)
+    rows = [(0.19, float(i), float(i * i % 7), None if i % 3 else float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "fixed double, a double, b double, c double").repartition(4)
+    frame_ = pd.DataFrame(rows, columns=["fixed", "a", "b", "c"])
+    for listwise in (True, False):
+        want = (frame_.dropna() if listwise else frame_).corr()
+        for r in stats.pearson(df, listwise=listwise).collect():
+            w = want.loc[r.column_a, r.column_b]
+            assert (r.coefficient is None and (math.isnan(w) or "fixed" in (r.column_a, r.column_b))) or r.coefficient == pytest.approx(w)
