@@ -179,64 +179,38 @@ def most_skewed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def findings(df: DataFrame) -> DataFrame:
-    """(kind, code, message): collinear pairs, extreme skew, target hint, constant columns."""
+    """(kind, code, title, message, action): collinear pairs, extreme skew, target hint, constant columns."""
     kinds = classify(df, "full")
     numbers = of_kind(kinds, "numerical")
     target = suggest_target(df.columns)
     target_kind = kinds.get(target, "unknown")
-    task = "Classification" if target_kind in ("categorical", "boolean") else "Regression"
-    spark = df.sparkSession
+    task = "classification" if target_kind in ("categorical", "boolean") else "regression"
+
+    def finding(rows: DataFrame, kind: str, code: str, title: str, message: Column, action: str) -> DataFrame:
+        fixed = {"kind": kind, "code": code, "title": title}
+        return rows.select(*[F.lit(v).alias(k) for k, v in fixed.items()], message.alias("message"), F.lit(action).alias("action"))
+
     parts = []
     if len(numbers) >= 2:
-        pairs = strong_pairs(df, numbers, COLLINEAR)
-        named = F.format_string("(%s & %s: %.2f)", "column_a", "column_b", F.abs("coefficient"))
-        listed = pairs.agg(
-            F.sort_array(F.collect_list(F.struct("position_a", "position_b", named.alias("text")))).alias("p")
-        )
+        named = F.format_string("%s and %s (%.2f)", "column_a", "column_b", F.abs("coefficient"))
+        pairs = F.sort_array(F.collect_list(F.struct("position_a", "position_b", named.alias("text")))).alias("p")
+        listed = strong_pairs(df, numbers, COLLINEAR).agg(pairs).where(F.size("p") > 0)
         first = F.array_join(F.transform(F.slice("p", 1, 3), lambda x: x["text"]), ", ")
-        parts.append(
-            listed.where(F.size("p") > 0).select(
-                F.lit("warning").alias("kind"),
-                F.lit("collinear").alias("code"),
-                F.concat(F.lit("Highly correlated feature pairs detected: "), first, F.lit(".")).alias("message"),
-            )
-        )
+        message = F.concat(F.lit("These columns move together: "), first, F.lit("."))
+        parts.append(finding(listed, "warning", "collinear", "Columns that repeat each other", message, "Keep one column of each pair."))
     if numbers:
-        parts.append(
-            most_skewed(df, numbers)
-            .where(F.col("abs_skewness") > SKEWED)
-            .select(
-                F.lit("info").alias("kind"),
-                F.lit("skewed").alias("code"),
-                F.format_string("Feature '%s' exhibits extreme skewness (%.2f).", "column", "abs_skewness").alias("message"),
-            )
-        )
+        message = F.format_string("The skewness of '%s' is %.2f in size.", "column", "abs_skewness")
+        skewed = most_skewed(df, numbers).where(F.col("abs_skewness") > SKEWED)
+        parts.append(finding(skewed, "info", "skewed", "A column with a long tail", message, "Try a logarithm or power of it."))
     if target is not None:
-        parts.append(
-            spark.range(0, 1, 1, 1).select(
-                F.lit("success").alias("kind"),
-                F.lit("target").alias("code"),
-                F.lit(
-                    f"Recommended target: '{target}' (classified as {target_kind} data). "
-                    f"Train a {task} model to predict values in this column."
-                ).alias("message"),
-            )
-        )
+        message = F.lit(f"'{target}', a column of kind {target_kind}, may be the one to predict.")
+        one = df.sparkSession.range(0, 1, 1, 1)
+        parts.append(finding(one, "success", "target", "A likely target", message, f"Train a {task} model on it."))
     place = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
-    constant = constant_columns(df).agg(
-        F.sort_array(F.collect_list(F.struct(F.element_at(place, F.col("column")).alias("i"), "column"))).alias("c")
-    )
-    parts.append(
-        constant.where(F.size("c") > 0).select(
-            F.lit("warning").alias("kind"),
-            F.lit("constant").alias("code"),
-            F.concat(
-                F.lit("Columns with constant values: "),
-                F.array_join(F.transform("c", lambda x: x["column"]), ", "),
-                F.lit("."),
-            ).alias("message"),
-        )
-    )
+    named = F.sort_array(F.collect_list(F.struct(F.element_at(place, F.col("column")).alias("i"), "column"))).alias("c")
+    constant = constant_columns(df).agg(named).where(F.size("c") > 0)
+    message = F.concat(F.lit("Always the same: "), F.array_join(F.transform("c", lambda x: x["column"]), ", "), F.lit("."))
+    parts.append(finding(constant, "warning", "constant", "Columns that never vary", message, "Leave them out of models."))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

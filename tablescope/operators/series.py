@@ -283,19 +283,19 @@ def detect_series(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     undated = F.lit(date_column is None)
     warnings = F.array_compact(
         F.array(
-            F.when(few, F.lit("Dataset has too few rows (< 10) to perform time series forecasting.")),
-            F.when(~few & undated, F.lit("No datetime column was identified in the dataset.")),
+            F.when(few, F.lit("Fewer than 10 rows are too short to forecast.")),
+            F.when(~few & undated, F.lit("No column holds dates.")),
             F.when(
                 ~few & ~undated & (F.col("dated") < F.col("total")),
-                F.lit(f"Datetime column '{date_column}' has missing values."),
+                F.lit(f"Some rows have no usable date in '{date_column}'."),
             ),
-            F.when(~few & F.col("has_duplicates"), F.lit("Dataset contains duplicate timestamps.")),
+            F.when(~few & F.col("has_duplicates"), F.lit("Some timestamps occur more than once.")),
             F.when(
                 ~few & (F.col("missing") > 0),
-                F.format_string("Detected %d missing timestamps (%.1f%% gaps) in the series.", "missing", "missing_pct"),
+                F.format_string("%d expected timestamps are absent (%.1f%%).", "missing", "missing_pct"),
             ),
             F.when(
-                ~few & ~undated & F.lit(not candidates), F.lit("No numeric target column is available for forecasting.")
+                ~few & ~undated & F.lit(not candidates), F.lit("There is no number to forecast.")
             ),
         )
     )

@@ -122,12 +122,13 @@ _PAIR_LIST = " UNION ALL ".join(
     "findings",
     f"""WITH {CHARGES}, k AS ({_SKEWS}), pairs AS ({_PAIR_LIST}),
   three AS (SELECT * FROM pairs WHERE r > 0.85 ORDER BY i, j LIMIT 3)
-  SELECT 'warning' AS kind, 'collinear' AS code, 'Highly correlated feature pairs detected: '
-         || string_agg(printf('(%s & %s: %.2f)', a, b, r), ', ' ORDER BY i, j) || '.' AS message FROM three HAVING count(*) > 0
-  UNION ALL (SELECT 'info', 'skewed', printf('Feature ''%s'' exhibits extreme skewness (%.2f).', c, abs(s)) FROM k
-             WHERE abs(s) > 2 AND abs(s) = (SELECT max(abs(s)) FROM k))
-  UNION ALL SELECT 'success', 'target', 'Recommended target: ''l_extendedprice'' (classified as numerical data). Train a Regression model to predict values in this column.'
-  UNION ALL SELECT 'warning', 'constant', 'Columns with constant values: currency.' FROM charges HAVING count(DISTINCT currency) = 1""",
+  SELECT 'warning' AS kind, 'collinear' AS code, 'Columns that repeat each other' AS title, 'These columns move together: '
+         || string_agg(printf('%s and %s (%.2f)', a, b, r), ', ' ORDER BY i, j) || '.' AS message, 'Keep one column of each pair.' AS action
+  FROM three HAVING count(*) > 0
+  UNION ALL (SELECT 'info', 'skewed', 'A column with a long tail', printf('The skewness of ''%s'' is %.2f in size.', c, abs(s)), 'Try a logarithm or power of it.'
+             FROM k WHERE abs(s) > 2 AND abs(s) = (SELECT max(abs(s)) FROM k))
+  UNION ALL SELECT 'success', 'target', 'A likely target', '''l_extendedprice'', a column of kind numerical, may be the one to predict.', 'Train a regression model on it.'
+  UNION ALL SELECT 'warning', 'constant', 'Columns that never vary', 'Always the same: currency.', 'Leave them out of models.' FROM charges HAVING count(DISTINCT currency) = 1""",
 )
 def all_findings(t: Tables) -> DataFrame:
     return findings.findings(charges(t))
@@ -142,12 +143,13 @@ def _with_rate(t: Tables) -> DataFrame:
     "findings_constant_number",
     f"""WITH {CHARGES}, k AS ({_SKEWS}), pairs AS ({_PAIR_LIST}),
   three AS (SELECT * FROM pairs WHERE r > 0.85 ORDER BY i, j LIMIT 3)
-  SELECT 'warning' AS kind, 'collinear' AS code, 'Highly correlated feature pairs detected: '
-         || string_agg(printf('(%s & %s: %.2f)', a, b, r), ', ' ORDER BY i, j) || '.' AS message FROM three HAVING count(*) > 0
-  UNION ALL (SELECT 'info', 'skewed', printf('Feature ''%s'' exhibits extreme skewness (%.2f).', c, abs(s)) FROM k
-             WHERE abs(s) > 2 AND abs(s) = (SELECT max(abs(s)) FROM k))
-  UNION ALL SELECT 'success', 'target', 'Recommended target: ''l_extendedprice'' (classified as numerical data). Train a Regression model to predict values in this column.'
-  UNION ALL SELECT 'warning', 'constant', 'Columns with constant values: currency, rate.' FROM charges HAVING count(DISTINCT currency) = 1""",
+  SELECT 'warning' AS kind, 'collinear' AS code, 'Columns that repeat each other' AS title, 'These columns move together: '
+         || string_agg(printf('%s and %s (%.2f)', a, b, r), ', ' ORDER BY i, j) || '.' AS message, 'Keep one column of each pair.' AS action
+  FROM three HAVING count(*) > 0
+  UNION ALL (SELECT 'info', 'skewed', 'A column with a long tail', printf('The skewness of ''%s'' is %.2f in size.', c, abs(s)), 'Try a logarithm or power of it.'
+             FROM k WHERE abs(s) > 2 AND abs(s) = (SELECT max(abs(s)) FROM k))
+  UNION ALL SELECT 'success', 'target', 'A likely target', '''l_extendedprice'', a column of kind numerical, may be the one to predict.', 'Train a regression model on it.'
+  UNION ALL SELECT 'warning', 'constant', 'Columns that never vary', 'Always the same: currency, rate.', 'Leave them out of models.' FROM charges HAVING count(DISTINCT currency) = 1""",
 )
 def findings_constant_number(t: Tables) -> DataFrame:
     return findings.findings(_with_rate(t))
@@ -201,14 +203,18 @@ def compare_runs_by_error(t: Tables) -> DataFrame:
 @query(
     "advice_cards",
     f"""{_CHARGES_INPUTS}, pairs AS ({_PAIR_LIST}), {RUNS}
-  SELECT 'Data Quality' AS category, CASE WHEN score < 85 THEN 'Low Dataset Health Score' ELSE 'Healthy Dataset Profile' END AS title,
+  SELECT 'Data Quality' AS category, CASE WHEN score < 85 THEN 'Low health score' ELSE 'Good health score' END AS title,
+         CASE WHEN score < 85 THEN printf('Health is %d%%: look at missing cells and repeated rows first.', score)
+              ELSE 'Nothing in the profile stands against training on this table.' END AS description,
          printf('Health Score = %d%%', score) AS evidence, CASE WHEN score < 85 THEN 0.95 ELSE 0.90 END::DOUBLE AS confidence FROM h
-  UNION ALL (SELECT 'Feature Engineering', 'Multicollinearity Redundancy', printf('Pearson Correlation = %.3f', r), 0.98 FROM pairs WHERE r > 0.85 ORDER BY i, j LIMIT 1)
-  UNION ALL SELECT 'Model Performance', 'Optimal Classifier Recommended', printf('Metric Score = %.4f', max(coalesce(r2, 0))), 0.92 FROM runs HAVING count(*) > 1""",
+  UNION ALL (SELECT 'Feature Engineering', 'Redundant columns', printf('`%s` and `%s` say nearly the same; drop one of them.', a, b), printf('Pearson Correlation = %.3f', r), 0.98 FROM pairs WHERE r > 0.85 ORDER BY i, j LIMIT 1)
+  UNION ALL SELECT 'Model Performance', 'Best run so far',
+         printf('Run `%s` (%s) scores highest, with %.4f.', arg_max(run_id, (coalesce(r2, 0), -epoch(created::TIMESTAMP))), 'linear_regression', max(coalesce(r2, 0))),
+         printf('Metric Score = %.4f', max(coalesce(r2, 0))), 0.92 FROM runs HAVING count(*) > 1""",
 )
 def advice_cards(t: Tables) -> DataFrame:
     cards = advice.advice_cards(charges(t), runs_from_lines(t))
-    return cards.select("category", "title", "evidence", "confidence")
+    return cards
 
 
 _RATED_INPUTS = f"WITH {CHARGES}, rated AS (SELECT *, 0.19::DOUBLE AS rate FROM charges), {_inputs_sql('rated', [*_NUMBERS, 'l_returnflag', 'currency', 'rate'], [*_NUMBERS, 'rate'])}"
@@ -217,14 +223,18 @@ _RATED_INPUTS = f"WITH {CHARGES}, rated AS (SELECT *, 0.19::DOUBLE AS rate FROM
 @query(
     "advice_cards_constant",
     f"""{_RATED_INPUTS}, pairs AS ({_PAIR_LIST}), {RUNS}
-  SELECT 'Data Quality' AS category, CASE WHEN score < 85 THEN 'Low Dataset Health Score' ELSE 'Healthy Dataset Profile' END AS title,
+  SELECT 'Data Quality' AS category, CASE WHEN score < 85 THEN 'Low health score' ELSE 'Good health score' END AS title,
+         CASE WHEN score < 85 THEN printf('Health is %d%%: look at missing cells and repeated rows first.', score)
+              ELSE 'Nothing in the profile stands against training on this table.' END AS description,
          printf('Health Score = %d%%', score) AS evidence, CASE WHEN score < 85 THEN 0.95 ELSE 0.90 END::DOUBLE AS confidence FROM h
-  UNION ALL (SELECT 'Feature Engineering', 'Multicollinearity Redundancy', printf('Pearson Correlation = %.3f', r), 0.98 FROM pairs WHERE r > 0.85 ORDER BY i, j LIMIT 1)
-  UNION ALL SELECT 'Model Performance', 'Optimal Classifier Recommended', printf('Metric Score = %.4f', max(coalesce(r2, 0))), 0.92 FROM runs HAVING count(*) > 1""",
+  UNION ALL (SELECT 'Feature Engineering', 'Redundant columns', printf('`%s` and `%s` say nearly the same; drop one of them.', a, b), printf('Pearson Correlation = %.3f', r), 0.98 FROM pairs WHERE r > 0.85 ORDER BY i, j LIMIT 1)
+  UNION ALL SELECT 'Model Performance', 'Best run so far',
+         printf('Run `%s` (%s) scores highest, with %.4f.', arg_max(run_id, (coalesce(r2, 0), -epoch(created::TIMESTAMP))), 'linear_regression', max(coalesce(r2, 0))),
+         printf('Metric Score = %.4f', max(coalesce(r2, 0))), 0.92 FROM runs HAVING count(*) > 1""",
 )
 def advice_cards_constant(t: Tables) -> DataFrame:
     cards = advice.advice_cards(_with_rate(t), runs_from_lines(t))
-    return cards.select("category", "title", "evidence", "confidence")
+    return cards
 
 
 @query(
@@ -233,14 +243,14 @@ def advice_cards_constant(t: Tables) -> DataFrame:
   imp AS (SELECT a AS feature, round(r * r, 6) AS importance FROM pairs WHERE b = 'weight'),
   best AS (SELECT * FROM imp WHERE importance > 0 ORDER BY importance DESC, feature LIMIT 3),
   last AS (SELECT * FROM (SELECT * FROM imp ORDER BY importance, feature DESC LIMIT 3) WHERE importance <= 0.05)
-  SELECT 'strength' AS category, 'Features ' || string_agg('`' || feature || '`', ', ' ORDER BY importance DESC, feature)
-         || ' have the highest contribution to the model''s predictions. Focus on optimizing data collection quality for these columns.' AS description
+  SELECT 'strength' AS category, 'What the model relies on' AS title, 'The model relies most on ' || string_agg('`' || feature || '`', ', ' ORDER BY importance DESC, feature)
+         || '; check these columns with the most care.' AS description
   FROM best HAVING count(*) > 0
-  UNION ALL SELECT 'removal', 'Features ' || string_agg('`' || feature || '`', ', ' ORDER BY importance DESC, feature)
-         || ' have negligible impact on predictions. You can safely remove them in the next training cycle.' FROM last HAVING count(*) > 0
-  UNION ALL SELECT 'multicollinearity', printf('Features `%s` and `%s` are highly correlated (Pearson Correlation = %.2f). Suggest keeping only one of them.', a, b, r)
+  UNION ALL SELECT 'removal', 'What the model ignores', 'The model hardly uses ' || string_agg('`' || feature || '`', ', ' ORDER BY importance DESC, feature)
+         || '; the next run can do without.' FROM last HAVING count(*) > 0
+  UNION ALL SELECT 'multicollinearity', 'Inputs that repeat each other', printf('`%s` and `%s` correlate at %.2f; one of them is enough.', a, b, r)
          FROM pairs WHERE r > 0.85
-  UNION ALL SELECT 'engineering', printf('Column `%s` has high statistical skewness (%.2f). A logarithmic transformation (log1p) can help linear and distance-based estimators.', c, s)
+  UNION ALL SELECT 'engineering', 'An input with a long tail', printf('`%s` has a skewness of %.2f; log1p may serve models that work with distances or weights.', c, s)
          FROM k WHERE abs(s) > 1.5""",
 )
 def model_advice(t: Tables) -> DataFrame:
@@ -249,7 +259,7 @@ def model_advice(t: Tables) -> DataFrame:
     shares = df.agg(
         *[F.round(F.corr(c, "weight") * F.corr(c, "weight"), 6).alias(c) for c in _NUMBERS[:-1]]
     ).unpivot([], _NUMBERS[:-1], "feature", "importance")
-    return advice.model_advice(df, _NUMBERS, shares).select("category", "description")
+    return advice.model_advice(df, _NUMBERS, shares)
 
 
 @query("workspace_context")

@@ -132,8 +132,8 @@ def detect_series(t: Tables) -> DataFrame:
 @query(
     "detect_without_dates",
     """SELECT p_type, count(*) AS rows, false AS is_feasible,
-       CASE WHEN count(*) < 10 THEN 'Dataset has too few rows (< 10) to perform time series forecasting.'
-            ELSE 'No datetime column was identified in the dataset.' END AS warning FROM part GROUP BY p_type""",
+       CASE WHEN count(*) < 10 THEN 'Fewer than 10 rows are too short to forecast.'
+            ELSE 'No column holds dates.' END AS warning FROM part GROUP BY p_type""",
 )
 def detect_without_dates(t: Tables) -> DataFrame:
     found = series.detect_series(t.part, ["p_type"])
