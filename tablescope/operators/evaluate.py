@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import double, finite, quoted
 from .blocks import TASK_ROWS, running_totals
@@ -277,3 +277,18 @@ def knn_votes(neighbours: DataFrame, key: str, label: str, rank: str, k: int = 5
     """Majority label of the first ``k`` neighbours; ties go to the smaller label."""
     votes = neighbours.where(F.col(rank) <= k).groupBy(quoted(key), quoted(label)).agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy(quoted(key)).agg(F.min_by(quoted(label), F.struct(-F.col("n"), quoted(label))).alias("prediction"))
+
+
+def run_table(runs: DataFrame) -> DataFrame:
+    """Every run beside the others of its project: (project, run_id, model_name, algorithm, task, metric, score, place).
+
+    The metric is the one of the run's task; runs without it have no score and come last.  Equal scores share a
+    place.
+    """
+    chosen = F.create_map(*[x for k, v in DEFAULT_METRIC.items() for x in (F.lit(k), F.lit(v))])
+    scored = runs.withColumn("metric", F.try_element_at(chosen, F.col("task"))).withColumn("score", F.try_element_at("metrics", F.col("metric")))
+    lower = F.col("metric").isin(LOWER_IS_BETTER)
+    order = W.partitionBy("project", "metric").orderBy(F.when(lower, -F.col("score")).otherwise(F.col("score")).desc_nulls_last())
+    return scored.select(
+        "project", "run_id", "model_name", "algorithm", "task", "metric", "score", F.rank().over(order).cast("bigint").alias("place")
+    )

@@ -16,7 +16,6 @@ from .sampling import sample_rows
 from .train import Trained
 
 # Sizes of the explained samples.
-SHAP_ROWS = 50
 SURROGATE_FEATURES = 10
 SEED = 42
 
@@ -38,11 +37,12 @@ def shapley(
     trained: Trained,
     df: DataFrame,
     key: Sequence[str],
-    rows: int | None = SHAP_ROWS,
+    rows: int | None = None,
     permutations: int = 32,
     seed: int = SEED,
+    background: int = 32,
 ) -> DataFrame:
-    """(key, feature, feature_value, shapley_value) for a seeded sample of rows (``rows=None``: all rows).
+    """(key, feature, feature_value, shapley_value) for all rows, or for a seeded sample of ``rows`` of them.
 
     Linear regressions have a closed form: coefficient times distance from the
     mean.  Other models: features are switched one after another from a
@@ -74,9 +74,10 @@ def shapley(
         draw.shuffle(one)
         orders += [one, one[::-1]]
     orders = orders[:permutations]
-    # two orders share a background row; at most ``permutations`` rows are collected
+    # orders take turns on a background of bounded size, an order and its reverse on the same row
     half = (permutations + 1) // 2
-    backs = [r["x"] for r in sample_rows(points, half, key, seed + 1).select("x").collect()]
+    drawn = [r["x"] for r in sample_rows(points, background, key, seed + 1).select("x").collect()]
+    backs = [drawn[i % len(drawn)] for i in range(half)] if drawn else []
     plans = F.array(
         *[
             F.struct(

@@ -200,6 +200,15 @@ def compare_runs_by_error(t: Tables) -> DataFrame:
     return evaluate.compare_runs(runs_from_lines(t), "rmse")
 
 
+@query(
+    "run_table",
+    f"""WITH {RUNS} SELECT project, run_id, run_id AS model_name, 'linear_regression' AS algorithm, 'regression' AS task, 'r2' AS metric, r2 AS score,
+        rank() OVER (PARTITION BY project ORDER BY r2 DESC NULLS LAST) AS place FROM runs""",
+)
+def run_table(t: Tables) -> DataFrame:
+    return evaluate.run_table(runs_from_lines(t))
+
+
 @query(
     "advice_cards",
     f"""{_CHARGES_INPUTS}, pairs AS ({_PAIR_LIST}), {RUNS}

@@ -316,7 +316,7 @@ def shapley_linear(t: Tables) -> DataFrame:
 
 @query("shapley_forest")
 def shapley_forest(t: Tables) -> DataFrame:
-    return explain.shapley(price_model(t, "random_forest", **_FEW_TREES), t.lineitem, LINE_KEY, permutations=8)
+    return explain.shapley(price_model(t, "random_forest", **_FEW_TREES), t.lineitem, LINE_KEY, permutations=4)
 
 
 @query("local_surrogate")

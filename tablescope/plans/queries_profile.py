@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import clean, kinds, lookups, profile, stats
-from ..sources.tables import Tables, read_table
+from ..operators.blocks import shared_folder
+from ..sources.tables import Tables, read_table, write_table
 from .registry import query
 from .shared import CHARGES, EVENTS_WITH_GAPS, VISITS, charges, events_with_gaps, rounded, rsql, visits
 
@@ -279,3 +282,15 @@ def top_orders(t: Tables) -> DataFrame:
     return lookups.top_rows(t.orders, [F.desc("o_orderdate"), F.desc("o_orderkey")], 20).select(
         "o_orderkey", "o_custkey", "o_totalprice"
     )
+
+
+@query("csv_round_trip", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_extendedprice, l_returnflag, 9007199254740993 + l_orderkey AS wide, 'a, \"b\"' || chr(10) || l_linestatus AS note FROM lineitem")
+def csv_round_trip(t: Tables) -> DataFrame:
+    """Lines written as CSV and read back without a schema: ids beyond doubles, quotes and line ends inside cells."""
+    made = t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag",
+        (F.lit(9007199254740993) + F.col("l_orderkey")).alias("wide"), F.concat(F.lit('a, "b"\n'), "l_linestatus").alias("note"),
+    )
+    path = f"{shared_folder(t.spark)}/tablescope/{uuid.uuid4().hex}"
+    write_table(made, path, "csv")
+    return read_table(t.spark, path, "csv", multiline=True)

@@ -42,10 +42,13 @@ def read_parquet(spark: SparkSession, path: str, nan_free: bool = False) -> Data
     return df if nan_free else nan_to_null(df)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False, strict: bool = False
+) -> DataFrame:
     """CSV scan: header row, quoted commas, doubled quotes, missing tokens as null.
 
-    With a schema the file is scanned once.  Without one the types come from
+    ``multiline`` allows line ends inside quotes; such a file cannot be split, so each is read by one task.  With
+    a schema the file is scanned once; a cell that breaks it is null, or with ``strict`` an error.  Without one the types come from
     the data: all cells are read as text, missing tokens are blanked, and one
     aggregate decides per column which of long, double, boolean every cell
     can be cast to (text otherwise).
@@ -53,7 +56,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     raw = (
         spark.read.option("header", True)
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", multiline)
         .option("ignoreLeadingWhiteSpace", False)
         .option("nullValue", "")
     )
@@ -70,7 +73,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
         typed = _infer(text)
     out = text.select(
         *[
-            (quoted(c) if t == "string" else quoted(c).try_cast(t)).alias(c)
+            (quoted(c) if t == "string" else quoted(c).cast(t) if strict else quoted(c).try_cast(t)).alias(c)
             for c, t in typed.items()
         ]
     )
@@ -83,7 +86,8 @@ def _infer(text: DataFrame) -> dict[str, str]:
     for i, c in enumerate(text.columns):
         cell = F.trim(quoted(c))
         checks.append(F.count(cell).alias(f"n{i}"))
-        checks.append(F.count_if(cell.isNotNull() & ~cell.rlike(r"^[+-]?\d{1,18}$")).alias(f"long{i}"))
+        whole = cell.rlike(r"^[+-]?\d{1,19}$") & cell.try_cast("bigint").isNotNull()
+        checks.append(F.count_if(cell.isNotNull() & ~whole).alias(f"long{i}"))
         number = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
         checks.append(F.count_if(cell.isNotNull() & ~cell.rlike(number)).alias(f"double{i}"))
         checks.append(F.count_if(cell.isNotNull() & ~F.lower(cell).isin("true", "false")).alias(f"boolean{i}"))
@@ -103,9 +107,11 @@ def _infer(text: DataFrame) -> dict[str, str]:
     return typed
 
 
-def read_table(spark: SparkSession, path: str, format: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, format: str = "parquet", schema: T.StructType | None = None, multiline: bool = False
+) -> DataFrame:
     if format == "csv":
-        return check_flat(read_csv(spark, path, schema))
+        return check_flat(read_csv(spark, path, schema, multiline))
     if format == "parquet":
         return check_flat(read_parquet(spark, path))
     raise ValueError(f"unsupported format {format!r}; convert to CSV or Parquet first")
