@@ -5,13 +5,12 @@ lane modulo powers of two.  The order of paragraphs does not matter, and adding
 takes away its vector (``joined``, ``without``).  The vector has two parts:
 
 * ``exact``: 8 lanes modulo 2**32, hashed from the whole paragraph; texts with the same paragraphs agree in all.
-* ``like``: 120 lanes of 20 bits, three to a number; each phrase of the paragraph adds one bit to each lane.
-  Against the number of phrases these are random signs, so the cosine of two fingerprints estimates the cosine of
-  the multisets of phrases, with an error of about 0.09.
+* ``like``: 128 lanes, those of zero left out; each phrase of the paragraph adds or takes one in the lane its hash
+  names.  The cosine of two such vectors estimates the cosine of the multisets of phrases, with an error of about
+  0.09.
 
 Phrases end at marks, at line ends and before words that start with a to e or t; cuts depend on the neighbouring
-characters alone.  Lanes hold texts of up to a million phrases; beyond that they run into each other, which
-changes likeness only.
+characters alone.  Equality is that of ``exact``.
 """
 
 from __future__ import annotations
@@ -20,40 +19,39 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.blocks import cut_lineage
 
-EXACT, WORDS, STEP = 8, 2, 20
+EXACT, LANES = 8, 128
 PHRASE = r"[.!?,;|\n]+\s*|\s+(?=[a-etA-ET])"
-LANES = (1 << 40) | (1 << 20) | 1
-LANE = (1 << 20) - 1
+SHORTEST = 8
+"""Characters of a phrase that counts; shorter ones are in most texts."""
+PARAGRAPH = -1
+"""Stands in place of the lane for paragraphs."""
 
 
 def _units(text: Column, side: int) -> Column:
-    """Hashes of the paragraphs (kind 0) and the phrases (kind 1) of a text."""
+    """(side, lane, h, g): hashes of the paragraphs, and of the phrases with their lanes."""
 
-    def hashed(x: Column, kind: int) -> Column:
-        return F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"))
+    def unit(x: Column, lane: Column) -> Column:
+        return F.struct(F.lit(side).alias("side"), lane.alias("lane"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"))
 
-    phrases = F.filter(F.split(text, PHRASE), lambda x: x != "")
-    return F.concat(F.transform(F.split(text, "\n"), lambda x: hashed(x, 0)), F.transform(phrases, lambda x: hashed(x, 1)))
+    phrases = F.filter(F.split(text, PHRASE), lambda x: F.length(x) >= SHORTEST)
+    paragraphs = F.transform(F.split(text, "\n"), lambda x: unit(x, F.lit(PARAGRAPH)))
+    return F.concat(paragraphs, F.transform(phrases, lambda x: unit(x, F.pmod(F.xxhash64(x, F.lit(2)), F.lit(LANES)).cast("int"))))
 
 
 def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, exact array<bigint>, like array<bigint>, n): sums of the units' vectors."""
-    paragraph, phrase = F.col("kind") == 0, F.col("kind") == 1
-    mask, low = F.lit(LANES).cast("bigint"), F.lit(0xFFFFFFFF).cast("bigint")
+    """(keys, print struct(exact, like, n)): sums of the units' vectors, lane by lane, then put together."""
+    paragraph, low = F.col("lane") == PARAGRAPH, F.lit(0xFFFFFFFF).cast("bigint")
     exact = [F.sum(F.when(paragraph, F.xxhash64("h", "g", F.lit(k)).bitwiseAND(low))).alias(f"x{k}") for k in range(EXACT)]
-    like = [
-        F.try_sum(F.when(phrase, F.shiftrightunsigned(word, b).bitwiseAND(mask))).alias(f"l{w}_{b}")
-        for w, word in enumerate(("h", "g")[:WORDS])
-        for b in range(STEP)
-    ]
-    found = rows.groupBy(*keys).agg(*exact, *like, F.count(F.when(phrase, 1)).alias("n"))
-    zero = F.lit(0).cast("bigint")
-    return found.select(
-        *keys,
-        F.array(*[F.coalesce(F.col(f"x{k}"), zero).bitwiseAND(low) for k in range(EXACT)]).alias("exact"),
-        F.array(*[F.coalesce(F.col(f"l{w}_{b}"), zero) for w in range(WORDS) for b in range(STEP)]).alias("like"),
-        "n",
+    sign = F.sum(F.when(F.col("g") < 0, -1).otherwise(1)).alias("c")
+    lanes = rows.groupBy(*keys, "lane").agg(*exact, sign, F.count(F.lit(1)).alias("n"))
+    whole = F.array(*[F.col(f"x{k}").bitwiseAND(low) for k in range(EXACT)])
+    entry = F.when((F.col("lane") >= 0) & (F.col("c") != 0), F.struct("lane", "c"))
+    found = lanes.groupBy(*keys).agg(
+        F.max(F.when(F.col("lane") == PARAGRAPH, whole)).alias("exact"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("like"),
+        F.coalesce(F.sum(F.when(F.col("lane") >= 0, F.col("n"))), F.lit(0)).alias("n"),
     )
+    return found.select(*keys, F.struct("exact", "like", "n").alias("print"))
 
 
 def joined(a: Column, b: Column) -> Column:
@@ -67,43 +65,45 @@ def without(a: Column, b: Column) -> Column:
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
+    zero = F.lit(0).cast("bigint")
+    both = F.map_zip_with(a["like"], b["like"], lambda k, x, y: F.coalesce(x, zero) + sign * F.coalesce(y, zero))
+    entries = F.array_sort(F.map_entries(F.map_filter(both, lambda k, v: v != 0)))
     return F.struct(
         F.zip_with(a["exact"], b["exact"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 32).cast("bigint"))).alias("exact"),
-        F.zip_with(a["like"], b["like"], lambda x, y: x + sign * y).alias("like"),
+        F.map_from_entries(entries).alias("like"),
         (a["n"] + sign * b["n"]).alias("n"),
     )
 
 
 def _dot(a: Column, b: Column) -> Column:
-    """Inner product of the signed lanes."""
+    """Inner product of the lanes."""
+    of_lane = lambda s, e: s + (e["value"] * F.coalesce(F.try_element_at(b["like"], e["key"]), F.lit(0))).cast("double")
+    return F.aggregate(F.map_entries(a["like"]), F.lit(0.0), of_lane)
 
-    def lane(x: Column, k: int, n: Column) -> Column:
-        return (F.shiftrightunsigned(x, 20 * k).bitwiseAND(F.lit(LANE).cast("bigint")) * 2 - n).cast("double")
 
-    products = F.zip_with(a["like"], b["like"], lambda x, y: sum((lane(x, k, a["n"]) * lane(y, k, b["n"]) for k in range(3)), F.lit(0.0)))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+def _square(a: Column) -> Column:
+    return F.aggregate(F.map_values(a["like"]), F.lit(0.0), lambda s, x: s + (x * x).cast("double"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: the estimated cosine of the two multisets of phrases; equal fingerprints have 1."""
-    scale = F.sqrt(_dot(a, a) * _dot(b, b))
+    scale = F.sqrt(_square(a) * _square(b))
     cosine = F.when(scale > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot(a, b) / scale))).otherwise(0.0)
-    return F.when((a["exact"] == b["exact"]) & (a["like"] == b["like"]), 1.0).otherwise(cosine)
+    return F.when(a["exact"] == b["exact"], 1.0).otherwise(cosine)
 
 
 def as_text(a: Column) -> Column:
-    """exact and like in hexadecimal, and the number of phrases."""
-    return F.concat(
-        F.array_join(F.transform(a["exact"], lambda x: F.lpad(F.hex(x), 8, "0")), ""), F.lit(":"),
-        F.array_join(F.transform(a["like"], lambda x: F.lpad(F.hex(x), 16, "0")), ""), F.lit(":"), a["n"].cast("string"),
-    )
+    """exact in hexadecimal, the lanes as lane=count, and the number of phrases."""
+    lanes = F.transform(F.map_entries(a["like"]), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    exact = F.array_join(F.transform(a["exact"], lambda x: F.lpad(F.hex(x), 8, "0")), "")
+    return F.concat_ws(":", exact, F.array_join(lanes, ","), a["n"].cast("string"))
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` with fingerprint struct(exact, like, n), for every row.  Null texts count as empty."""
     own = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), _units(F.coalesce(F.col(text), F.lit("")), 0).alias("_units"))
     rows = own.select(F.struct(*keep).alias("_kept"), "_row", F.explode("_units").alias("_u")).select("_kept", "_row", "_u.*")
-    return _sums(rows, ["_row", "_kept"]).select("_kept.*", F.struct("exact", "like", "n").alias("fingerprint"))
+    return _sums(rows, ["_row", "_kept"]).select("_kept.*", F.col("print").alias("fingerprint"))
 
 
 def _followers(rows: DataFrame) -> DataFrame:
@@ -150,21 +150,21 @@ def neighbour_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text")
     heads = _once(texts.join(wanted, "row")).select(F.col("of").alias("row"), "id", "copies", "take", F.expr("substring(text, 1, take)").alias("head"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - take)"), "head")
     pairs = _once(texts.join(heads, "row")).select("row", "id", "copies", "text", edited.alias("edited"))
-    facts = pairs.select(
-        "row", F.struct("id", "copies", F.length("text").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")).alias("doc"),
-        F.explode(F.concat(_units(F.col("text"), 0), _units(F.col("edited"), 1))).alias("u"),
-    )
-    prints = _sums(facts.select("row", "doc", "u.*"), ["row", "doc", "side"]).select("row", "doc", "side", F.struct("exact", "like", "n").alias("print"))
-    both = cut_lineage(
-        prints.groupBy("row", "doc").agg(
-            F.first(F.when(F.col("side") == 0, F.col("print")), True).alias("own"), F.first(F.when(F.col("side") == 1, F.col("print")), True).alias("edited")
-        )
-    )
+    # what is known of a document travels with one unit of its own, beside the others
+    facts = F.array_join(F.array(F.col("id").cast("string"), F.col("copies").cast("string"), F.length("text").cast("string"), F.sha2("edited", 256)), "|", "")
+    told = F.array(F.struct(F.lit(2).alias("side"), F.lit(0).alias("lane"), F.lit(0).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("g"), facts.alias("note")))
+    bare = lambda units: F.transform(units, lambda u: F.struct(u["side"], u["lane"], u["h"], u["g"], F.lit(None).cast("string").alias("note")))
+    units = F.concat(told, bare(_units(F.col("text"), 0)), bare(_units(F.col("edited"), 1)))
+    prints = _sums(pairs.select("row", F.explode(units).alias("u")).select("row", "u.*"), ["row", "side", "note"])
+    side = lambda k: F.first(F.when(F.col("side") == k, F.col("print")), True)
+    both = cut_lineage(prints.groupBy("row").agg(F.max("note").alias("note"), side(0).alias("own"), side(1).alias("edited")))
     after = both.select("row", F.col("own").alias("following")).join(wanted.select("row", "of"), "row").select(F.col("of").alias("row"), "following")
     mine, changed, following = F.col("own"), F.col("edited"), F.col("following")
+    note = F.split("note", r"\|", -1)
     out = both.join(after, "row").select(
-        F.col("doc.id").alias(key), F.col("doc.n_chars").cast("bigint").alias("n_chars"), "doc.edited_sha256",
+        F.when(F.get(note, F.lit(0)) != "", F.get(note, F.lit(0))).cast(docs.schema[key].dataType).alias(key),
+        F.get(note, F.lit(2)).cast("bigint").alias("n_chars"), F.get(note, F.lit(3)).alias("edited_sha256"),
         as_text(mine).alias("fingerprint"), as_text(changed).alias("edited_fingerprint"),
-        likeness(mine, changed).alias("near_edited"), likeness(mine, following).alias("near_next"), F.col("doc.copies").alias("_copies"),
+        likeness(mine, changed).alias("near_edited"), likeness(mine, following).alias("near_next"), F.get(note, F.lit(1)).cast("int").alias("_copies"),
     )
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
