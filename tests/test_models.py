@@ -101,7 +101,7 @@ def test_clustering(people, algorithm):
     assert made.scored.select("predicted").distinct().count() == 3
     assert made.metrics["silhouette"] > 0 and made.metrics["daviesBouldin"] > 0
     assert ("inertia" in made.metrics) == (algorithm == "kmeans")
-    assert set(train.pca_scatter(made.scored, "predicted", ["id"]).columns) == {"x", "y", "cluster"}
+    assert set(train.pca_scatter(made.scored, "predicted", ["id"]).columns) == {"id", "x", "y", "cluster"}
 
 
 def test_task_rule():
