@@ -29,7 +29,7 @@ from .kernels import slices, texts_of
 LENGTH = 2048
 GROUP = 8192
 """Pieces packed together, on average."""
-KEPT = 250_000
+KEPT = 500_000
 """Words whose ids are kept at most."""
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 LETTERS = dict(enumerate(byte_characters()))
