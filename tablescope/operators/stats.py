@@ -20,7 +20,7 @@ from ..functions.columns import (
     sample_skewness,
 )
 from .blocks import TASK_ROWS, cut_lineage, running_totals
-from .lookups import broadcast_if_small
+from .lookups import BROADCAST_BYTES, measured_bytes
 from .quantiles import quantiles
 
 STATISTICS = [
@@ -290,12 +290,13 @@ def average_ranks(df: DataFrame, columns: Sequence[str], task_rows: int = TASK_R
     return totals.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0).drop("upto")
 
 
-def spearman(df: DataFrame, columns: Sequence[str] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+def spearman(df: DataFrame, columns: Sequence[str] | None = None, task_rows: int = TASK_ROWS, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Rank correlation matrix in the form of :func:`pearson`, listwise nulls dropped.
 
-    Rows are written once with a number and go long: one join fetches the
-    ranks of all columns, one regrouping by number makes rows of ranks again,
-    however many columns there are.
+    Ranks of measured small size are looked up column by column without a
+    shuffle.  Beyond it rows are written once with a number and go long: one
+    join fetches the ranks of all columns, one regrouping by number makes rows
+    of ranks again, however many columns there are.
     """
     columns = list(numeric_columns(df) if columns is None else columns)
     for c in columns:
@@ -303,13 +304,19 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, task_rows: int
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, coefficient double")
     values = df.select(*[double(c).alias(f"v{i}") for i, c in enumerate(columns)]).na.drop()
-    rows = cut_lineage(values.withColumn("_row", F.monotonically_increasing_id()))
-    ranks = average_ranks(rows, values.columns, task_rows).select("column", "value", "rank")
-    cells = rows.select("_row", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in values.columns])).alias("c"))
-    ranked = cells.select("_row", "c.*").join(broadcast_if_small(cut_lineage(ranks)), ["column", "value"])
-    back = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(f"c{i}") for i, c in enumerate(values.columns)])
-    ranked = back.drop("_row")
-    return _pairs(ranked, columns) if len(columns) <= AGGREGATED else _products(ranked, columns)
+    ranks = cut_lineage(average_ranks(values, values.columns, task_rows).select("column", "value", "rank"))
+    if measured_bytes(ranks) <= limit:
+        ranked = values
+        for i, c in enumerate(values.columns):
+            one = ranks.where(F.col("column") == c).select(F.col("value").alias(f"k{i}"), F.col("rank").alias(f"c{i}"))
+            ranked = ranked.join(F.broadcast(one), F.col(c) == F.col(f"k{i}")).drop(f"k{i}", c)
+    else:
+        rows = cut_lineage(values.withColumn("_row", F.monotonically_increasing_id()))
+        cells = rows.select("_row", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in values.columns])).alias("c"))
+        found = cells.select("_row", "c.*").join(ranks, ["column", "value"])
+        back = found.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(f"c{i}") for i, c in enumerate(values.columns)])
+        ranked = back.drop("_row")
+    return _pairs(ranked, columns) if len(columns) <= AGGREGATED else _products(ranked.select(*[f"c{i}" for i in range(len(columns))]), columns)
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
