@@ -1,18 +1,15 @@
-"""Near-duplicate vectors by NN-descent.
+"""Near-duplicate vectors by exact comparison of blocks.
 
 1. Equal vectors of one label are one node with a weight.
-2. The neighbour graph starts from several sorted orders: in each, nodes are sorted by label and the signs of random
-   projections, and each node meets the next few.
-3. A round joins neighbours of neighbours: a node's forward neighbours meet one another and its reverse neighbours,
-   as far as one of the two edges is new; a pair that improves either end's list is proposed, and lists keep the
-   best ``K``.  Reverse neighbours stream past the forward ones, so a hub needs no memory.  Rounds end when they
-   find hardly any new link.
-4. A list full of links is saturated.  It is enlarged to the node's whole component of links: the component is cut
-   into blocks, and pairs of blocks are counted exactly, giving numbers of links and no pairs.
-5. Recall is audited on a bounded set of nodes against all others; while it is below ``RECALL``, more orders and
-   rounds follow.
-
-Cosines are taken in double precision from the components as given.
+2. Nodes are sorted by label and the signs of random projections, so that like vectors are close, and cut into blocks
+   of a bounded number of rows and bytes.
+3. Every block is compared with itself, then with every other block of its label: links are counted, not listed.
+   A comparison adds to the graph only the edges that join what it has not joined yet.
+4. Components come from these edges.
+
+Every pair of vectors of one label is compared, so no link is missed; the work grows with the square of a label's
+number of distinct vectors, the memory of a task does not grow.  Cosines are taken in double precision from the
+components as given; single precision only rules out pairs that are clearly on one side of the threshold.
 """
 
 from __future__ import annotations
@@ -24,23 +21,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.blocks import cut_lineage
+from ..operators.blocks import cut_lineage, spread_groups
 from .graph import components
 
-K = 8
-ORDERS = 8
-AHEAD = 3
-"""Following nodes that a node meets in an order."""
-ROUNDS = 6
-SETTLED = 0.002
-"""Rounds end when they add less than this share of the links."""
-RECALL = 0.95
-AUDIT = 256
-"""Nodes audited, at most: those whose ids hash lowest among ids divisible by 100, or among all where there are none."""
-EXTRA = 3
-"""Further sets of orders when the audit fails."""
-SIDE = 64
-"""Blocks per component at most, and nodes per block at least."""
+ROWS = 4096
+"""Nodes per block at most."""
+BYTES = 8 << 20
+"""Bytes of the vectors of a block at most; a single longer vector is a block of its own."""
+CHUNK = 512
+"""Nodes compared with a block at a time."""
 
 
 def _units(raw: list[bytes], kind: str) -> np.ndarray:
@@ -76,181 +65,126 @@ def _valid(kind: str):
     return valid
 
 
-def _codes(kind: str, first: int, orders: int):
-    """Each node once per order, with the signs of 62 random projections as a number."""
+def _codes(kind: str):
+    """Nodes with the signs of 62 random projections as a number."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(2).to_pylist()
+            raw = batch.column(3).to_pylist()
             size = np.array([len(x) for x in raw])
+            code = np.zeros(len(raw), np.int64)
             for length in np.unique(size):
                 own = np.flatnonzero(size == length)
                 x = _units([raw[i] for i in own], kind)
-                part = batch.take(pa.array(own))
-                for order in range(first, first + orders):
-                    plane = np.random.default_rng(1000 + order).standard_normal((x.shape[1], 62))
-                    code = ((x @ plane) > 0) @ (1 << np.arange(61, -1, -1, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(1), pa.array(np.full(len(own), order, np.int32)), pa.array(code), part.column(2)],
-                        names=["rep", "grp", "turn", "code", "raw"],
-                    )
+                plane = np.random.default_rng(1000).standard_normal((x.shape[1], 62))
+                code[own] = ((x @ plane) > 0) @ (1 << np.arange(61, -1, -1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=["grp", "rep", "w", "raw", "code"])
 
     return codes
 
 
-def _meet(kind: str):
-    """Sorted rows (rep, grp, turn, code, raw) to edges with the next few rows of the same label and order."""
+def _cut(rows: int):
+    """Sorted nodes with a number of their block; a block has one label and lies in one partition."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            here = pa.Table.from_batches([batch])
-            old = tail.num_rows if tail is not None else 0
-            rows = pa.concat_tables([tail, here]) if tail is not None else here
-            tail = rows.slice(max(0, rows.num_rows - AHEAD))
-            rep, raw, size = rows["rep"].to_numpy(), rows["raw"].to_pylist(), None
-            same = [f"{g}|{t}" for g, t in zip(rows["grp"].to_pylist(), rows["turn"].to_pylist())]
-            size = np.array([len(x) for x in raw])
-            _, group = np.unique(same, return_inverse=True)
-            units = np.zeros((len(raw), size.max() // np.dtype(kind).itemsize))
-            for length in np.unique(size):
-                own = np.flatnonzero(size == length)
-                units[own, : length // np.dtype(kind).itemsize] = _units([raw[i] for i in own], kind)
-            for step in range(1, AHEAD + 1):
-                i = np.arange(max(0, old - step), len(rep) - step)
-                i = i[(group[i] == group[i + step]) & (i + step >= old)]
-                sim = np.einsum("ij,ij->i", units[i], units[i + step])
-                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[i + step]), pa.array(sim)], names=["a", "b", "sim"])
-
-    return meet
-
-
-EDGE = "a bigint, b bigint, sim double"
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-
-def _local_join(kind: str):
-    """Rows sorted by pivot, forward neighbours first: (pivot, member, forward, fresh, bar, raw) to proposed edges."""
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = None
-        ahead: tuple | None = None
+        block, last, n, size = TaskContext.get().partitionId() << 32, None, 0, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pivots = batch.column(0).to_numpy()
-            member, forward = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            fresh, bar = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy()
-            raw = batch.column(5).to_pylist()
-            edges = np.flatnonzero(np.diff(pivots)) + 1
             out = []
-            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(pivots)]):
-                if pivots[s] != pivot:
-                    pivot, ahead = pivots[s], None
-                here = (member[s:e], fresh[s:e], bar[s:e], _units(raw[s:e], kind))
-                own = forward[s:e]
-                mine = tuple(x[own] for x in here)
-                ahead = mine if ahead is None else tuple(np.concatenate([x, y]) for x, y in zip(ahead, mine))
-                sims = ahead[3] @ here[3].T
-                good = (sims > np.minimum(ahead[2][:, None], here[2][None, :])) & (ahead[1][:, None] | here[1][None, :])
-                good &= ahead[0][:, None] != here[0][None, :]
-                x, y = np.nonzero(good)
-                out.append((ahead[0][x], here[0][y], sims[x, y]))
-            a, b, sim = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sim)], names=["a", "b", "sim"])
-
-    return join
-
-
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """(a, near array<struct<sim, b>>): the ``k`` nearest of each node, ties to the smaller id."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    once = both.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "b")))
-    return once.groupBy("a").agg(F.slice(ranked, 1, k).alias("near"))
-
-
-def _edges(graph: DataFrame) -> DataFrame:
-    return graph.select("a", F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), (-F.col("e.far")).alias("sim"))
-
-
-def _round(graph: DataFrame, old: DataFrame | None, nodes: DataFrame, kind: str, k: int) -> DataFrame:
-    """Proposed edges from neighbours of neighbours."""
-    edges = _edges(graph)
-    if old is None:
-        edges = edges.withColumn("fresh", F.lit(True))
-    else:
-        before = _edges(old).select("a", "b", F.lit(False).alias("known"))
-        edges = edges.join(before, ["a", "b"], "left").withColumn("fresh", F.coalesce("known", F.lit(True)))
-    ahead = edges.select(F.col("a").alias("pivot"), F.col("b").alias("member"), F.lit(True).alias("forward"), "fresh")
-    back = edges.select(F.col("b").alias("pivot"), F.col("a").alias("member"), F.lit(False).alias("forward"), "fresh")
-    bars = graph.select(F.col("a").alias("rep"), F.when(F.size("near") < k, -2.0).otherwise(-F.element_at("near", -1)["far"]).alias("bar"))
-    facts = nodes.select("rep", "raw").join(bars, "rep", "left")
-    rows = ahead.unionByName(back).join(facts, F.col("member") == F.col("rep"))
-    rows = rows.select("pivot", "member", "forward", "fresh", F.coalesce("bar", F.lit(-2.0)).alias("bar"), "raw")
-    return rows.repartition("pivot").sortWithinPartitions("pivot", F.col("forward").desc()).mapInArrow(_local_join(kind), EDGE)
-
-
-def _count_blocks(kind: str, least: float):
-    """Number of links, by weight, of the nodes of two blocks across (or of one within)."""
-
-    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        low, high = key[1].as_py(), key[2].as_py()
-        rep, block, w = table["rep"].to_numpy(), table["block"].to_numpy(), table["w"].to_numpy()
+            for grp, raw in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                if n and (grp != last or n >= rows or size + len(raw) > BYTES):
+                    block, n, size = block + 1, 0, 0
+                last, n, size = grp, n + 1, size + len(raw)
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int64())], names=["grp", "rep", "w", "raw", "block"])
+
+    return cut
+
+
+def _near(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the cosines of the rows of ``a`` and ``b`` reach ``least``; pairs close to it are settled in double precision."""
+    sims = a.astype(np.float32) @ b.astype(np.float32).T
+    near = sims >= least
+    slack = (a.shape[1] + 8) * 2.0**-22
+    i, j = np.nonzero(np.abs(sims - least) <= slack)
+    for at in range(0, len(i), 1 << 14):
+        x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        near[x, y] = np.einsum("ij,ij->i", a[x], b[y]) >= least
+    return near
+
+
+def _compare(units: np.ndarray, a: np.ndarray, b: np.ndarray, rep: np.ndarray, w: np.ndarray, part: np.ndarray, least: float):
+    """Links of rows ``a`` with rows ``b`` (the same rows, or none in common): (number of links by weight of each row,
+    edges (row, row) that join parts not joined before).  ``part`` (parts by number) is joined in place."""
+    n, edges, same = np.zeros(len(rep), np.int64), [], a is b
+    for at in range(0, len(a), CHUNK):
+        own = a[at : at + CHUNK]
+        near = _near(units[own], units[b], least)
+        near &= rep[own][:, None] != rep[b][None, :]
+        i, j = np.nonzero(near)
+        n[own] += np.bincount(i, w[b[j]], len(own)).astype(np.int64)
+        if not same:
+            n[b] += np.bincount(j, w[own[i]], len(b)).astype(np.int64)
+        for i in np.flatnonzero((near & (part[own][:, None] != part[b][None, :])).any(axis=1)):
+            row, cols = own[i], b[near[i]]
+            found, first = np.unique(part[cols], return_index=True)
+            other = found != part[row]
+            if other.any():
+                edges += [(row, cols[f]) for f in first[other]]
+                part[np.isin(part, found[other])] = part[row]
+    return n, edges
+
+
+def _within(kind: str, least: float):
+    """A block to its nodes with their links inside it and ``part``, the smallest node reachable inside it; the first
+    row has the block's mean direction and the largest angle from it."""
+
+    def within(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rep, w = table["rep"].to_numpy(), table["w"].to_numpy()
         units = _units(table["raw"].to_pylist(), kind)
-        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        n = np.zeros(len(rep), np.int64)
-        for at in range(0, len(a), 512):
-            part = a[at : at + 512]
-            near = units[part] @ units[b].T >= least
-            near &= rep[part][:, None] != rep[b][None, :]
-            n[part] += near @ w[b]
-            if low != high:
-                n[b] += w[part] @ near
-        return pa.table({"rep": rep, "n": n})
-
-    return count
-
-
-def _audit(kind: str, least: float, grp: list[str], rep: list[int], raw: list[bytes]):
-    """Links of the audited nodes (bounded in number) among the rows of each batch."""
-
-    def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: dict[str, list[int]] = {}
-        for i, g in enumerate(grp):
-            of.setdefault(g, []).append(i)
-        units = {g: _units([raw[i] for i in own], kind) for g, own in of.items()}
-        total = np.zeros(len(rep), np.int64)
-        for batch in batches:
-            names, ids, w, data = (batch.column(i).to_pylist() for i in range(4))
-            where: dict[str, list[int]] = {}
-            for i, g in enumerate(names):
-                if g in of:
-                    where.setdefault(g, []).append(i)
-            for g, rows in where.items():
-                near = units[g] @ _units([data[i] for i in rows], kind).T >= least
-                near &= np.array([rep[i] for i in of[g]])[:, None] != np.array([ids[i] for i in rows])[None, :]
-                total[of[g]] += near @ np.array([w[i] for i in rows])
-        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(total)], names=["rep", "truth"])
-
-    return audit
-
-
-def _recall(nodes: DataFrame, counts: DataFrame, kind: str, least: float) -> float:
-    """Share of the audited nodes' links that were counted; 1 where they have none."""
-    by_hash = nodes.orderBy(F.col("rep") % 100 != 0, F.xxhash64("rep"), "rep").limit(AUDIT)
-    chosen = by_hash.select("grp", "rep", "raw").collect()
-    if not chosen:
-        return 1.0
-    task = _audit(kind, least, *[[r[c] for r in chosen] for c in ("grp", "rep", "raw")])
-    truth = nodes.select("grp", "rep", "w", "raw").mapInArrow(task, "rep bigint, truth bigint").groupBy("rep").agg(F.sum("truth").alias("truth"))
-    both = truth.join(counts, "rep", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("n", F.lit(0))))).first()
-    return both[1] / both[0] if both[0] else 1.0
+        rows, part = np.arange(len(rep)), np.arange(len(rep))
+        n, _ = _compare(units, rows, rows, rep, w, part, least)
+        low = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(low, part, rep)
+        mean = units.sum(axis=0)
+        mean = mean / np.linalg.norm(mean) if np.linalg.norm(mean) > 1e-6 else units[0]
+        angle = float(np.arccos(np.clip((units @ mean).min(), -1, 1)))
+        none = [None] * (len(rep) - 1)
+        return pa.table(
+            {"grp": table["grp"], "block": table["block"], "rep": rep, "w": w, "raw": table["raw"], "n": n, "part": low[part],
+             "mean": pa.array([mean.tolist(), *none], pa.list_(pa.float64())), "angle": pa.array([angle, *none], pa.float64())}
+        )
+
+    return within
+
+
+def _across(kind: str, least: float):
+    """Two blocks to (rep, n, null), their links across, and (rep, 0, other), edges that join their parts."""
+
+    def across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rep, w, block = table["rep"].to_numpy(), table["w"].to_numpy(), table["block"].to_numpy()
+        units = _units(table["raw"].to_pylist(), kind)
+        _, part = np.unique(table["part"].to_numpy(), return_inverse=True)
+        a, b = (np.flatnonzero(block == k.as_py()) for k in key)
+        n, edges = _compare(units, a, b, rep, w, part, least)
+        some = np.flatnonzero(n)
+        x, y = np.array(edges, np.int64).reshape(-1, 2).T
+        other = pa.array([*[None] * len(some), *rep[y].tolist()], pa.int64())
+        return pa.table({"rep": np.concatenate([rep[some], rep[x]]), "n": np.concatenate([n[some], np.zeros(len(x), np.int64)]), "other": other})
+
+    return across
+
+
+def _pairs(blocks: DataFrame) -> DataFrame:
+    """(a, b): the pairs of blocks of one label."""
+    left = blocks.select("grp", F.col("block").alias("a"))
+    right = blocks.select("grp", F.col("block").alias("b"))
+    return left.join(right, "grp").where("a < b").select("a", "b")
 
 
 def linked_vectors(
-    vectors: DataFrame, least: float = 0.93, key: str = "vec_id", label: str = "label", embedding: str = "embedding", k: int = K
+    vectors: DataFrame, least: float = 0.93, key: str = "vec_id", label: str = "label", embedding: str = "embedding", rows_per_block: int = ROWS
 ) -> DataFrame:
     """Per row: key, n_links (other rows linked directly), component_id (smallest key reachable) and kept.
 
@@ -266,43 +200,19 @@ def linked_vectors(
     nodes = cut_lineage(
         rows.groupBy("grp", "low", "high").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("raw").alias("raw"))
     )
-    found = None
-    for attempt in range(1 + EXTRA):
-        spread = nodes.select("rep", "grp", "raw").mapInArrow(_codes(kind, attempt * ORDERS, ORDERS), "rep bigint, grp string, turn int, code bigint, raw binary")
-        parts = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        ordered = spread.repartitionByRange(parts, "grp", "turn", "code", "rep").sortWithinPartitions("grp", "turn", "code", "rep")
-        met = ordered.mapInArrow(_meet(kind), EDGE)
-        graph = cut_lineage(_best(met if found is None else met.unionByName(_edges(found)), k))
-        old, links = found, -1
-        for _ in range(ROUNDS):
-            proposed = _round(graph, old, nodes, kind, k)
-            after = cut_lineage(_best(_edges(graph).unionByName(proposed), k))
-            now = _edges(after).where(F.col("sim") >= least).count()
-            old, graph = graph, after
-            if links >= 0 and now <= links * (1 + SETTLED):
-                break
-            links = now
-        found = graph
-        edges = _edges(graph).where(F.col("sim") >= least)
-        roots = cut_lineage(components(edges.select("a", "b")))
-        full = graph.where((F.size("near") >= k) & (-F.element_at("near", -1)["far"] >= least)).select(F.col("a").alias("node"))
-        dense = roots.join(full, "node", "left_semi").select("root").distinct()
-        inside = roots.join(dense, "root", "left_semi")
-        sizes = inside.groupBy("root").agg(F.least(F.lit(SIDE), F.ceil(F.count(F.lit(1)) / SIDE)).cast("int").alias("blocks"))
-        placed = (
-            inside.join(sizes, "root")
-            .join(nodes.select("rep", "w", "raw"), F.col("node") == F.col("rep"))
-            .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "w", "raw")
-        )
-        dense_counts = placed.groupBy("root", "low", "high").applyInArrow(_count_blocks(kind, least), "rep bigint, n bigint")
-        thin = edges.join(inside.select(F.col("node").alias("a")), "a", "left_anti").join(nodes.select(F.col("rep").alias("b"), "w"), "b")
-        counts = cut_lineage(
-            dense_counts.unionByName(thin.select(F.col("a").alias("rep"), F.col("w").alias("n"))).groupBy("rep").agg(F.sum("n").alias("n"))
-        )
-        if _recall(nodes, counts, kind, least) >= RECALL:
-            break
+    parts = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    coded = nodes.select("grp", "rep", "w", "raw").mapInArrow(_codes(kind), "grp string, rep bigint, w bigint, raw binary, code bigint")
+    ordered = coded.repartitionByRange(parts, "grp", "code", "rep").sortWithinPartitions("grp", "code", "rep")
+    cut = ordered.mapInArrow(_cut(rows_per_block), "grp string, rep bigint, w bigint, raw binary, block bigint")
+    form = "grp string, block bigint, rep bigint, w bigint, raw binary, n bigint, part bigint, mean array<double>, angle double"
+    placed = cut_lineage(spread_groups(cut, ["block"]).groupBy("block").applyInArrow(_within(kind, least), form))
+    sides = _pairs(placed.where("mean is not null")).withColumn("block", F.explode(F.array("a", "b")))
+    both = sides.join(placed.select("block", "rep", "w", "raw", "part"), "block")
+    met = cut_lineage(spread_groups(both, ["a", "b"]).groupBy("a", "b").applyInArrow(_across(kind, least), "rep bigint, n bigint, other bigint"))
+    joins = met.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    edges = placed.where("rep <> part").select(F.col("rep").alias("a"), F.col("part").alias("b")).unionByName(joins)
+    roots = cut_lineage(components(edges))
+    counts = placed.select("rep", "n").unionByName(met.where("other is null").select("rep", "n")).groupBy("rep").agg(F.sum("n").alias("n"))
     per_node = (
         nodes.select("grp", "low", "high", "rep", "w")
         .join(counts, "rep", "left")

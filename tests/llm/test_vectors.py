@@ -52,3 +52,27 @@ def test_components(spark):
                 root[a] = root[b] = min(root[a], root[b])
                 changed = True
     assert got == root
+
+
+def brute(ids, x, least=0.93):
+    """Numbers of links and smallest ids reachable, by all pairs."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= least
+    root, before = ids.copy(), None
+    while before is None or (root != before).any():
+        before, root = root, np.array([root[n].min() for n in near])
+    return {int(i): (int(n.sum()) - 1, int(r), bool(i == r)) for i, n, r in zip(ids, near, root)}
+
+
+def linked(spark, x, **options):
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int").repartition(3)
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.linked_vectors(df, **options).collect()}
+
+
+def test_tight_clusters_that_are_linked_with_each_other(spark):
+    rng = np.random.default_rng(9)
+    a, b = np.eye(32)[0], 0.95 * np.eye(32)[0] + (1 - 0.95**2) ** 0.5 * np.eye(32)[1]
+    x = np.array([c + rng.normal(size=32) * 0.002 for c in (a, b) for _ in range(20)])
+    want = brute(np.arange(len(x)), x)
+    assert {v[:2] for v in want.values()} == {(39, 0)}
+    assert linked(spark, x) == want
