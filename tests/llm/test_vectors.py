@@ -76,3 +76,14 @@ def test_tight_clusters_that_are_linked_with_each_other(spark):
     want = brute(np.arange(len(x)), x)
     assert {v[:2] for v in want.values()} == {(39, 0)}
     assert linked(spark, x) == want
+
+
+def test_no_pair_is_missed_in_a_large_label(spark):
+    rng = np.random.default_rng(10)
+    a = rng.normal(size=(4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    b = 0.94 * a + (1 - 0.94**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    got = linked(spark, np.concatenate([a, b]))
+    assert got == {k: (1, k % 4000, k < 4000) for k in range(8000)}
