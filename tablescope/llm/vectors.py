@@ -3,11 +3,11 @@
 1. Equal vectors of one label are one node with a weight.
 2. Nodes are sorted by label and the signs of random projections, so that like vectors are close, and cut into blocks
    of a bounded number of rows and bytes.
-3. Every block is compared with itself, then with every other block of its label: links are counted, not listed.
-   A comparison adds to the graph only the edges that join what it has not joined yet.
+3. Every block is compared with itself, then with every other block of its label, unless the angles of both from
+   their means leave no room for a link.  Links are counted, not listed.  A comparison adds to the graph only the edges that join what it has not joined yet.
 4. Components come from these edges.
 
-Every pair of vectors of one label is compared, so no link is missed; the work grows with the square of a label's
+Every pair of vectors of one label that bounds do not rule out is compared, so no link is missed; the work grows with the square of a label's
 number of distinct vectors, the memory of a task does not grow.  Cosines are taken in double precision from the
 components as given; single precision only rules out pairs that are clearly on one side of the threshold.
 """
@@ -176,11 +176,24 @@ def _across(kind: str, least: float):
     return across
 
 
-def _pairs(blocks: DataFrame) -> DataFrame:
-    """(a, b): the pairs of blocks of one label."""
-    left = blocks.select("grp", F.col("block").alias("a"))
-    right = blocks.select("grp", F.col("block").alias("b"))
-    return left.join(right, "grp").where("a < b").select("a", "b")
+def _blocks(nodes: DataFrame, kind: str, least: float, rows: int) -> DataFrame:
+    """Nodes (grp, rep, w, raw) with their blocks and what ``_within`` adds."""
+    parts = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    coded = nodes.select("grp", "rep", "w", "raw").mapInArrow(_codes(kind), "grp string, rep bigint, w bigint, raw binary, code bigint")
+    ordered = coded.repartitionByRange(parts, "grp", "code", "rep").sortWithinPartitions("grp", "code", "rep")
+    cut = ordered.mapInArrow(_cut(rows), "grp string, rep bigint, w bigint, raw binary, block bigint")
+    form = "grp string, block bigint, rep bigint, w bigint, raw binary, n bigint, part bigint, mean array<double>, angle double"
+    return cut_lineage(spread_groups(cut, ["block"]).groupBy("block").applyInArrow(_within(kind, least), form))
+
+
+def _pairs(blocks: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of blocks of one label between which the angles from their means leave room for a link."""
+    left = blocks.select("grp", F.col("block").alias("a"), F.col("mean").alias("mean_a"), F.col("angle").alias("angle_a"))
+    right = blocks.select("grp", F.col("block").alias("b"), F.col("mean").alias("mean_b"), F.col("angle").alias("angle_b"))
+    cosine = F.aggregate(F.zip_with("mean_a", "mean_b", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    reach = float(np.arccos(np.clip(least, -1, 1))) + 1e-6
+    return left.join(right, "grp").where("a < b").where(apart <= F.col("angle_a") + F.col("angle_b") + reach).select("a", "b")
 
 
 def linked_vectors(
@@ -200,13 +213,8 @@ def linked_vectors(
     nodes = cut_lineage(
         rows.groupBy("grp", "low", "high").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("raw").alias("raw"))
     )
-    parts = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    coded = nodes.select("grp", "rep", "w", "raw").mapInArrow(_codes(kind), "grp string, rep bigint, w bigint, raw binary, code bigint")
-    ordered = coded.repartitionByRange(parts, "grp", "code", "rep").sortWithinPartitions("grp", "code", "rep")
-    cut = ordered.mapInArrow(_cut(rows_per_block), "grp string, rep bigint, w bigint, raw binary, block bigint")
-    form = "grp string, block bigint, rep bigint, w bigint, raw binary, n bigint, part bigint, mean array<double>, angle double"
-    placed = cut_lineage(spread_groups(cut, ["block"]).groupBy("block").applyInArrow(_within(kind, least), form))
-    sides = _pairs(placed.where("mean is not null")).withColumn("block", F.explode(F.array("a", "b")))
+    placed = _blocks(nodes, kind, least, rows_per_block)
+    sides = _pairs(placed.where("mean is not null"), least).withColumn("block", F.explode(F.array("a", "b")))
     both = sides.join(placed.select("block", "rep", "w", "raw", "part"), "block")
     met = cut_lineage(spread_groups(both, ["a", "b"]).groupBy("a", "b").applyInArrow(_across(kind, least), "rep bigint, n bigint, other bigint"))
     joins = met.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))

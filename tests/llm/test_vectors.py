@@ -87,3 +87,15 @@ def test_no_pair_is_missed_in_a_large_label(spark):
     b = 0.94 * a + (1 - 0.94**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
     got = linked(spark, np.concatenate([a, b]))
     assert got == {k: (1, k % 4000, k < 4000) for k in range(8000)}
+
+
+def test_blocks_are_bounded_and_far_ones_are_not_compared(spark):
+    rng = np.random.default_rng(11)
+    x = np.array([c + rng.normal(size=16) * 0.02 for c in np.eye(16)[:3] for _ in range(100)])
+    rows = [("1|16", k, 1, bytearray(v.astype("<f8").tobytes())) for k, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "grp string, rep bigint, w bigint, raw binary")
+    placed = vectors._blocks(nodes, "<f8", 0.93, 20)
+    blocks = placed.where("mean is not null")
+    assert placed.groupBy("block").count().agg({"count": "max"}).first()[0] <= 20 and placed.count() == 300
+    assert 0 < vectors._pairs(blocks, 0.93).count() < vectors._pairs(blocks, -1.0).count()
+    assert linked(spark, x, rows_per_block=20) == brute(np.arange(len(x)), x)
