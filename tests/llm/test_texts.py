@@ -307,3 +307,25 @@ def test_scan_over_many_blocks():
 def test_passage_is_the_only_loss(docs):
     got = substrings.remove_repeats(docs, 50, keep=["doc_id"]).where("doc_id = 2").first()
     assert PASSAGE not in got.kept_text and got.kept_text == "Other words lead to and more."
+
+
+def test_other_forms_of_personal_data_are_added(spark):
+    rng = np.random.default_rng(12)
+    digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
+    texts = []
+    for i in range(60):
+        card = next(c for c in iter(lambda: digits(16), None) if pii.luhn(c))
+        texts.append(f"words and u{i}@mail{i % 9}.example.com, then 10.{i}.3.{i} or so {card} with +1 ({digits(3)}) 555-{digits(4)} more; not {digits(16)} here")
+    model = pii.fit_pii(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string"))
+    forms = {"bob [at] mail [dot] com": 0, "10 . 0 . 0 . 1": 1, "4111.1111.1111.1111": 2, "(417) 555-1301": 3, "417-555-1301": 3}
+    for form, kind in forms.items():
+        text = f"it was {form} as said"
+        assert pii.all_spans(text, model) == ([], [(kind, 7, 7 + len(form))]), form
+        assert pii.redacted(text, pii.all_spans(text, model)[1]) == f"it was [{pii.KINDS[kind].upper()}] as said"
+    for clean in ("order 4175551301", "on 2024-05-17 we", "8367421f83b7", "list 12, 7, 200, 4", "see you @ school. Then", "4111.1111.1111.1112", "1234567890123456"):
+        assert pii.all_spans(f"it was {clean} as said", model) == ([], []), clean
+
+
+def test_digits_run_together_are_no_card():
+    text = next(t for d in range(10) if pii.luhn(re.sub("[^0-9]", "", t := f"+1 (826) 555-4081 190.137.223.{d}")))
+    assert not pii._plausible(2, text) and pii.describe(text, 2, 0, len(text))[11] == 0.0
