@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_round_trip
+from .conversations import repaired_conversations
 from .fingerprints import neighbour_likeness
 from .neardup import near_duplicates
 from .packing import pack_pieces, token_pieces
@@ -89,3 +90,8 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_linked_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return linked_vectors(table(spark, folder, "embeddings"), least=0.93)
+
+
+@query
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired_conversations(table(spark, folder, "conversations"))

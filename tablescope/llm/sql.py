@@ -88,3 +88,57 @@ FROM d LEFT JOIN judged USING (doc_id) GROUP BY d.doc_id
 )
 
 SQL = {"op3_secrets": OP3, "op5_near_copies": OP5, "op6_repeats": OP6}
+
+
+def _ways(place: int) -> str:
+    """Cheapest treatment of a row from this place: (cost, edits, what is said from here on)."""
+    after = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    nxt, role = (2, 2, 3, 2)[place], ("user", "user", "assistant", "user")[place]
+    kept = " ".join(f"WHEN q = '{initial}' THEN z{to}" for (at, initial), to in after.items() if at == place)
+    ways = [f"struct_pack(c := 2 + z{place}.c, a := 'D' || z{place}.a, r := z{place}.r)",
+            f"struct_pack(c := 1 + extra + z{nxt}.c, a := 'R' || z{nxt}.a, r := chr(10) || '{role}:' || text || z{nxt}.r)",
+            f"""struct_pack(c := coalesce(extra + (CASE {kept} END).c, 1000000000), a := 'K' || coalesce((CASE {kept} END).a, ''),
+                r := chr(10) || role || ':' || text || coalesce((CASE {kept} END).r, ''))"""]
+    return f"list_sort([{', '.join(ways)}])[1] AS o{place}"
+
+
+def _put_in(place: int) -> str:
+    """The same, after up to two rows put in before the row."""
+    nxt, role = (2, 2, 3, 2), ("user", "user", "assistant", "user")
+    one, two = nxt[place], nxt[nxt[place]]
+    first = f"chr(10) || '{role[place]}:'"
+    return f"""list_sort([o{place}, struct_pack(c := 5 + o{one}.c, a := 'I' || o{one}.a, r := {first} || o{one}.r),
+        struct_pack(c := 10 + o{two}.c, a := 'II' || o{two}.a, r := {first} || chr(10) || '{role[one]}:' || o{two}.r)])[1] AS z{place}"""
+
+
+OP11 = rf"""
+WITH RECURSIVE base AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS bytes FROM conversations),
+coded AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda d, e: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295) % 20 AS f FROM base),
+damaged AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE r END AS role,
+    CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS text,
+    unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded WHERE f <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+again AS (SELECT *, left(role, 1) AS q, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS earlier FROM ordered),
+marked AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN earlier THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(q) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM again),
+priced AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM marked),
+dp AS (SELECT conv_id, count(*) + 1 AS i, struct_pack(c := 0::BIGINT, a := '', r := '') AS z0,
+        struct_pack(c := 10::BIGINT, a := 'II', r := chr(10) || 'user:' || chr(10) || 'assistant:') AS z1,
+        struct_pack(c := 5::BIGINT, a := 'I', r := chr(10) || 'assistant:') AS z2, struct_pack(c := 0::BIGINT, a := '', r := '') AS z3
+    FROM priced GROUP BY conv_id
+    UNION ALL SELECT conv_id, i, {", ".join(map(_put_in, range(4)))} FROM (
+        SELECT dp.conv_id, p.i, {", ".join(map(_ways, range(4)))} FROM dp JOIN priced p ON p.conv_id IS NOT DISTINCT FROM dp.conv_id AND p.i = dp.i - 1)),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || q NOT IN ('su', 'ua', 'au')) AS illegal FROM priced GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(z0.c, 0) AS cost, coalesce(z0.a, '') AS audit, sha256(coalesce(z0.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN dp ON dp.i = 1 AND dp.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+SQL["op11_conversations"] = OP11
