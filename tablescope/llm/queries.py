@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_round_trip
+from .collocations import find_collocations
 from .conversations import repaired_conversations
 from .fingerprints import neighbour_likeness
 from .neardup import near_duplicates
@@ -95,3 +96,8 @@ def op4_linked_vectors(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return repaired_conversations(table(spark, folder, "conversations"))
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return find_collocations(table(spark, folder, "documents"))

@@ -142,3 +142,26 @@ LEFT JOIN dp ON dp.i = 1 AND dp.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
 SQL["op11_conversations"] = OP11
+
+OP12 = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k FROM
+    (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3), (4), (5)) s(k) WHERE len(w) >= k)),
+f AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+cand AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM cand),
+scored AS (SELECT c.lang, c.phrase, c.k, c.a, c.cut, x.f AS l, y.f AS r, n.n, ((1000 * c.a::HUGEINT * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN n USING (lang) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a FROM
+    (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM cand, (VALUES (2), (3), (4)) s(m) WHERE m < k)),
+kept AS (SELECT * FROM weakest c WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept
+QUALIFY rank <= 2000
+"""
+
+SQL["op12_collocations"] = OP12
