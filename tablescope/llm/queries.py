@@ -18,6 +18,7 @@ from .quality import fit_quality, score_quality
 from .secrets import secret_spans
 from .sql import SQL  # noqa: F401  (offered beside the queries)
 from .substrings import remove_repeats
+from .suffixes import remove_repeated_strings
 from .toxicity import CUT, fit_toxicity, tag_toxicity
 from .vectors import linked_vectors
 
@@ -101,3 +102,8 @@ def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return find_collocations(table(spark, folder, "documents"))
+
+
+@query
+def op13_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeated_strings(table(spark, folder, "documents"), whole=False)
