@@ -293,4 +293,4 @@ def csv_round_trip(t: Tables) -> DataFrame:
     )
     path = f"{shared_folder(t.spark)}/tablescope/{uuid.uuid4().hex}"
     write_table(made, path, "csv")
-    return read_table(t.spark, path, "csv", multiline=True)
+    return read_table(t.spark, path, "csv")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import quoted
+from .records import csv_records, header_names
 
 # The text tokens read as missing in a CSV cell.
 MISSING_TOKENS = [
@@ -42,29 +43,37 @@ def read_parquet(spark: SparkSession, path: str, nan_free: bool = False) -> Data
     return df if nan_free else nan_to_null(df)
 
 
+CSV_OPTIONS = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "nullValue": ""}
+
+
+def _csv_text(spark: SparkSession, path: str, schema: T.StructType | None, multiline: bool | None) -> DataFrame:
+    """All cells as text, under the names of the schema or the header."""
+    records = csv_records(spark, path) if multiline is None else None
+    if records is None:
+        raw = spark.read.options(**CSV_OPTIONS).option("header", True).option("multiLine", bool(multiline))
+        if schema is None:
+            return raw.csv(path)
+        return raw.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(path)
+    names = header_names(records) if schema is None else schema.fieldNames()
+    cells = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = F.from_csv("value", F.lit(cells), {**CSV_OPTIONS, "multiLine": "true"}).alias("r")
+    return records.where("NOT header").select(parsed).select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False, strict: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool | None = None, strict: bool = False
 ) -> DataFrame:
-    """CSV scan: header row, quoted commas, doubled quotes, missing tokens as null.
+    """CSV scan: header row, quoted commas and line ends, doubled quotes, missing tokens as null.
 
-    ``multiline`` allows line ends inside quotes; such a file cannot be split, so each is read by one task.  With
-    a schema the file is scanned once; a cell that breaks it is null, or with ``strict`` an error.  Without one the types come from
+    Line ends inside quotes are found by a first pass over the byte ranges of the files (``records``), after which many tasks read
+    one file together.  ``multiline`` leaves that pass out: ``False`` for files known to have a record a line,
+    ``True`` to read each file whole in one task.  With
+    a schema the types are given; a cell that breaks it is null, or with ``strict`` an error.  Without one the types come from
     the data: all cells are read as text, missing tokens are blanked, and one
     aggregate decides per column which of long, double, boolean every cell
     can be cast to (text otherwise).
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("nullValue", "")
-    )
-    if schema is not None:
-        columns = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-        text = raw.schema(columns).csv(path)
-    else:
-        text = raw.csv(path)
+    text = _csv_text(spark, path, schema, multiline)
     cells = {c: F.when(~F.trim(quoted(c)).isin(MISSING_TOKENS), quoted(c)) for c in text.columns}
     text = text.select(*[v.alias(c) for c, v in cells.items()])
     if schema is not None:
@@ -108,7 +117,7 @@ def _infer(text: DataFrame) -> dict[str, str]:
 
 
 def read_table(
-    spark: SparkSession, path: str, format: str = "parquet", schema: T.StructType | None = None, multiline: bool = False
+    spark: SparkSession, path: str, format: str = "parquet", schema: T.StructType | None = None, multiline: bool | None = None
 ) -> DataFrame:
     if format == "csv":
         return check_flat(read_csv(spark, path, schema, multiline))
