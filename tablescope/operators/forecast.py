@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.columns import quoted
 from ..functions.solvers import arima, exponential_smoothing
 from .blocks import spread_groups
-from .series import calendar_point, forecast_metrics, resample, trend
+from .calendars import Calendar
+from .series import forecast_metrics, resample, trend
 
 # Algorithm names, and the names reported when a simpler one had to do.
 ALGORITHMS = ["holt_winters", "arima", "sarima", "prophet"]
@@ -128,7 +129,7 @@ def forecast(
         # one series over the whole table: at most one row per calendar point
         series, used = series.withColumn("_all", F.lit(1)), ["_all"]
     fitted = fit_series(series, used, algorithm, horizon, level, period, train_ratio)
-    moved = F.timestamp_micros(calendar_point(F.unix_micros("ts"), F.col("step"), F.lit(frequency)))
+    moved = F.timestamp_micros(Calendar.parse(frequency).point(F.unix_micros("ts"), F.col("step")))
     fitted = fitted.withColumn("ts", F.when(F.col("kind") == "forecast", moved).otherwise(F.col("ts")))
     fitted = fitted.withColumn("trend", F.lit(None).cast("double"))
     history = trend(series, "y", ["ts"], used).select(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import double, is_datetime, is_numeric, is_string, micros, quoted
 from .blocks import TASK_ROWS, group_sizes, positions, rolling, running_last, running_totals
+from .calendars import Calendar, code_of, recognized, shapes, weekday_of_month_length
 from .lookups import broadcast_if_small
 
 # Detection thresholds, frequency ladder and target words.
@@ -25,7 +26,8 @@ DAY = 86_400_000_000
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
 SECOND = 1_000_000
-STEPS = {"s": SECOND, "min": MINUTE, "h": HOUR, "D": DAY}
+RUN = 4096
+"""Calendar points in a range."""
 
 
 def find_date_column(df: DataFrame) -> str | None:
@@ -125,90 +127,46 @@ def frequency_code(median: Column) -> Column:
 
 
 def calendar_length(first: Column, last: Column, code: Column) -> Column:
-    """Number of calendar points of a frequency from first to last (microseconds).
+    """Number of calendar points of a ladder code from first to last (microseconds).
 
     Weeks end on Sunday, months on their last day, years on 31 December, at
     the time of day of the first point.
     """
-    at, until = F.timestamp_micros(first), F.timestamp_micros(last)
-    clock = F.pmod(first, F.lit(DAY))
-    midnight = lambda d: F.unix_micros(d.cast("timestamp"))
-    sunday = midnight(F.next_day(F.date_sub(at.cast("date"), 1), "SUN")) + clock
-    months = (F.year(until) - F.year(at)) * 12 + F.month(until) - F.month(at)
-    month_end = midnight(F.last_day(until)) + clock
-    year_end = midnight(F.make_date(F.year(until), F.lit(12), F.lit(31))) + clock
-    plain = lambda step: F.floor((last - first) / step) + 1
-    return (
-        F.when(code == "YE", F.year(until) - F.year(at) + (year_end <= last).cast("int"))
-        .when(code == "ME", months + (month_end <= last).cast("int"))
-        .when(code == "W", F.when(sunday <= last, F.floor((last - sunday) / (7 * DAY)) + 1).otherwise(F.lit(0)))
-        .when(code == "D", plain(DAY))
-        .when(code == "h", plain(HOUR))
-        .when(code == "min", plain(MINUTE))
-        .when(code == "s", plain(SECOND))
-        .cast("bigint")
-    )
-
-
-def calendar_point(first: Column, i: Column, code: Column) -> Column:
-    """The i-th point (from 0) of that calendar, in microseconds."""
-    at = F.timestamp_micros(first)
-    clock = F.pmod(first, F.lit(DAY))
-    midnight = lambda d: F.unix_micros(d.cast("timestamp"))
-    sunday = midnight(F.next_day(F.date_sub(at.cast("date"), 1), "SUN")) + clock
-    month = F.add_months(F.trunc(at, "month"), i.cast("int"))
-    year = F.make_date((F.year(at) + i).cast("int"), F.lit(12), F.lit(31))
-    return (
-        F.when(code == "YE", midnight(year) + clock)
-        .when(code == "ME", midnight(F.last_day(month)) + clock)
-        .when(code == "W", sunday + i * (7 * DAY))
-        .when(code == "D", first + i * DAY)
-        .when(code == "h", first + i * HOUR)
-        .when(code == "min", first + i * MINUTE)
-        .when(code == "s", first + i * SECOND)
-    )
+    out = F.lit(None).cast("bigint")
+    for known in ("s", "min", "h", "D", "W", "ME", "YE"):
+        out = F.when(code == known, Calendar.parse(known).length(first, last)).otherwise(out)
+    return out
 
 
 def frequencies(df: DataFrame, date_column: str, keys: Sequence[str] = (), task_rows: int = TASK_ROWS) -> DataFrame:
     """One row per series: rows, instants, first and last, median difference, frequency, gaps.
 
-    ``multiple`` is set when all differences are equal: the series is then
-    regular with that many units of ``frequency`` per step and has no gaps.
+    ``code`` is the calendar all instants fit (``calendars.recognized``), put together from ``frequency``, ``multiple``
+    and ``anchor``; where none fits, the ladder's code of the median difference, without a multiple.
     """
     part = [quoted(k) for k in keys]
     counted = instants(df, date_column, keys)
-    steps = deltas(counted, keys, task_rows)
-    spans = counted.groupBy(*part).agg(
-        F.sum("n").alias("rows"),
-        F.count(F.lit(1)).alias("instants"),
-        F.min("us").alias("first_us"),
-        F.max("us").alias("last_us"),
-    )
-    shape = steps.groupBy(*part).agg(F.min("delta").alias("least"), F.max("delta").alias("most"))
-    medians = weighted_median(steps, "delta", "w", keys, task_rows)
+    facts = shapes(counted, keys, task_rows)
+    medians = weighted_median(deltas(counted, keys, task_rows), "delta", "w", keys, task_rows)
     if keys:
-        out = spans.join(medians, list(keys), "left").join(shape, list(keys), "left")
+        out = facts.join(medians, list(keys), "left")
     else:
-        out = spans.withColumns(
-            {
-                "median": medians.select("median").scalar(),
-                "least": shape.select("least").scalar(),
-                "most": shape.select("most").scalar(),
-            }
-        )
-    code = frequency_code(F.col("median"))
-    unit = F.create_map(
-        *[x for k, v in {**STEPS, "W": 7 * DAY}.items() for x in (F.lit(k), F.lit(v))]
+        out = facts.withColumn("median", medians.select("median").scalar())
+    found = F.col("found")
+    ladder = frequency_code(F.col("median"))
+    first, last = F.col("first_us"), F.col("last_us")
+    length = (
+        F.when(found["base"] == "WOM", weekday_of_month_length(first, last, F.col("week_least"), F.col("weekday_least")))
+        .when(found.isNotNull(), F.col("instants"))
+        .otherwise(calendar_length(first, last, ladder))
     )
-    regular = (F.col("least") == F.col("most")) & (F.col("least") > 0) & (F.col("instants") >= 3)
-    length = calendar_length(F.col("first_us"), F.col("last_us"), F.col("frequency"))
     return (
-        out.withColumn("frequency", code)
-        .withColumn(
-            "multiple",
-            F.when(regular, F.try_divide(F.col("least").cast("double"), F.try_element_at(unit, F.col("frequency")))),
-        )
-        .withColumn("calendar", F.when(regular, F.col("instants")).otherwise(length))
+        out.withColumn("found", recognized())
+        .withColumn("frequency", F.coalesce(found["base"], ladder))
+        .withColumn("code", F.coalesce(code_of(found), ladder))
+        .withColumn("multiple", found["multiple"].cast("double"))
+        .withColumn("anchor", found["anchor"])
+        .withColumn("calendar", length)
         .withColumn("missing", F.greatest(F.lit(0), F.col("calendar") - F.col("instants")))
         .withColumn(
             "missing_pct", F.when(F.col("calendar") > 0, F.col("missing") / F.col("calendar") * 100).otherwise(F.lit(0.0))
@@ -223,6 +181,8 @@ def frequencies(df: DataFrame, date_column: str, keys: Sequence[str] = (), task_
             (F.col("median") / SECOND).alias("median_seconds"),
             "frequency",
             "multiple",
+            "anchor",
+            "code",
             "calendar",
             "missing",
             "missing_pct",
@@ -232,22 +192,25 @@ def frequencies(df: DataFrame, date_column: str, keys: Sequence[str] = (), task_
 
 
 def missing_timestamps(df: DataFrame, date_column: str, frequency: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, ts): calendar points of each series at which it has no row."""
+    """(keys, ts): points of a calendar (any code of ``calendars``) at which a series has no row.
+
+    Points are made in ranges of ``RUN``, dealt to tasks by series and range, so one long calendar is many small pieces.
+    """
     part = [quoted(k) for k in keys]
+    calendar = Calendar.parse(frequency)
     present = instants(df, date_column, keys).drop("n")
     spans = present.groupBy(*part).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-    code = F.lit(frequency)
-    n = calendar_length(F.col("first_us"), F.col("last_us"), code)
-    # two levels, so that no single array holds a whole calendar
-    run = 4096
-    points = (
-        spans.withColumn("n", n)
+    ranges = (
+        spans.withColumn("n", calendar.length(F.col("first_us"), F.col("last_us")))
         .where("n > 0")
-        .withColumn("hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / run))))
-        .withColumn("lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(run - 1).cast("bigint"))))
-        .withColumn("i", F.col("hi") * run + F.col("lo"))
+        .withColumn("hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN))))
+        .repartition(*part, "hi")
+    )
+    points = (
+        ranges.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(RUN - 1).cast("bigint"))))
+        .withColumn("i", F.col("hi") * RUN + F.col("lo"))
         .where("i < n")
-        .select(*part, calendar_point(F.col("first_us"), F.col("i"), code).alias("us"))
+        .select(*part, calendar.point(F.col("first_us"), F.col("i")).alias("us"))
     )
     return points.join(present, [*keys, "us"], "left_anti").select(*part, F.timestamp_micros("us").alias("ts"))
 
@@ -273,7 +236,7 @@ def detect_series(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             }
         )
     else:
-        facts = frequencies(df, date_column, keys).select(*part, "frequency", "missing", "missing_pct", "has_duplicates")
+        facts = frequencies(df, date_column, keys).select(*part, F.col("code").alias("frequency"), "missing", "missing_pct", "has_duplicates")
         if keys:
             base = sizes.join(facts, list(keys), "left")
         else:
@@ -325,7 +288,7 @@ def period_of(c: Column, frequency: str) -> Column:
         return F.last_day(c).cast("timestamp")
     if frequency == "YE":
         return F.make_date(F.year(c), F.lit(12), F.lit(31)).cast("timestamp")
-    raise ValueError(f"unknown frequency {frequency!r}")
+    return F.timestamp_micros(Calendar.parse(frequency).period(F.unix_micros(c)))
 
 
 def resample(df: DataFrame, date_column: str, value_column: str, frequency: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -384,21 +347,12 @@ def future_calendar(df: DataFrame, ts: str, frequency: str, horizon: int, keys:
     part = [quoted(k) for k in keys]
     last = df.groupBy(*part).agg(F.max(quoted(ts).cast("timestamp")).alias("_last"))
     # the calendar's first point at or after the last timestamp, and whether that is the timestamp itself
-    code = F.lit(frequency)
+    calendar = Calendar.parse(frequency)
     us = F.unix_micros("_last")
-    start = calendar_point(us, F.lit(0).cast("bigint"), code)
+    start = calendar.point(us, F.lit(0).cast("bigint"))
     step = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(horizon).cast("bigint")))
-    return (
-        last.where("_last IS NOT NULL")
-        .select("*", step.alias("step"))
-        .select(
-            *part,
-            "step",
-            F.timestamp_micros(
-                calendar_point(us, F.when(start == us, F.col("step")).otherwise(F.col("step") - 1), code)
-            ).alias("ts"),
-        )
-    )
+    ahead = calendar.point(us, F.when(start == us, F.col("step")).otherwise(F.col("step") - 1))
+    return last.where("_last IS NOT NULL").select("*", step.alias("step")).select(*part, "step", F.timestamp_micros(ahead).alias("ts"))
 
 
 def trend(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), task_rows: int = TASK_ROWS) -> DataFrame:

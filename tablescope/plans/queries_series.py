@@ -69,6 +69,81 @@ def frequency_orders(t: Tables) -> DataFrame:
     return _facts(series.frequencies(t.orders, "o_orderdate"), [])
 
 
+def _calendar_sql(key: str, source: str) -> str:
+    """Calendar of each series: ``source`` gives the key and distinct days ``moment``."""
+    position = """CASE WHEN ends THEN 'ME' WHEN business_ends THEN 'BME' WHEN starts THEN 'MS' WHEN business_starts THEN 'BMS' END"""
+    months = "['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC']"
+    days = "['MON','TUE','WED','THU','FRI','SAT','SUN']"
+    return f"""WITH src AS ({source}),
+  d AS (SELECT {key}, moment, isodow(moment) - 1 AS wd, day(moment) AS dom, day(last_day(moment)) - day(moment) AS rest,
+        (moment::DATE - lag(moment::DATE) OVER w) AS delta, year(moment) - lag(year(moment)) OVER w AS dy,
+        year(moment) * 12 + month(moment) - lag(year(moment) * 12 + month(moment)) OVER w AS dm FROM src WINDOW w AS (PARTITION BY {key} ORDER BY moment)),
+  m AS (SELECT {key}, count(*) AS instants, min(moment)::DATE AS lo, max(moment)::DATE AS hi, quantile_cont(delta::DOUBLE, 0.5) AS med,
+        min(delta) AS least, max(delta) AS most, count(DISTINCT dy) AS nys, min(dy) AS y, count(DISTINCT dm) AS nms, min(dm) AS mo, count(DISTINCT month(moment)) AS nm,
+        bool_and(dom = 1) AS starts, bool_and(dom = 1 OR (dom <= 3 AND wd = 0)) AS business_starts, bool_and(rest = 0) AS ends,
+        bool_and(rest = 0 OR (rest < 3 AND wd = 4)) AS business_ends, coalesce(bool_and((wd = 0 AND delta = 3) OR (wd BETWEEN 1 AND 4 AND delta = 1)), false) AS working,
+        count(DISTINCT wd) AS nwd, count(DISTINCT CASE WHEN dom <= 28 THEN (dom - 1) // 7 END) AS nwk, min(wd) AS wd, min(CASE WHEN dom <= 28 THEN (dom - 1) // 7 END) AS wk
+        FROM d GROUP BY {key}),
+  p AS (SELECT *, {position} AS pos FROM m),
+  c AS (SELECT *, CASE WHEN instants < 3 THEN NULL
+      WHEN pos IS NOT NULL AND nys = 1 AND y >= 1 AND nm = 1 THEN CASE WHEN y > 1 THEN y::VARCHAR ELSE '' END || replace(pos, 'M', 'Y') || '-' || {months}[month(lo)]
+      WHEN pos IS NOT NULL AND nms = 1 AND mo % 3 = 0 THEN CASE WHEN mo > 3 THEN (mo // 3)::VARCHAR ELSE '' END || replace(pos, 'M', 'Q') || '-' || ['DEC','OCT','NOV'][month(lo) % 3 + 1]
+      WHEN pos IS NOT NULL AND nms = 1 AND mo >= 1 THEN CASE WHEN mo > 1 THEN mo::VARCHAR ELSE '' END || pos
+      WHEN least = most AND least % 7 = 0 THEN CASE WHEN least > 7 THEN (least // 7)::VARCHAR ELSE '' END || 'W-' || {days}[wd + 1]
+      WHEN least = most THEN CASE WHEN least > 1 THEN least::VARCHAR ELSE '' END || 'D'
+      WHEN working AND least = 1 AND most = 3 THEN 'B'
+      WHEN nwd = 1 AND nwk = 1 THEN 'WOM-' || (wk + 1) || {days}[wd + 1] END AS fit FROM p),
+  l AS (SELECT *, {_ladder('med * 86400e6')} AS ladder FROM c),
+  n AS (SELECT *, CASE WHEN fit LIKE 'WOM%' THEN (SELECT count(*) FROM generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY) g(x) WHERE isodow(x) - 1 = wd AND (day(x) - 1) // 7 = wk)
+      WHEN fit IS NOT NULL THEN instants WHEN ladder = 'D' THEN hi - lo + 1
+      WHEN ladder = 'W' THEN (SELECT count(*) FROM generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY) g(x) WHERE isodow(x) = 7)
+      WHEN ladder = 'ME' THEN datediff('month', lo, hi) + (hi = last_day(hi))::INT
+      WHEN ladder = 'YE' THEN year(hi) - year(lo) + (month(hi) = 12 AND day(hi) = 31)::INT END AS calendar FROM l)
+  SELECT {key}, instants, coalesce(fit, ladder) AS code, calendar::BIGINT AS calendar, greatest(0, calendar - instants)::BIGINT AS missing FROM n"""
+
+
+def _calendar(made: DataFrame, key: str) -> DataFrame:
+    return series.frequencies(made, "ts", [key]).select(key, "instants", "code", "calendar", "missing")
+
+
+@query(
+    "frequency_business_days",
+    _calendar_sql("user_id", "SELECT DISTINCT user_id, date_trunc('day', ts) - INTERVAL 1 DAY * greatest(isodow(ts) - 5, 0) AS moment FROM events"),
+)
+def frequency_business_days(t: Tables) -> DataFrame:
+    """Users' mean values by business day, weekends added to Friday."""
+    return _calendar(series.resample(t.events, "ts", "value", "B", ["user_id"]), "user_id")
+
+
+@query(
+    "frequency_quarters",
+    _calendar_sql("o_orderpriority", "SELECT DISTINCT o_orderpriority, last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH)::TIMESTAMP AS moment FROM orders"),
+)
+def frequency_quarters(t: Tables) -> DataFrame:
+    return _calendar(series.resample(t.orders, "o_orderdate", "o_totalprice", "QE-DEC", ["o_orderpriority"]), "o_orderpriority")
+
+
+@query(
+    "frequency_month_starts",
+    _calendar_sql("o_custkey", "SELECT DISTINCT o_custkey, date_trunc('month', o_orderdate) AS moment FROM orders"),
+)
+def frequency_month_starts(t: Tables) -> DataFrame:
+    """Customers' months: few have all of them, some every second or third, most no calendar."""
+    return _calendar(series.resample(t.orders, "o_orderdate", "o_totalprice", "MS", ["o_custkey"]), "o_custkey")
+
+
+@query(
+    "missing_business_days",
+    """WITH src AS (SELECT DISTINCT user_id, (date_trunc('day', ts) - INTERVAL 1 DAY * greatest(isodow(ts) - 5, 0))::DATE AS d FROM events),
+  spans AS (SELECT user_id, min(d) AS lo, max(d) AS hi FROM src GROUP BY user_id)
+  SELECT user_id, strftime(x, '%Y-%m-%d') AS day FROM (SELECT user_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS x FROM spans) p
+  WHERE isodow(x) < 6 AND NOT EXISTS (SELECT 1 FROM src WHERE src.user_id = p.user_id AND src.d = p.x)""",
+)
+def missing_business_days(t: Tables) -> DataFrame:
+    made = series.resample(t.events, "ts", "value", "B", ["user_id"])
+    return series.missing_timestamps(made, "ts", "B", ["user_id"]).select("user_id", _day("day", "ts"))
+
+
 @query(
     "frequency_by_customer",
     """WITH d AS (SELECT o_custkey, o_orderdate, epoch_us(o_orderdate) - epoch_us(lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate)) AS delta FROM orders),
