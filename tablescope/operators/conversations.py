@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import quoted
+from .blocks import cut_lineage
 from .lookups import BROADCAST_BYTES, measured_bytes
 
 # Preview and message limits, and the tag pattern.
@@ -14,8 +16,8 @@ PREVIEW_CHARS = 60
 MESSAGE_CHARS = 1000
 TAG_PATTERN = "<.*?>"
 NO_MESSAGES = "Empty conversation"
-NEEDLE_ROWS = 2_000
 GRAM = 8
+SALTS = 16
 
 
 def _overview(messages: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
@@ -64,33 +66,65 @@ def within_limit(messages: DataFrame, limit: int = MESSAGE_CHARS) -> DataFrame:
     return messages.where(F.length("text") <= limit)
 
 
+def _pieces_of(c: Column, length: int) -> Column:
+    """All overlapping substrings of a length: a look-ahead matches at every character, so one pass gives them."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
+
+
+def file_names(messages: DataFrame, names: DataFrame, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Index of names: (gram, id, needle), each name once, under the one of its grams that fewest messages hold.
+
+    A gram is eight characters, or the whole of a shorter name; case is ignored.  Names with a gram that no message
+    holds are left out, as they occur nowhere.
+    """
+    needles = names.select(F.col("id"), F.lower("name").alias("needle")).where("length(needle) > 0").distinct()
+    grams = F.when(F.length("needle") > GRAM, F.array_distinct(_pieces_of(F.col("needle"), GRAM))).otherwise(F.array("needle"))
+    filed = cut_lineage(needles.select("id", "needle", F.explode(grams).alias("gram")))
+    wanted = filed.select("gram").distinct()
+    posted = _postings(messages, filed, [], text)
+    if measured_bytes(wanted) <= broadcast_bytes:
+        counts = posted.join(F.broadcast(wanted), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(wanted, "gram", "left_semi")
+    counted = filed.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("id", "needle").agg(F.min(F.struct("n", "gram")).alias("r"))
+    return rarest.where("r.n > 0").select("r.gram", "id", "needle")
+
+
+def _postings(messages: DataFrame, filed: DataFrame, keys: Sequence[Column], text: str) -> DataFrame:
+    """(keys, gram): the distinct grams of each message, of the lengths names are filed under; no text goes along."""
+    low = F.lower(quoted(text))
+    lengths = sorted(r[0] for r in filed.select(F.length("gram")).distinct().collect())
+    grams = F.array_distinct(F.flatten(F.array(*[_pieces_of(low, n) for n in lengths]))) if lengths else F.array().cast("array<string>")
+    return messages.select(*keys, F.explode(grams).alias("gram"))
+
+
 def mentions(
-    messages: DataFrame, names: DataFrame, key: Sequence[str], text: str = "text", needle_rows: int = NEEDLE_ROWS
+    messages: DataFrame, names: DataFrame, key: Sequence[str], text: str = "text", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Distinct (key, id): messages whose text contains a name, case ignored.
 
-    ``names`` is (id, name).  A short list of names is tested inside the scan
-    of the messages.  A longer one is matched by equality: every name gives its
-    first eight characters, every message its distinct substrings of that
-    length, and only pairs that share one are compared in full.
+    ``names`` is (id, name).  Names are filed under their rarest gram (:func:`file_names`); messages meet them by equal
+    grams, without their texts, and a gram that very many messages hold is met by ``SALTS`` tasks.  A name of up to
+    eight characters is then found; for longer ones the text is fetched once for each message with candidates, and
+    compared.  The index is broadcast when its measured size allows it.  Null texts and names match nothing; null keys
+    are keys like any other.
     """
-    needles = names.select(F.col("id"), F.lower("name").alias("needle")).where("length(needle) > 0").distinct()
-    low = F.lower(quoted(text))
-    keys = [quoted(k) for k in key]
-    if needles.count() <= needle_rows and measured_bytes(needles) <= BROADCAST_BYTES:
-        found = needles.agg(F.array_agg(F.struct("id", "needle"))).scalar()
-        rows = messages.select(*keys, low.alias("_low")).withColumn("_found", found)
-        hits = F.filter("_found", lambda n: F.contains(F.col("_low"), n["needle"]))
-        ids = F.array_distinct(F.transform(hits, lambda n: n["id"]))
-        return rows.select(*keys, F.explode(ids).alias("id")).distinct()
-    needles = needles.withColumn("gram", F.left("needle", F.lit(GRAM)))
-    lengths = [r[0] for r in needles.select(F.length("gram")).distinct().collect()]
-    rows = messages.select(*keys, low.alias("_low"))
-
-    def substrings(g: int) -> Column:
-        # a look-ahead matches at every character, so one pass gives all overlapping substrings
-        return F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1))
-
-    grams = F.array_distinct(F.flatten(F.array(*[substrings(g) for g in lengths])))
-    pairs = rows.select("*", F.explode(grams).alias("gram")).join(needles, "gram")
-    return pairs.where(F.contains("_low", F.col("needle"))).select(*keys, "id").distinct()
+    index = cut_lineage(file_names(messages, names, text, broadcast_bytes))
+    mine = [f"_k{i}" for i in range(len(key))]
+    posted = _postings(messages, index, [quoted(k).alias(m) for k, m in zip(key, mine)], text)
+    if measured_bytes(index) <= broadcast_bytes:
+        pairs = posted.join(F.broadcast(index), "gram")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salted = posted.withColumn("salt", F.pmod(F.xxhash64(*mine), F.lit(SALTS)).cast("int"))
+        pairs = salted.join(index.withColumn("salt", salts), ["gram", "salt"])
+    short = F.length("needle") <= GRAM
+    found = pairs.where(short).select(*mine, "id")
+    candidates = pairs.where(~short).select(*mine, "id", "needle").distinct()
+    listed = candidates.groupBy(*mine).agg(F.collect_list(F.struct("id", "needle")).alias("_names"))
+    texts = messages.select(*[quoted(k).alias(f"_m{m}") for k, m in zip(key, mine)], F.lower(quoted(text)).alias("_low"))
+    read = listed.join(texts, reduce(lambda a, b: a & b, [F.col(m).eqNullSafe(F.col(f"_m{m}")) for m in mine]))
+    hits = F.filter("_names", lambda n: F.contains(F.col("_low"), n["needle"]))
+    checked = read.select(*mine, F.explode(F.transform(hits, lambda n: n["id"])).alias("id"))
+    return found.unionByName(checked).distinct().select(*[F.col(m).alias(k) for k, m in zip(key, mine)], "id")

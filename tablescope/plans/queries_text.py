@@ -62,8 +62,28 @@ def mentions(t: Tables) -> DataFrame:
 
 @query("mentions_by_substring", _MENTIONS)
 def mentions_by_substring(t: Tables) -> DataFrame:
-    """The way taken for long name lists."""
-    return conversations.mentions(t.conversations, _names(t), ["conv_id", "turn"], needle_rows=0)
+    """The same with an index too large to broadcast."""
+    return conversations.mentions(t.conversations, _names(t), ["conv_id", "turn"], broadcast_bytes=0)
+
+
+_OPENINGS = """WITH names AS (SELECT conv_id AS opening, left(text, 24) AS name FROM conversations WHERE turn = 0)
+  SELECT DISTINCT conv_id, turn, opening FROM conversations JOIN names ON contains(lower(text), lower(name))"""
+
+
+def _openings(t: Tables, **options) -> DataFrame:
+    first = t.conversations.where("turn = 0").select(F.col("conv_id").alias("id"), F.left("text", F.lit(24)).alias("name"))
+    return conversations.mentions(t.conversations, first, ["conv_id", "turn"], **options).withColumnRenamed("id", "opening")
+
+
+@query("mentions_of_openings", _OPENINGS)
+def mentions_of_openings(t: Tables) -> DataFrame:
+    """Which messages contain the first words of a conversation: a list of names that grows with the table."""
+    return _openings(t)
+
+
+@query("mentions_of_openings_shuffled", _OPENINGS)
+def mentions_of_openings_shuffled(t: Tables) -> DataFrame:
+    return _openings(t, broadcast_bytes=0)
 
 
 @query(

@@ -165,11 +165,24 @@ def test_split_settles_equal_hashes(spark, monkeypatch):
 
 
 def test_mentions_both_ways(spark):
-    messages = spark.createDataFrame([(1, "The Random Forest wins"), (2, "ridge, RIDGE"), (3, "x"), (4, "a forest")], "id int, text string")
-    names = spark.createDataFrame([("m1", "random forest"), ("m2", "Ridge"), ("m3", "x"), ("m4", "zzz")], "id string, name string")
-    short = conversations.mentions(messages.withColumnRenamed("id", "msg"), names, ["msg"])
-    long = conversations.mentions(messages.withColumnRenamed("id", "msg"), names, ["msg"], needle_rows=0)
-    assert sorted(short.collect()) == sorted(long.collect()) == [(1, "m1"), (2, "m2"), (3, "m3")]
+    words = ["The Random Forest wins", "ridge, RIDGE", "x", "a forest", None, "", "gradient boosted trees and a random forest", "customer#000017 met customer#000018"]
+    messages = spark.createDataFrame([*enumerate(words), (None, "Ridge"), (2, "random  forest"), (2, "a ridge")], "msg int, text string")
+    names = [("m1", "random forest"), ("m2", "Ridge"), ("m3", "x"), ("m4", "zzz"), ("m5", "gradient boosted tree"), ("m6", None), ("m7", ""),
+             ("m8", "customer#000017"), ("m9", "customer#000019"), ("m1", "wins"), ("m10", "random forests")]
+    want = {(m, i) for m, t in [*enumerate(words), (None, "Ridge"), (2, "random  forest"), (2, "a ridge")] for i, n in names if t and n and n.lower() in t.lower()}
+    df = spark.createDataFrame(names, "id string, name string")
+    for limit in (conversations.BROADCAST_BYTES, 0):
+        got = conversations.mentions(messages, df, ["msg"], broadcast_bytes=limit).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert conversations.mentions(messages, df.where("false"), ["msg"]).count() == 0
+    assert conversations.mentions(messages.where("false"), df, ["msg"]).count() == 0
+
+
+def test_names_are_filed_under_their_rarest_gram(spark):
+    messages = spark.createDataFrame([("customer#000017",), ("customer#000018",), ("customer#000018 again",)], "text string")
+    names = spark.createDataFrame([(1, "customer#000017"), (2, "customer#000018"), (3, "customer#000099"), (4, "again")], "id int, name string")
+    filed = {r.id: r.gram for r in conversations.file_names(messages, names).collect()}
+    assert filed == {1: "r#000017", 2: "r#000018", 4: "again"}
 
 
 def test_shape_estimators_match_pandas(hot):
