@@ -14,6 +14,7 @@ from ..functions.columns import quoted
 from .prep import FEATURES
 from .sampling import sample_rows
 from .train import Trained
+from .trees import is_tree_model, tree_shapley
 
 # Sizes of the explained samples.
 SURROGATE_FEATURES = 10
@@ -41,11 +42,13 @@ def shapley(
     permutations: int = 32,
     seed: int = SEED,
     background: int = 32,
+    method: str = "auto",
 ) -> DataFrame:
     """(key, feature, feature_value, shapley_value) for all rows, or for a seeded sample of ``rows`` of them.
 
     Linear regressions have a closed form: coefficient times distance from the
-    mean.  Other models: features are switched one after another from a
+    mean.  Tree models are explained exactly (``trees.tree_shapley``).  Other models, or all but linear ones with ``method``
+    "sampled": features are switched one after another from a
     background row to the explained row, along sampled orders and their
     reverses; each switch's effect on the output belongs to its feature, and
     the effects are averaged.  All steps of all orders of all rows are scored
@@ -53,6 +56,10 @@ def shapley(
     the cluster.  Per row the values add up to f(row) minus the mean output
     over the background rows.
     """
+    if method not in ("auto", "sampled"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "auto" and is_tree_model(trained):
+        return tree_shapley(trained, df if rows is None else sample_rows(df, rows, key, seed), key).drop("expected")
     points = _rows(trained, df, key)
     chosen = points if rows is None else sample_rows(points, rows, key, seed)
     names = trained.preparation.names

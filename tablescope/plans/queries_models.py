@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import cluster, evaluate, explain, sampling, train
+from ..operators import cluster, evaluate, explain, sampling, train, trees
 from ..sources.tables import Tables
 from .queries_charts import SCORED_LINES, judged_documents, scored_lines
 from .registry import query
@@ -314,6 +314,43 @@ def shapley_linear(t: Tables) -> DataFrame:
     return explain.global_importance(explain.shapley(price_model(t, "linear_regression"), t.lineitem, LINE_KEY, rows=None))
 
 
+def _marked_orders(t: Tables) -> DataFrame:
+    """Orders with two marks, and a figure the marks decide."""
+    marked = t.orders.withColumns({"dear": (F.col("o_totalprice") > 150000).cast("double"), "rush": F.col("o_orderpriority").startswith("1").cast("double")})
+    return marked.withColumn("fee", 100 * F.col("dear") + 10 * F.col("rush") + 5 * F.col("dear") * F.col("rush"))
+
+
+_FEES = """SELECT o_orderkey, 100.0 * (o_totalprice > 150000)::INT + 10.0 * (o_orderpriority LIKE '1%')::INT
+    + 5.0 * (o_totalprice > 150000 AND o_orderpriority LIKE '1%')::INT AS output FROM orders"""
+
+
+@query("shapley_tree_sums", _FEES)
+def shapley_tree_sums(t: Tables) -> DataFrame:
+    """Exact values of a tree, added up per order: they give back what the tree says."""
+    orders = _marked_orders(t)
+    grown = train.train(orders, ["dear", "rush"], "fee", "decision_tree", ["o_orderkey"], {"max_depth": 4}, task="regression")
+    made = trees.explained_output(trees.tree_shapley(grown, orders, ["o_orderkey"]), ["o_orderkey"])
+    return made.select("o_orderkey", F.round("output", 6).alias("output"))
+
+
+@query("shapley_forest_sums", "SELECT o_orderkey, true AS same FROM orders")
+def shapley_forest_sums(t: Tables) -> DataFrame:
+    """Exact values of a forest against its own predictions."""
+    grown = train.train(t.orders, ["o_custkey", "o_orderpriority"], "o_totalprice", "random_forest", ["o_orderkey"], _FEW_TREES)
+    made = trees.explained_output(trees.tree_shapley(grown, t.orders, ["o_orderkey"]), ["o_orderkey"])
+    said = train.score(grown.pipeline, t.orders, grown.preparation.columns).select("o_orderkey", "Prediction")
+    return made.join(said, "o_orderkey").select("o_orderkey", (F.abs(F.col("output") - F.col("Prediction")) < 1e-6 * F.abs("Prediction")).alias("same"))
+
+
+@query("score_lines_exact", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(3 * l_quantity - 40 * l_discount + CASE l_returnflag WHEN 'R' THEN 7 ELSE 0 END + 2, 4) AS output FROM lineitem")
+def score_lines_exact(t: Tables) -> DataFrame:
+    """A linear model of a figure that is linear: every line's prediction is the figure."""
+    lines = t.lineitem.withColumn("figure", 3 * F.col("l_quantity") - 40 * F.col("l_discount") + F.when(F.col("l_returnflag") == "R", 7).otherwise(0) + 2)
+    fitted = train.train(lines, ["l_quantity", "l_discount", "l_returnflag"], "figure", "linear_regression", LINE_KEY, seed=7)
+    said = train.score(fitted.pipeline, lines, fitted.preparation.columns)
+    return said.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), (F.round("Prediction", 4) + 0.0).alias("output"))
+
+
 @query("shapley_forest")
 def shapley_forest(t: Tables) -> DataFrame:
     return explain.shapley(price_model(t, "random_forest", **_FEW_TREES), t.lineitem, LINE_KEY, permutations=4)
