@@ -252,15 +252,14 @@ def compare_runs(runs: DataFrame, metric: str | None = None) -> DataFrame:
         ).alias("b")
     )
     algorithm = F.initcap(F.replace(F.col("b.algorithm"), F.lit("_"), F.lit(" ")))
-    who = F.concat(F.lit("Model '"), F.col("b.model_name"), F.lit("' ("), algorithm, F.lit(") is recommended "))
-    why = F.when(
-        F.col("b.score").isNull(), F.lit("as the default option since performance scores could not be calculated.")
-    ).otherwise(
+    who = F.concat(F.col("b.model_name"), F.lit(" ("), algorithm, F.lit(") "))
+    why = F.when(F.col("b.score").isNull(), F.lit("is the first run; none of them has this figure.")).otherwise(
         F.concat(
-            F.lit("because it achieved the "),
-            F.when(lower, F.lit("lowest ")).otherwise(F.lit("highest ")),
+            F.lit("comes first: its "),
             F.upper("metric"),
-            F.format_string(" score (%.4f).", "b.score"),
+            F.format_string(" of %.4f is the ", "b.score"),
+            F.when(lower, F.lit("lowest")).otherwise(F.lit("highest")),
+            F.lit(" of all runs."),
         )
     )
     return best.select(
@@ -280,15 +279,18 @@ def knn_votes(neighbours: DataFrame, key: str, label: str, rank: str, k: int = 5
 
 
 def run_table(runs: DataFrame) -> DataFrame:
-    """Every run beside the others of its project: (project, run_id, model_name, algorithm, task, metric, score, place).
+    """Every run beside the others of its project: (project, run_id, model_name, algorithm, task, metric, score, place),
+    all its metrics, and the seconds its training took.
 
     The metric is the one of the run's task; runs without it have no score and come last.  Equal scores share a
     place.
     """
     chosen = F.create_map(*[x for k, v in DEFAULT_METRIC.items() for x in (F.lit(k), F.lit(v))])
-    scored = runs.withColumn("metric", F.try_element_at(chosen, F.col("task"))).withColumn("score", F.try_element_at("metrics", F.col("metric")))
+    timed = runs if "training_seconds" in runs.columns else runs.withColumn("training_seconds", F.lit(None).cast("double"))
+    scored = timed.withColumn("metric", F.try_element_at(chosen, F.col("task"))).withColumn("score", F.try_element_at("metrics", F.col("metric")))
     lower = F.col("metric").isin(LOWER_IS_BETTER)
     order = W.partitionBy("project", "metric").orderBy(F.when(lower, -F.col("score")).otherwise(F.col("score")).desc_nulls_last())
     return scored.select(
-        "project", "run_id", "model_name", "algorithm", "task", "metric", "score", F.rank().over(order).cast("bigint").alias("place")
-    )
+        "project", "run_id", "model_name", "algorithm", "task", "metric", "score", F.rank().over(order).cast("bigint").alias("place"),
+        "metrics", "training_seconds",
+    )

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import quoted
+from .blocks import cut_lineage, positions
+from .lookups import broadcast_if_small
 from .quantiles import DIRECT_ROWS, order_statistics
 
 _BITS = (1 << 52) - 1
@@ -46,25 +48,11 @@ def split(
         raise ValueError("test_fraction must be between 0 and 1")
     marked = df.withColumn("_h", hash_order(key, seed))
     if label is not None:
-        sizes = {r["v"]: r["n"] for r in df.groupBy(quoted(label).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        shares = _class_shares(sizes, test_fraction)
-        if shares is not None:
-            values = list(sizes)
-            cuts = order_statistics(
-                marked,
-                {
-                    f"h{i}": (F.when(quoted(label).eqNullSafe(F.lit(v)), F.col("_h")), lambda _, r=shares[v] - 1: [r])
-                    for i, v in enumerate(values)
-                },
-                direct_rows,
-            )
-            hit = F.lit(False)
-            for i, v in enumerate(values):
-                cut = cuts[f"h{i}"][1].get(shares[v] - 1)
-                if cut is not None:
-                    mine = quoted(label).eqNullSafe(F.lit(v))
-                    hit = hit | (mine & _below(marked.where(mine), cut, shares[v], key))
-            return marked.withColumn("is_test", hit).drop("_h")
+        cuts = _class_cuts(marked, label, key, test_fraction)
+        if cuts is not None:
+            joined = marked.join(cuts, quoted(label).eqNullSafe(F.col("_v")), "left")
+            rank = F.struct(F.col("_h"), *[quoted(k) for k in key])
+            return joined.withColumn("is_test", F.coalesce(rank <= F.col("_cut"), F.lit(False))).drop("_h", "_v", "_cut")
     rows = df.count()
     wanted = -int(-rows * test_fraction // 1)
     found = order_statistics(marked, {"h": (F.col("_h"), lambda _: [wanted - 1])}, direct_rows)["h"][1]
@@ -84,15 +72,26 @@ def _below(marked: DataFrame, cut: int, wanted: int, key: Sequence[str]) -> Colu
     return (F.col("_h") < cut) | ((F.col("_h") == cut) & (rank <= last))
 
 
-def _class_shares(sizes: dict, fraction: float) -> dict | None:
-    """Test rows per class, summing to ceil(fraction * rows); None when stratifying is impossible."""
-    total = sum(sizes.values())
+def _class_cuts(marked: DataFrame, label: str, key: Sequence[str], fraction: float) -> DataFrame | None:
+    """(_v, _cut): the last test row of each class in hash order; None when stratifying is impossible.
+
+    Shares sum to ceil(fraction * rows): each class gets its part rounded down, and those with the largest
+    remainders one more.  Only labels, hashes and keys are sorted; a class too large for a task is numbered in blocks, and
+    the jobs are as many for a thousand classes as for two.
+    """
+    rank = F.struct(F.col("_h"), *[quoted(k) for k in key])
+    narrow = marked.select(quoted(label).alias("_v"), rank.alias("_r"))
+    sizes = cut_lineage(narrow.groupBy("_v").agg(F.count(F.lit(1)).alias("n")))
+    facts = sizes.agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count(F.lit(1)).alias("classes")).first()
+    total, classes = facts["total"] or 0, facts["classes"]
     wanted = -int(-total * fraction // 1)
-    if not sizes or min(sizes.values()) < 2 or wanted < len(sizes) or total - wanted < len(sizes):
+    if not classes or facts["least"] < 2 or wanted < classes or total - wanted < classes:
         return None
-    exact = {v: n * wanted / total for v, n in sizes.items()}
-    shares = {v: int(x) for v, x in exact.items()}
-    by_remainder = sorted(sizes, key=lambda v: (-(exact[v] - shares[v]), str(v)))
-    for v in by_remainder[: wanted - sum(shares.values())]:
-        shares[v] += 1
-    return shares
+    product = F.col("n").cast("decimal(38,0)") * F.lit(wanted)
+    shared = sizes.select("_v", F.expr(f"cast(n as decimal(38,0)) * {wanted} div {total}").alias("floor"), (-(product % F.lit(total))).alias("_rest"), F.col("_v").cast("string").alias("_name"))
+    missing = wanted - shared.agg(F.sum("floor")).first()[0]
+    ranked = positions(shared, "_place", ["_rest", "_name"])
+    shares = broadcast_if_small(ranked.select(F.col("_v").alias("_w"), (F.col("floor") + (F.col("_place") <= missing).cast("int")).alias("_share")))
+    numbered = positions(narrow, "_n", ["_r"], ["_v"])
+    last = numbered.join(shares, F.col("_v").eqNullSafe(F.col("_w")) & (F.col("_n") == F.col("_share")))
+    return broadcast_if_small(cut_lineage(last.select("_v", F.col("_r").alias("_cut"))))

@@ -19,17 +19,28 @@ def split_counts(t: Tables) -> DataFrame:
     return parted.agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test_rows"))
 
 
-@query(
-    "stratified_split_counts",
-    """WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1),
-  e AS (SELECT quality, n, n * ceil(sum(n) OVER () * 0.2) / sum(n) OVER () AS share, ceil(sum(n) OVER () * 0.2) AS wanted FROM c),
+def _strata_sql(label: str, table: str) -> str:
+    return f"""WITH c AS (SELECT {label}, count(*) AS n FROM {table} GROUP BY 1),
+  e AS (SELECT {label}, n, n * ceil(sum(n) OVER () * 0.2) / sum(n) OVER () AS share, ceil(sum(n) OVER () * 0.2) AS wanted,
+               (n * ceil(sum(n) OVER () * 0.2)::BIGINT) % (sum(n) OVER ())::BIGINT AS rest FROM c),
   f AS (SELECT *, floor(share) AS base, wanted - sum(floor(share)) OVER () AS spare,
-               row_number() OVER (ORDER BY share - floor(share) DESC, quality::VARCHAR) AS rn FROM e)
-  SELECT quality, n AS rows, (base + CASE WHEN rn <= spare THEN 1 ELSE 0 END)::BIGINT AS test_rows FROM f""",
-)
+               row_number() OVER (ORDER BY rest DESC, {label}::VARCHAR) AS rn FROM e)
+  SELECT {label}, n AS rows, (base + CASE WHEN rn <= spare THEN 1 ELSE 0 END)::BIGINT AS test_rows FROM f"""
+
+
+def _strata(parted: DataFrame, label: str) -> DataFrame:
+    return parted.groupBy(label).agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test_rows"))
+
+
+@query("stratified_split_counts", _strata_sql("quality", "labels"))
 def stratified_split_counts(t: Tables) -> DataFrame:
-    parted = sampling.split(t.labels, ["doc_id"], 0.2, label="quality")
-    return parted.groupBy("quality").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test_rows"))
+    return _strata(sampling.split(t.labels, ["doc_id"], 0.2, label="quality"), "quality")
+
+
+@query("stratified_split_by_part", _strata_sql("l_partkey", "lineitem"))
+def stratified_split_by_part(t: Tables) -> DataFrame:
+    """As many classes as there are parts."""
+    return _strata(sampling.split(t.lineitem, LINE_KEY, 0.2, label="l_partkey"), "l_partkey")
 
 
 @query(

@@ -26,11 +26,12 @@ def t(spark):
 @pytest.fixture(scope="session")
 def quality(spark):
     """Five rows: a missing value, a repeated row, an outlier."""
+    # The test table whose results are known.
     rows = [
-        (41, 3200.0, 0, "Turin"),
-        (44, None, 1, "Lyon"),
-        (38, 2900.0, 0, "Lyon"),
-        (41, 3200.0, 0, "Turin"),
-        (99, 9900.0, 1, "Oslo"),
+        (25, 50000.0, 1, "New York"),
+        (30, 60000.0, 0, "Chicago"),
+        (35, None, 1, "New York"),
+        (30, 60000.0, 0, "Chicago"),
+        (120, 200000.0, 1, "Miami"),
     ]
     return spark.createDataFrame(rows, "Age bigint, Salary double, Target bigint, City string")

@@ -158,6 +158,19 @@ def test_samples_and_splits_are_exact_and_stable(hot):
         assert all(abs(k - n * 0.25) <= 1 for n, k in counts.values())
 
 
+def test_strata_settle_equal_hashes_and_hot_classes(spark, monkeypatch):
+    df = spark.range(300).withColumn("v", F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") < 12, F.lit(None)).otherwise("b"))
+    jobs = []
+    plain = sampling.split(df, ["id"], 0.2, label="v")
+    monkeypatch.setattr(sampling, "positions", lambda *a, **k: jobs.append(a) or blocks.positions(*a, **k, task_rows=7, block_rows=20))
+    forced = sampling.split(df, ["id"], 0.2, label="v")
+    assert {r["id"] for r in plain.where("is_test").collect()} == {r["id"] for r in forced.where("is_test").collect()}
+    assert {r["v"]: r["k"] for r in plain.groupBy("v").agg(F.count_if("is_test").alias("k")).collect()} == {"hot": 40, "b": 19, None: 1}
+    monkeypatch.setattr(sampling, "hash_order", lambda key, seed: F.col("id") % 2)
+    assert {r["v"]: r["k"] for r in sampling.split(df, ["id"], 0.2, label="v").groupBy("v").agg(F.count_if("is_test").alias("k")).collect()} == {"hot": 40, "b": 19, None: 1}
+    assert len(jobs) == 4
+
+
 def test_split_settles_equal_hashes(spark, monkeypatch):
     monkeypatch.setattr(sampling, "hash_order", lambda key, seed: F.col("id") % 2)
     df = spark.range(10)

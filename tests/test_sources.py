@@ -60,7 +60,7 @@ def test_run_log(spark, folder):
     assert "note" not in log.where("model_name = 'first'").first()["metrics"]
     best = {r["project"]: r for r in evaluate.compare_runs(log).collect()}
     assert best["p1"]["best_model"] == "second" and best["p2"]["metric"] == "silhouette"
-    assert "(Random Forest)" in best["p1"]["reason"] and "R2 score (0.9000)" in best["p1"]["reason"]
+    assert "(Random Forest)" in best["p1"]["reason"] and "R2 of 0.9000 is the highest" in best["p1"]["reason"]
     by_error = evaluate.compare_runs(runs.read_runs(spark, path, "p1"), "rmse").first()
     assert by_error["best_model"] == "third" and "lowest" in by_error["reason"]
     card = advice.best_run_card(runs.read_runs(spark, path, "p1")).first()
