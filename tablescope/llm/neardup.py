@@ -96,14 +96,14 @@ def signatures(hashes: np.ndarray, first: np.ndarray, rows: int, bands: int) ->
     return packed, keys
 
 
-SIGNED = "id bigint, n_shingles bigint, set_id bigint, check_id bigint, signature binary, bands array<bigint>"
+SIGNED = "id bigint, text_id bigint, n_shingles bigint, set_id bigint, check_id bigint, signature binary, bands array<bigint>"
 
 
 def _sign(words: int, rows: int, bands: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("check_id", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("id", pa.int64()), ("text_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("check_id", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(2))
             for a, b in slices(texts):
                 hashes, first = shingle_sets(texts[a:b], words)
                 n = np.diff(first)
@@ -120,7 +120,7 @@ def _sign(words: int, rows: int, bands: int):
                     for i, d in enumerate(full):
                         packed[d], keys[d] = sig[i].tobytes(), key[i]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(set_id), pa.array(check_id), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(set_id), pa.array(check_id), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     schema=schema,
                 )
 
@@ -128,7 +128,7 @@ def _sign(words: int, rows: int, bands: int):
 
 
 def _shingles(words: int):
-    """(rep, group, block, blocks, signature, text) to the same with the set in place of the text."""
+    """(rep, head, group, block, blocks, signature, text) to the same with the set in place of the text."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +151,9 @@ def _confirm(threshold: tuple[int, int], hashes_used: int):
     least = p - 5 * math.sqrt(p * (1 - p) / hashes_used)
 
     def confirm(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        reps, once = np.unique(table["rep"].to_numpy(), return_index=True)
-        table = table.take(pa.array(once))
+        names = np.rec.fromarrays([table["rep"].to_numpy(), table["head"].to_numpy()], dtype=[("rep", "<i8"), ("head", "<i8")])
+        names, once = np.unique(names, return_index=True)
+        table, reps = table.take(pa.array(once)), names["rep"]
         blocks = table["block"].to_numpy()
         sets = [np.frombuffer(x, U) for x in table["shingles"].to_pylist()]
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), U).reshape(len(reps), -1)
@@ -210,39 +211,46 @@ def near_duplicates(
     Texts are lower-cased in A-Z; a set holds the distinct runs of ``words`` words, or the whole sequence of a
     shorter text.  Two texts are linked when |A and B| * threshold[1] >= |A or B| * threshold[0], confirmed on the
     full sets.  Null and empty texts have no set and link with nothing; a row without a key links with nothing
-    either: its component_id is null and it is kept.  A repeated row comes back as often as it is there; an id with
-    several texts is one node, compared by one of them.  An empty table gives an empty result; other columns are
+    either: its component_id is null and it is kept.  A repeated row comes back as often as it is there.  An id with
+    several texts is one document: all its texts are compared, each by its own set, and links of any of them are links
+    of the id (a row of it without words keeps the id itself).  An empty table gives an empty result; other columns are
     not read.
     """
     rows, bands = bands_for(threshold[0] / threshold[1])
     t = threshold
-    read = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    same_set = ["set_id", "check_id", "n_shingles"]
+    read = docs.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
     signed = cut_lineage(read.mapInArrow(_sign(words, rows, bands), SIGNED))
     named = signed.where("id is not null and n_shingles > 0")
-    classes = named.groupBy("set_id", "check_id", "n_shingles").agg(F.min("id").alias("rep"))
-    heads = (
-        named.join(classes, ["set_id", "check_id", "n_shingles"])
-        .where("id = rep")
-        .select("rep", "signature", "bands")
-    )
-    banded = heads.select("rep", F.posexplode("bands").alias("band", "bucket")).select("rep", "bucket")
+    # a class of equal sets goes by its smallest id and, as an id may have several texts, by one text of that id
+    classes = named.groupBy(*same_set).agg(
+        F.min("id").alias("rep"), F.min_by("text_id", F.struct("id", "text_id")).alias("head"),
+        F.first("signature").alias("signature"), F.first("bands").alias("bands"),
+    )
+    classes = cut_lineage(classes)
+    heads = classes.select("rep", "head", "signature")
+    banded = classes.select("rep", F.explode("bands").alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last")
     hooks = banded.join(leaders.select("bucket", "leader"), "bucket").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
     groups = cut_lineage(components(hooks).select(F.col("node").alias("rep"), F.col("root").alias("grp")))
     sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = (
         groups.join(sizes, "grp")
-        .join(heads.select("rep", "signature"), "rep")
+        .join(heads, "rep")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     )
-    texts = read.where("id is not null").join(placed, F.col("id") == F.col("rep")).select("rep", "grp", "block", "blocks", "signature", "text")
-    kinds = "rep bigint, grp bigint, block int, blocks int, signature binary, shingles binary"
+    head_text = (F.col("id") == F.col("rep")) & (F.col("text_id") == F.col("head"))
+    texts = read.where("id is not null").join(placed, head_text).select("rep", "head", "grp", "block", "blocks", "signature", "text")
+    kinds = "rep bigint, head bigint, grp bigint, block int, blocks int, signature binary, shingles binary"
     sets = texts.mapInArrow(_shingles(words), kinds)
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "rep", "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "signature", "shingles"
+        "rep", "head", "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "signature", "shingles"
     )
     links = pairs.groupBy("grp", "low", "high").applyInArrow(_confirm(t, rows * bands), "a bigint, b bigint")
-    roots = components(links)
+    members = named.join(classes.select(*same_set, "rep"), same_set).select("id", "rep")
+    several = members.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
+    bridges = members.join(several.select("id", "least"), "id").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    roots = components(links.unionByName(bridges))
     of_class = classes.join(roots, classes["rep"] == roots["node"], "left").select(
         "set_id", "check_id", F.col("n_shingles").alias("n"), F.coalesce("root", "rep").alias("root")
     )

@@ -329,3 +329,16 @@ def test_other_forms_of_personal_data_are_added(spark):
 def test_digits_run_together_are_no_card():
     text = next(t for d in range(10) if pii.luhn(re.sub("[^0-9]", "", t := f"+1 (826) 555-4081 190.137.223.{d}")))
     assert not pii._plausible(2, text) and pii.describe(text, 2, 0, len(text))[11] == 0.0
+
+
+def test_near_copies_of_ids_with_two_texts(spark):
+    rng = np.random.default_rng(12)
+    text = lambda: " ".join(f"t{x}" for x in rng.integers(0, 10**6, 60))
+    rows = []
+    for k in range(100):
+        own = text()
+        rows += [(1000 + k, text()), (1000 + k, own), (2000 + k, own + " more"), (2000 + k, text())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = neardup.near_duplicates(df, 3, (85, 100))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(a + k, 1000 + k) for k in range(100) for a in (1000, 2000)}
+    assert got.count() == 400 and got.where("kept").count() == 200
