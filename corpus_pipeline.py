@@ -7,7 +7,7 @@ returns placed token pieces.  A stage works on all rows of its input.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.llm.neardup import near_duplicates
 from tablescope.llm.packing import pack_pieces, token_pieces
@@ -36,12 +36,14 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8): the one of the smallest id, once.
 
-    Documents without an id belong to no group and stay.
+    Rows are compared, not ids: two different texts of one id both stay.  Documents without an id belong to no group
+    and stay.
     """
-    chosen = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    once = W.partitionBy("doc_id").orderBy("doc_id")
-    named = docs.select(*COLUMNS).join(chosen, "doc_id").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*COLUMNS)
-    return named.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    rows = cut_lineage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.where("doc_id is not null"), key="_row").select(F.col("_row").alias("_r"), "component_id")
+    first = found.join(rows.select("_row", "doc_id"), F.col("_r") == F.col("_row")).groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("m"))
+    chosen = first.select(F.col("m._row").alias("_row"))
+    return rows.join(chosen, "_row", "left_semi").unionByName(rows.where("doc_id is null")).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
