@@ -150,9 +150,13 @@ def pack_lengths(sizes: list[int], length: int) -> list[list[int]]:
         while stacks[a]:
             own, room = take(a), length - a
             fits = (there & ((1 << (room + 1)) - 1)).bit_length() - 1
-            if fits <= 0:
+            if 0 < fits == room:
+                packed.append([own, take(fits)])
+            elif rest and rest[-1][0] <= room:  # a piece put off, no smaller than this one, might share its sequence
+                rest.append((a, own))
+            elif fits <= 0:
                 packed.append([own])
-            elif fits == room or not _pair_beats(fits, room, smallest(3), there, stacks):
+            elif not _pair_beats(fits, room, smallest(3), there, stacks):
                 packed.append([own, take(fits)])
             else:
                 rest.append((a, own))
@@ -194,7 +198,7 @@ def _pair_beats(fits: int, room: int, least: list[int], there: int, stacks: list
     return best > fits
 
 
-def _pack(length: int):
+def _pack(length: int, kept: list[str]):
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending")])
         sizes = table["length"].to_pylist()
@@ -205,20 +209,23 @@ def _pack(length: int):
             for i in group:
                 sequence[i], offset[i] = base + k, at
                 at += sizes[i]
-        out = table.select(["id", "piece", "start", "length", "ids_crc32"])
+        out = table.select(kept)
         return out.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     return pack
 
 
-def pack_pieces(pieces: DataFrame, key: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def pack_pieces(pieces: DataFrame, key: str = "doc_id", length: int = LENGTH, group: int = GROUP, with_ids: bool = False) -> DataFrame:
     """Add sequence_id and offset to pieces (key, piece, start, length, ids_crc32): gapless places in sequences of ``length``.
 
-    Equal rows are packed each for itself; ties go by key and piece; an empty table gives an empty result.
+    With ``with_ids`` the pieces keep their ids, so that the sequences can be put together.  Equal rows are packed each for
+    itself; ties go by key and piece; an empty table gives an empty result.
     """
     kind = pieces.schema[key].dataType.simpleString()
-    small = cut_lineage(pieces.select(F.col(key).alias("id"), "piece", "start", "length", "ids_crc32"))
+    kept = ["id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else [])
+    small = cut_lineage(pieces.withColumnRenamed(key, "id").select(*kept))
     groups = max(1, round(small.count() / group))
     dealt = small.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
-    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    return dealt.groupBy("grp").applyInArrow(_pack(length), schema).withColumnRenamed("id", key)
+    kinds = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, " + ("ids array<int>, " if with_ids else "")
+    packed = dealt.groupBy("grp").applyInArrow(_pack(length, kept), f"{kinds}sequence_id bigint, offset bigint")
+    return packed.withColumnRenamed("id", key)

@@ -77,5 +77,5 @@ def test_stages_against_plain_versions(spark, folder, tmp_path, word_path):
 def test_registered():
     found = entry.queries()
     assert [k for k in found if k == "pipeline" or re.fullmatch(r"op\d+_\w+", k)].__len__() == 14
-    assert {k.split("_")[0] for k in found if re.fullmatch(r"op\d+_\w+", k)} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in found if re.fullmatch(r"op\d+_\w+", k)} == {f"op{n}" for n in range(1, 14)}
     assert set(entry.oracle_sql()) <= set(found)

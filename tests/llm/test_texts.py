@@ -135,6 +135,8 @@ def test_packing_of_whole_documents(docs, none, word_path):
     assert packing.pack_pieces(packing.token_pieces(none, word_path)).count() == 0
     ids = packing.token_pieces(docs, word_path, with_ids=True).where("doc_id = 12").first().ids
     assert ids == [*whole.encode("one two", add_special_tokens=False).ids, 0]
+    placed = packing.pack_pieces(packing.token_pieces(docs, word_path, with_ids=True), with_ids=True).where("doc_id = 12").first()
+    assert placed.ids == ids and placed.length == len(ids)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -152,6 +154,23 @@ def test_reduction_fixes_what_dominates():
     assert len(packing.pack_lengths([60, 40, 55, 45, 70, 30], 100)) == 3
     assert len(packing.pack_lengths([51, 51, 51], 100)) == 3
     assert len(packing.pack_lengths([], 100)) == 0
+    assert len(packing.pack_lengths([1000, 1000, 20, 10, 5], 2048)) == 1
+    assert len(packing.pack_lengths([40, 30, 20, 5, 3, 2], 100)) == 1
+
+
+def test_few_pieces_against_all_ways():
+    def best(left, rooms):
+        if not left:
+            return len(rooms)
+        size, rest = left[0], left[1:]
+        ways = [best(rest, [*rooms[:i], r - size, *rooms[i + 1 :]]) for i, r in enumerate(rooms) if r >= size and r not in rooms[:i]]
+        return min([*ways, best(rest, [*rooms, 100 - size])])
+
+    more = []
+    for seed in range(100):
+        sizes = np.random.default_rng(seed).integers(1, [40, 60, 101][seed % 3], 8).tolist()
+        more.append(len(packing.pack_lengths(sizes, 100)) - best(sorted(sizes, reverse=True), []))
+    assert min(more) == 0 and max(more) <= 1 and sum(more) <= 4
 
 
 def test_personal_data(docs, none):
