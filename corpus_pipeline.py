@@ -57,8 +57,9 @@ def pii(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token pieces with their places in sequences of 2048."""
-    return pack_pieces(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    """Token pieces, their ids included, with their places in sequences of 2048."""
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return pack_pieces(pieces, with_ids=True)
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("repeats", repeats), ("pii", pii), ("packing", packing)]
