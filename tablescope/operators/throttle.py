@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.columns import micros, quoted
-from .blocks import TASK_ROWS, cut_lineage, group_sizes, spread_groups
+from .blocks import BLOCK_ROWS, TASK_ROWS, cut_lineage, group_sizes, running_last, running_totals, spread_groups
+from .lookups import broadcast_if_small
 
 # The limits per minute for an address and for a user.
 WINDOW_SECONDS = 60
@@ -34,20 +35,30 @@ def decide(times: Iterable[int], kept: deque, limit: int, window: int) -> list[b
     return out
 
 
-def trailing_counts(df: DataFrame, key: str, ts: str, seconds: int = WINDOW_SECONDS) -> DataFrame:
+def trailing_counts(
+    df: DataFrame, key: str, ts: str, seconds: int = WINDOW_SECONDS, task_rows: int = TASK_ROWS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Add ``events_in_window``: the key's events less than ``seconds`` old, this one included.
 
-    Rows go to window-long buckets of their key and are lent to the following
-    bucket, so a task holds a bucket, not a key.
+    Rows without a time are left out.  Keys that fit a task are one window each.  With a larger one, events are
+    counted per instant first, and the answer at an instant is the running count there less the running count at
+    the last instant outside its window; both run in blocks of rows, so neither a hot key nor a hot instant is one task's.
     """
     span = seconds * 1_000_000
-    us = micros(quoted(ts), df.schema[ts].dataType)
-    own = F.floor(F.col("_us") / span)
-    lent = df.withColumn("_us", us).withColumn("_own", own)
-    lent = lent.withColumn("_bucket", F.explode(F.array("_own", F.col("_own") + 1)))
-    w = W.partitionBy(quoted(key), "_bucket").orderBy("_us").rangeBetween(-(span - 1), 0)
-    counted = lent.withColumn("events_in_window", F.count(F.lit(1)).over(w))
-    return counted.where("_bucket = _own").drop("_us", "_own", "_bucket")
+    timed = df.withColumn("_us", micros(quoted(ts), df.schema[ts].dataType)).where("_us IS NOT NULL")
+    _, largest = group_sizes(timed, [key])
+    if largest <= task_rows:
+        w = W.partitionBy(quoted(key)).orderBy("_us").rangeBetween(-(span - 1), 0)
+        return timed.withColumn("events_in_window", F.count(F.lit(1)).over(w)).drop("_us")
+    sizes = {"task_rows": task_rows, "block_rows": block_rows}
+    counted = timed.groupBy(quoted(key).alias("_key"), "_us").agg(F.count(F.lit(1)).alias("_n"))
+    upto = cut_lineage(running_totals(counted, {"_upto": F.col("_n")}, ["_us"], ["_key"], **sizes))
+    events = upto.select("_key", F.col("_us").alias("at"), F.lit(0).alias("probe"), F.col("_us").alias("of"), "_upto", F.col("_upto").alias("seen"))
+    probes = upto.select("_key", (F.col("_us") - span).alias("at"), F.lit(1).alias("probe"), F.col("_us").alias("of"), "_upto", F.lit(None).cast("bigint").alias("seen"))
+    found = running_last(events.unionByName(probes), "gone", F.col("seen"), ["at", "probe"], ["_key"], **sizes).where("probe = 1")
+    answers = found.select("_key", F.col("of").alias("_at"), (F.col("_upto") - F.coalesce("gone", F.lit(0))).alias("events_in_window"))
+    same = quoted(key).eqNullSafe(F.col("_key")) & (F.col("_us") == F.col("_at"))
+    return timed.join(broadcast_if_small(answers), same).drop("_us", "_key", "_at")
 
 
 def throttle(

@@ -177,6 +177,17 @@ def test_split_settles_equal_hashes(spark, monkeypatch):
     assert sampling.split(df, ["id"], 0.3).where("is_test").count() == 3
 
 
+def test_trailing_counts_of_hot_keys_and_instants(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 9 == 0 else int(rng.integers(0, 3)), int(t)) for i, t in enumerate([*rng.integers(0, 400, 150), *[100] * 80])]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "id int, k int, t int")
+    df = df.select("id", "k", F.timestamp_seconds("t").alias("ts")).unionByName(spark.createDataFrame([(999, 1, None)], "id int, k int, ts timestamp"))
+    want = {i: sum(k2 == k and 0 <= t - t2 < 60 for k2, t2 in rows) for i, (k, t) in enumerate(rows)}
+    for sizes in ({}, {"task_rows": 10, "block_rows": 15}):
+        got = {r.id: r.events_in_window for r in throttle.trailing_counts(df, "k", "ts", **sizes).collect()}
+        assert got == want
+
+
 def test_mentions_both_ways(spark):
     words = ["The Random Forest wins", "ridge, RIDGE", "x", "a forest", None, "", "gradient boosted trees and a random forest", "customer#000017 met customer#000018"]
     messages = spark.createDataFrame([*enumerate(words), (None, "Ridge"), (2, "random  forest"), (2, "a ridge")], "msg int, text string")
