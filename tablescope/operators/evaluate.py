@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import double, finite, quoted
-from .blocks import TASK_ROWS, running_totals
+from .blocks import TASK_ROWS, cut_lineage, running_totals
 from .charts import score_groups
+from .lookups import broadcast_if_small
 
 
 def regression_metrics(scored: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -139,25 +142,49 @@ def centroids(points: DataFrame, label: str, features: str) -> DataFrame:
     )
 
 
-MAX_CLUSTERS = 2_000
+PART_CLUSTERS = 1_000
+"""Clusters in a part: no row and no task holds the centroids of more than two parts."""
 
 
-def _cluster_list(points: DataFrame, label: str, features: str) -> DataFrame:
-    """One row holding all centroids; refused beyond ``MAX_CLUSTERS`` clusters, which is its size bound."""
-    k = points.select(quoted(label)).distinct().count()
-    if k > MAX_CLUSTERS:
-        raise ValueError(f"{k} clusters; scores that compare all clusters are limited to {MAX_CLUSTERS}")
-    return centroids(points, label, features)
+def _parts(clusters: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The clusters (label, ..), written, with the ``part`` each is dealt to."""
+    made = cut_lineage(clusters)
+    parts = max(1, -(-made.count() // size))
+    return made.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(parts)).cast("int")), parts
 
 
 def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def davies_bouldin(points: DataFrame, label: str, features: str) -> DataFrame:
-    """One row (davies_bouldin): mean over clusters of the worst (s_i + s_j) / d_ij; null below two clusters."""
-    centres = _cluster_list(points, label, features)
-    by_label = F.broadcast(centres)
+def _worst(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Worst (s_i + s_j) / d_ij of each cluster of two parts (or one) against those of the other."""
+    part = np.array(table["part"].to_pylist())
+    low, high = key[0].as_py(), key[1].as_py()
+    s = np.array(table["s"].to_pylist(), float)
+    centre = np.array(table["centre"].to_pylist(), float).reshape(len(s), -1)
+    a, b = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    worst = np.full(len(s), -np.inf)
+    if len(a) and len(b):
+        square = np.maximum(((centre[a] ** 2).sum(1)[:, None] + (centre[b] ** 2).sum(1)[None]) - 2 * centre[a] @ centre[b].T, 0.0)
+        near = square < 1e-6 * ((centre[a] ** 2).sum(1)[:, None] + (centre[b] ** 2).sum(1)[None] + 1e-300)
+        for i, k in zip(*np.nonzero(near)):  # where the product form cancels
+            square[i, k] = ((centre[a[i]] - centre[b[k]]) ** 2).sum()
+        gap = np.sqrt(square)
+        ratio = np.divide(s[a][:, None] + s[b][None], gap, out=np.zeros_like(gap), where=gap > 0)
+        ratio[a[:, None] == b[None]] = -np.inf
+        np.maximum.at(worst, a, ratio.max(1))
+        np.maximum.at(worst, b, ratio.max(0))
+    seen = pa.array(np.isfinite(worst))
+    return pa.table({"label": table["label"], "worst": pa.array(worst)}).filter(seen)
+
+
+def worst_ratios(points: DataFrame, label: str, features: str, part_clusters: int = PART_CLUSTERS) -> DataFrame:
+    """(label, w): the largest (s_i + s_j) / d_ij of each cluster, s being mean distances from the centroids.
+
+    Clusters are compared part by part, two parts in a task.
+    """
+    by_label = broadcast_if_small(cut_lineage(centroids(points, label, features)))
     coords = F.transform(quoted(features), lambda x: x.cast("double"))
     spread = (
         points.select(quoted(label).alias("label"), coords.alias("x"))
@@ -165,47 +192,49 @@ def davies_bouldin(points: DataFrame, label: str, features: str) -> DataFrame:
         .groupBy("label")
         .agg(F.avg(F.sqrt(_squared(F.col("x"), F.col("centre")))).alias("s"), F.first("centre").alias("centre"))
     )
-    # bounded by MAX_CLUSTERS rows; pairs of clusters, not of points
-    one = spread.agg(F.array_agg(F.struct("label", "s", "centre")).alias("c"))
-    worst = F.transform(
-        "c",
-        lambda a: F.array_max(
-            F.transform(
-                F.filter("c", lambda b: b["label"] != a["label"]),
-                lambda b: F.coalesce(
-                    F.try_divide(a["s"] + b["s"], F.sqrt(_squared(a["centre"], b["centre"]))), F.lit(0.0)
-                ),
-            )
-        ),
-    )
-    total = F.aggregate(worst, F.lit(0.0), lambda s, v: s + v)
-    return one.select(F.when(F.size("c") >= 2, total / F.size("c")).alias("davies_bouldin"))
+    dealt, parts = _parts(spread, part_clusters)
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    pairs = dealt.withColumn("other", other).select("label", "s", "centre", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    kind = points.schema[label].dataType.simpleString()
+    return pairs.groupBy("low", "high").applyInArrow(_worst, f"label {kind}, worst double").groupBy("label").agg(F.max("worst").alias("w"))
+
+
+def davies_bouldin(points: DataFrame, label: str, features: str, part_clusters: int = PART_CLUSTERS) -> DataFrame:
+    """One row (davies_bouldin): mean over clusters of the worst (s_i + s_j) / d_ij; null below two clusters."""
+    return worst_ratios(points, label, features, part_clusters).agg(F.avg("w").alias("davies_bouldin"))
 
 
-def silhouette_squared(points: DataFrame, label: str, features: str) -> DataFrame:
+def silhouette_squared(points: DataFrame, label: str, features: str, part_clusters: int = PART_CLUSTERS) -> DataFrame:
     """One row (silhouette_squared): mean silhouette with squared Euclidean distances.
 
     The mean squared distance from a point to a cluster follows from the
     cluster's size, centroid and mean squared norm, so no pair of points is
-    ever formed.  A point alone in its cluster scores 0; null below two clusters.
+    ever formed; a point meets the clusters one part after the other.  A point alone in its cluster scores 0; null
+    below two clusters.
     """
-    centres = _cluster_list(points, label, features)
     coords = F.transform(quoted(features), lambda x: x.cast("double"))
     norm = F.aggregate(F.transform(F.col("x"), lambda v: v * v), F.lit(0.0), lambda s, v: s + v)
     rows = points.select(quoted(label).alias("label"), coords.alias("x"))
     psi = rows.groupBy("label").agg(F.avg(norm).alias("psi"))
-    stats = centres.join(psi, "label").agg(F.array_agg(F.struct("label", "n", "centre", "psi"))).scalar()
+    stats, parts = _parts(centroids(points, label, features).join(psi, "label"), part_clusters)
 
     def distance(c: Column) -> Column:
         dot = F.aggregate(F.zip_with(F.col("x"), c["centre"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         return F.greatest(norm + c["psi"] - 2 * dot, F.lit(0.0))
 
-    own = F.get(F.filter(F.col("c"), lambda c: c["label"] == F.col("label")), F.lit(0))
-    others = F.filter(F.col("c"), lambda c: c["label"] != F.col("label"))
-    scored = rows.withColumn("c", stats).select(
+    mine = broadcast_if_small(stats.select("label", F.struct("n", "centre", "psi").alias("own")))
+    scored = rows.join(mine, "label")
+    nearest = []
+    for p in range(parts):
+        listed = stats.where(F.col("part") == p).agg(F.array_agg(F.struct("label", "centre", "psi")).alias("c"))
+        scored = scored.withColumn(f"c{p}", listed.scalar())
+        others = F.filter(F.col(f"c{p}"), lambda c: c["label"] != F.col("label"))
+        nearest.append(F.array_min(F.transform(others, distance)))
+    own = F.col("own")
+    scored = scored.select(
         own["n"].alias("n"),
         (distance(own) * own["n"] / F.greatest(own["n"] - 1, F.lit(1))).alias("a"),
-        F.array_min(F.transform(others, distance)).alias("b"),
+        F.array_min(F.array_compact(F.array(*nearest))).alias("b"),
     )
     s = F.when(F.col("n") <= 1, F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))

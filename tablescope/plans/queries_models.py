@@ -158,6 +158,22 @@ def davies_bouldin(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "davies_bouldin_of_orders",
+    f"""WITH p AS (SELECT l_orderkey AS label, l_quantity AS x, 100 * l_discount AS y FROM lineitem),
+  cen AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY label),
+  spread AS (SELECT label, cx, cy, avg(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))) AS s FROM p JOIN cen USING (label) GROUP BY label, cx, cy),
+  worst AS (SELECT a.label, max(coalesce((a.s + b.s) / nullif(sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)), 0), 0)) AS w
+            FROM spread a JOIN spread b ON a.label <> b.label GROUP BY a.label)
+  SELECT count(*) AS clusters, {rsql('median(w)', 3)} AS middle FROM worst""",
+)
+def davies_bouldin_of_orders(t: Tables) -> DataFrame:
+    """As many clusters as orders; the middle of the worst ratios, as their mean hangs on the closest centroids."""
+    points = t.lineitem.select("l_orderkey", F.array("l_quantity", 100 * F.col("l_discount")).alias("v"))
+    worst = evaluate.worst_ratios(points, "l_orderkey", "v")
+    return worst.agg(F.count(F.lit(1)).alias("clusters"), rounded(F.median("w"), 3).alias("middle"))
+
+
 @query(
     "silhouette_squared",
     f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),

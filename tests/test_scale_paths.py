@@ -188,6 +188,21 @@ def test_trailing_counts_of_hot_keys_and_instants(spark):
         assert got == want
 
 
+def test_cluster_scores_part_by_part(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i % 11), [float(v) for v in rng.normal(i % 11, 1 + i % 3, 3)]) for i in range(400)] + [(50, [1.0, 2.0, 3.0]), (51, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    for score in (evaluate.davies_bouldin, evaluate.silhouette_squared):
+        assert score(df, "k", "v", part_clusters=3).first()[0] == pytest.approx(score(df, "k", "v").first()[0], rel=1e-9)
+    pdf = df.where("k < 50").toPandas()
+    x, k = np.stack(pdf["v"]), pdf["k"].to_numpy()
+    centre = np.stack([x[k == c].mean(0) for c in range(11)])
+    s = np.array([np.linalg.norm(x[k == c] - centre[c], axis=1).mean() for c in range(11)])
+    want = np.mean([max((s[i] + s[j]) / np.linalg.norm(centre[i] - centre[j]) for j in range(11) if j != i) for i in range(11)])
+    assert evaluate.davies_bouldin(df.where("k < 50"), "k", "v", part_clusters=4).first()[0] == pytest.approx(want)
+    assert evaluate.davies_bouldin(df.where("k = 1"), "k", "v").first()[0] is None
+
+
 def test_mentions_both_ways(spark):
     words = ["The Random Forest wins", "ridge, RIDGE", "x", "a forest", None, "", "gradient boosted trees and a random forest", "customer#000017 met customer#000018"]
     messages = spark.createDataFrame([*enumerate(words), (None, "Ridge"), (2, "random  forest"), (2, "a ridge")], "msg int, text string")
