@@ -83,6 +83,14 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
         & (F.coalesce(F.col("next"), F.col("end")) >= F.col("end"))
     )
     rows = rows.withColumn("weak", weak)
+    # a bare token inside an address or a name is part of it, and no complement of it
+    holder = F.col("weak") & F.col("kind").isin(3, 4)
+    rows = rows.withColumns({
+        "held": F.max(F.when(holder, F.col("end"))).over(place.rowsBetween(W.unboundedPreceding, -1)),
+        "holds": F.min(F.when(holder, F.col("start"))).over(place.rowsBetween(1, W.unboundedFollowing)),
+    })
+    free = (F.coalesce(F.col("held"), F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("holds"), F.col("end")) >= F.col("end"))
+    rows = rows.withColumn("weak", F.col("weak") & ((F.col("kind") != 5) | free))
     near = W.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
     kind = F.col("kind")
     usable = strong | F.col("weak")

@@ -29,9 +29,12 @@ placed AS (SELECT *, sum(gap + size) OVER (PARTITION BY rid, kind ORDER BY i) AS
 strong AS (SELECT *, e - size AS s, kind < {BASE} AND fit AS sure FROM placed),
 ranged AS (SELECT *, max(CASE WHEN sure THEN e END) OVER (PARTITION BY rid ORDER BY s, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached,
     min(CASE WHEN sure THEN s END) OVER (PARTITION BY rid ORDER BY s, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM strong),
-weak AS (SELECT *, kind >= {BASE} AND fit AND coalesce(reached, 0) <= s AND coalesce(nxt, e) >= e AS maybe FROM ranged),
+weak AS (SELECT *, kind >= {BASE} AND fit AND coalesce(reached, 0) <= s AND coalesce(nxt, e) >= e AS able FROM ranged),
+held AS (SELECT *, max(CASE WHEN able AND kind IN (3, 4) THEN e END) OVER (PARTITION BY rid ORDER BY s, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS holder,
+    min(CASE WHEN able AND kind IN (3, 4) THEN s END) OVER (PARTITION BY rid ORDER BY s, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS holds FROM weak),
+free AS (SELECT *, able AND (kind <> 5 OR (coalesce(holder, 0) <= s AND coalesce(holds, e) >= e)) AS maybe FROM held),
 scoped AS (SELECT *, max(CASE WHEN (sure OR maybe) AND kind IN (0, 2, 5) THEN 1 END) OVER w IS NOT NULL AS secret,
-    max(CASE WHEN (sure OR maybe) AND kind IN (1, 3, 4) THEN 1 END) OVER w IS NOT NULL AS owner FROM weak
+    max(CASE WHEN (sure OR maybe) AND kind IN (1, 3, 4) THEN 1 END) OVER w IS NOT NULL AS owner FROM free
     WINDOW w AS (PARTITION BY rid ORDER BY s RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)),
 told AS (SELECT *, list_value({", ".join(f"'{k}'" for k in KINDS)})[kind + 1] || ':' || s::VARCHAR || ':' || e::VARCHAR AS span,
     sure OR (maybe AND CASE WHEN kind = 5 THEN owner ELSE secret END) AS named FROM scoped)
