@@ -147,7 +147,8 @@ class Boosted:
             s, t = scores[own], y[held][own]
             order = np.argsort(-s, kind="stable")
             good = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
-            fine = np.flatnonzero(good >= PRECISION)
+            last = np.flatnonzero(np.append(s[order][1:] != s[order][:-1], True)[: len(order)])  # equal scores pass together
+            fine = last[good[last] >= PRECISION]
             model.thresholds.append(float(max(0.5, s[order][fine[-1]])) if len(fine) else 2.0)
         return model
 

@@ -197,6 +197,14 @@ def test_trees_learn_formats():
     assert np.mean((model.score(x) > 0.5) == (y > 0.5)) > 0.97 and 0.5 <= model.thresholds[0] < 1 and model.thresholds[1] == 2.0
 
 
+def test_equal_scores_pass_together():
+    x, y = np.zeros((800, 3)), np.repeat([1.0, 0.0], 400)
+    assert pii.Boosted.fit(x, y, np.zeros(800, int)).thresholds[0] == 2.0
+    x[:400, 1] = 1
+    model = pii.Boosted.fit(x, y, np.zeros(800, int))
+    assert ((model.score(x) >= model.thresholds[0]) == (y > 0)).all()
+
+
 def test_secrets_link_complementary_parts(docs, none):
     rows = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
     text = ROWS[9][1]
@@ -214,6 +222,14 @@ def test_weak_candidates_alone_stay_silent(spark):
     assert got == {1: "", 2: "assign:0:14", 3: "endpoint:0:19,assign:20:34", 4: ""}
 
 
+def test_no_part_is_its_own_complement(spark):
+    alone = "see https://example.com/articles/2024-review-of-things-we-like today"
+    name = "client_id: 9f8e7d6c5b4a39281706xyz"
+    rows = [(1, alone), (2, alone + " with key Zx81Qw72Er63Ty54Ui45"), (3, name), (4, f"{name} at https://h.example/a"), (5, "Zx81Qw72Er63Ty54Ui45 alone")]
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "", 2: "endpoint:4:62,bare:78:98", 3: "", 4: "", 5: ""}
+
+
 def test_fingerprints_are_sums_of_paragraphs(spark):
     a, b = "one. two three\nfour five. six", "seven eight nine\nten"
     rows = [("a", a), ("b", b), ("ab", f"{a}\n{b}"), ("ba", f"{b}\n{a}"), ("n", None)]
