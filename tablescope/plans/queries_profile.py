@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import clean, kinds, lookups, profile, stats
 from ..operators.blocks import shared_folder
+from ..functions.columns import finite
 from ..sources.tables import Tables, read_table, write_table
 from .registry import query
 from .shared import CHARGES, EVENTS_WITH_GAPS, VISITS, charges, events_with_gaps, rounded, rsql, visits
@@ -141,6 +142,38 @@ def coerce_dates(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "kinds_of_texts",
+    """WITH texts AS (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_date, props AS start_time, event_type FROM events)
+  SELECT * FROM (SELECT 0::BIGINT AS position, 'event_id' AS "column", 'numerical' AS kind
+    UNION ALL SELECT 1, 'event_date', CASE WHEN count(event_date) = count(try_cast(event_date AS TIMESTAMP)) THEN 'datetime' ELSE 'categorical' END FROM texts
+    UNION ALL SELECT 2, 'start_time', CASE WHEN count(start_time) = count(try_cast(start_time AS TIMESTAMP)) THEN 'datetime' ELSE 'categorical' END FROM texts
+    UNION ALL SELECT 3, 'event_type', 'categorical')""",
+)
+def kinds_of_texts(t: Tables) -> DataFrame:
+    """Kinds of a table whose dates are text: all its rows decide."""
+    texts = t.events.select("event_id", F.col("ts").cast("string").alias("event_date"), F.col("props").alias("start_time"), "event_type")
+    return kinds.kinds_table(kinds.coerce_dates(texts), "basic").withColumn("position", F.col("position").cast("bigint"))
+
+
+@query(
+    "describe_unclean",
+    f"""SELECT count(*) - count(v) AS missing, {rsql('avg(v)')} AS mean, min(v) AS low, max(v) AS high
+  FROM (SELECT CASE WHEN l_quantity > 3 THEN l_extendedprice END AS v FROM lineitem)""",
+)
+def describe_unclean(t: Tables) -> DataFrame:
+    """Statistics of a column with NaN and infinities, which count as missing once read."""
+    odd = [float("nan"), float("inf"), float("-inf")]
+    price = F.col("l_extendedprice")
+    for i, v in enumerate(odd, 1):
+        price = F.when(F.col("l_quantity") == i, F.lit(v)).otherwise(price)
+    path = f"{shared_folder(t.spark)}/tablescope/{uuid.uuid4().hex}"
+    write_table(t.lineitem.select(price.alias("price")), path)
+    v = finite(F.col("price"))
+    made = read_table(t.spark, path)
+    return made.agg(F.count_if(v.isNull()).alias("missing"), rounded(F.avg(v)).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"))
+
+
 _TARGET = """(WITH words(word, i) AS (VALUES ('target', 0), ('label', 1), ('price', 2), ('class', 3), ('outcome', 4),
     ('revenue', 5), ('sales', 6), ('churn', 7), ('status', 8)),
   names AS (SELECT column_name AS c, row_number() OVER () AS p FROM (DESCRIBE orders))
