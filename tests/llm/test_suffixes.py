@@ -34,7 +34,7 @@ def found(df):
     return sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr)
 
 
-def corpus(n=220, seed=4):
+def corpus(n=160, seed=4):
     rng = np.random.default_rng(seed)
     say = lambda m: " ".join("".join(rng.choice(list("abcdefgh é"), rng.integers(2, 9))) for _ in range(m))
     passages = [say(m) for m in (15, 18, 30, 60, 300)] + ["ab" * 200, "z" * 150]
@@ -53,8 +53,8 @@ def corpus(n=220, seed=4):
 TINY = {"chunk_bytes": 1500, "share": 2000, "width": 2, "partition": 3000}
 
 
-@pytest.mark.parametrize(("length", "options"), [(100, {}), (100, TINY), (100, {**TINY, "hot": 4}), (64, {**TINY, "hot": 2}), (130, {"hot": 12})])
-def test_against_all_windows(spark, monkeypatch, length, options):
+@pytest.mark.parametrize(("length", "options"), [(100, {}), (100, TINY), (64, {**TINY, "hot": 3})])
+def test_against_all_windows(spark, length, options):
     rows = corpus()
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id bigint, text string, unit int, keys string").repartition(4)
     assert found(suffixes.remove_repeated_strings(df, length, whole=False, **options)) == plain(rows, length)
