@@ -45,7 +45,7 @@ def all_series(spark):
 
 
 def expected(points):
-    """Frequency code and gaps as the reference library gives them: inferred, else by the median step."""
+    """Frequency code and gaps as pandas gives them: inferred, else by the median step."""
     code = infer_freq(points) if len(points) >= 3 else None
     if code is None:
         step = pd.Series(points).diff().dropna().median()
