@@ -204,8 +204,9 @@ def _confirm(threshold: tuple[int, int], hashes_used: int):
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text", block: int = BLOCK
-) -> DataFrame:
+    docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text", block: int = BLOCK,
+    by_text: bool = False,
+) -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key linked, itself included) and kept (it is that key).
 
     Texts are lower-cased in A-Z; a set holds the distinct runs of ``words`` words, or the whole sequence of a
@@ -215,6 +216,9 @@ def near_duplicates(
     several texts is one document: all its texts are compared, each by its own set, and links of any of them are links
     of the id (a row of it without words keeps the id itself).  An empty table gives an empty result; other columns are
     not read.
+
+    With ``by_text`` an id's texts are documents of their own.  The result is then (key, text_id, component_id): a
+    64-bit hash of the text, and a number the rows of one component share, null for those that link with nothing by rule.
     """
     rows, bands = bands_for(threshold[0] / threshold[1])
     t = threshold
@@ -227,19 +231,19 @@ def near_duplicates(
         F.min("id").alias("rep"), F.min_by("text_id", F.struct("id", "text_id")).alias("head"),
         F.first("signature").alias("signature"), F.first("bands").alias("bands"),
     )
-    classes = cut_lineage(classes)
-    heads = classes.select("rep", "head", "signature")
-    banded = classes.select("rep", F.explode("bands").alias("bucket"))
+    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id() if by_text else F.col("rep")))
+    heads = classes.select("node", F.col("rep").alias("id"), "head", "signature")
+    banded = classes.select(F.col("node").alias("rep"), F.explode("bands").alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last")
     hooks = banded.join(leaders.select("bucket", "leader"), "bucket").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
     groups = cut_lineage(components(hooks).select(F.col("node").alias("rep"), F.col("root").alias("grp")))
     sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = (
         groups.join(sizes, "grp")
-        .join(heads, "rep")
+        .join(heads.withColumnRenamed("id", "_id"), F.col("rep") == F.col("node"))
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     )
-    head_text = (F.col("id") == F.col("rep")) & (F.col("text_id") == F.col("head"))
+    head_text = (F.col("id") == F.col("_id")) & (F.col("text_id") == F.col("head"))
     texts = read.where("id is not null").join(placed, head_text).select("rep", "head", "grp", "block", "blocks", "signature", "text")
     kinds = "rep bigint, head bigint, grp bigint, block int, blocks int, signature binary, shingles binary"
     sets = texts.mapInArrow(_shingles(words), kinds)
@@ -247,18 +251,22 @@ def near_duplicates(
         "rep", "head", "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "signature", "shingles"
     )
     links = pairs.groupBy("grp", "low", "high").applyInArrow(_confirm(t, rows * bands), "a bigint, b bigint")
-    members = named.join(classes.select(*same_set, "rep"), same_set).select("id", "rep")
-    several = members.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
-    bridges = members.join(several.select("id", "least"), "id").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    roots = components(links.unionByName(bridges))
-    of_class = classes.join(roots, classes["rep"] == roots["node"], "left").select(
-        "set_id", "check_id", F.col("n_shingles").alias("n"), F.coalesce("root", "rep").alias("root")
+    if not by_text:
+        members = named.join(classes.select(*same_set, "rep"), same_set).select("id", "rep")
+        several = members.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
+        bridges = members.join(several.select("id", "least"), "id").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+        links = links.unionByName(bridges)
+    roots = components(links).withColumnRenamed("node", "_node")
+    of_class = classes.join(roots, classes["node"] == roots["_node"], "left").select(
+        "set_id", "check_id", F.col("n_shingles").alias("n"), F.coalesce("root", "node").alias("root")
     )
     joined = signed.drop("signature", "bands").join(
         of_class,
         (signed["set_id"] == of_class["set_id"]) & (signed["check_id"] == of_class["check_id"]) & (signed["n_shingles"] == of_class["n"]) & F.col("id").isNotNull(),
         "left",
     )
+    if by_text:
+        return joined.select(F.col("id").alias(key), "text_id", F.col("root").alias("component_id"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return joined.select(
         F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")

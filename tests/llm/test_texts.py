@@ -377,3 +377,6 @@ def test_near_copies_of_ids_with_two_texts(spark):
     got = neardup.near_duplicates(df, 3, (85, 100))
     assert {(r.doc_id, r.component_id) for r in got.collect()} == {(a + k, 1000 + k) for k in range(100) for a in (1000, 2000)}
     assert got.count() == 400 and got.where("kept").count() == 200
+    apart = neardup.near_duplicates(df.unionByName(spark.createDataFrame([(1, ""), (2, None)], df.schema)), 3, (85, 100), by_text=True)
+    sizes = Counter(r.component_id for r in apart.collect())
+    assert sizes.pop(None) == 2 and Counter(sizes.values()) == {1: 200, 2: 100}
