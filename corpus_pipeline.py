@@ -7,7 +7,7 @@ returns placed token pieces.  A stage works on all rows of its input.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tablescope.llm.neardup import near_duplicates
 from tablescope.llm.packing import pack_pieces, token_pieces
@@ -39,11 +39,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     Rows are compared, not ids: two different texts of one id both stay.  Documents without an id belong to no group
     and stay.
     """
-    rows = cut_lineage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
-    found = near_duplicates(rows.where("doc_id is not null"), key="_row").select(F.col("_row").alias("_r"), "component_id")
-    first = found.join(rows.select("_row", "doc_id"), F.col("_r") == F.col("_row")).groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("m"))
-    chosen = first.select(F.col("m._row").alias("_row"))
-    return rows.join(chosen, "_row", "left_semi").unionByName(rows.where("doc_id is null")).select(*COLUMNS)
+    found = near_duplicates(docs.where("doc_id is not null"), by_text=True)
+    first = found.where("component_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_id")).alias("m"))
+    chosen = first.select("m.*").unionByName(found.where("component_id is null").select("doc_id", "text_id").distinct())
+    once = W.partitionBy("doc_id", "text_id").orderBy("doc_id")
+    named = docs.select(*COLUMNS, F.xxhash64("text").alias("text_id")).join(chosen, ["doc_id", "text_id"])
+    kept = named.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*COLUMNS)
+    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
