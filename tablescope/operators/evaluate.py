@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import double, finite, quoted
-from .blocks import TASK_ROWS, cut_lineage, running_totals
+from .blocks import TASK_ROWS, cut_lineage, running_totals, spread_groups
 from .charts import score_groups
 from .lookups import broadcast_if_small
 
@@ -143,7 +143,13 @@ def centroids(points: DataFrame, label: str, features: str) -> DataFrame:
 
 
 PART_CLUSTERS = 1_000
-"""Clusters in a part: no row and no task holds the centroids of more than two parts."""
+"""Clusters in a part: no row holds the centroids of more than one part."""
+
+MAX_CELLS = 16_384
+"""Cells of centroids whose boxes a task holds; beyond it cells grow."""
+
+VISITORS = 20_000
+"""Clusters of other cells compared with a cell in one block."""
 
 
 def _parts(clusters: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -157,32 +163,111 @@ def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def _worst(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Worst (s_i + s_j) / d_ij of each cluster of two parts (or one) against those of the other."""
-    part = np.array(table["part"].to_pylist())
-    low, high = key[0].as_py(), key[1].as_py()
-    s = np.array(table["s"].to_pylist(), float)
-    centre = np.array(table["centre"].to_pylist(), float).reshape(len(s), -1)
-    a, b = np.flatnonzero(part == low), np.flatnonzero(part == high)
-    worst = np.full(len(s), -np.inf)
-    if len(a) and len(b):
-        square = np.maximum(((centre[a] ** 2).sum(1)[:, None] + (centre[b] ** 2).sum(1)[None]) - 2 * centre[a] @ centre[b].T, 0.0)
-        near = square < 1e-6 * ((centre[a] ** 2).sum(1)[:, None] + (centre[b] ** 2).sum(1)[None] + 1e-300)
-        for i, k in zip(*np.nonzero(near)):  # where the product form cancels
-            square[i, k] = ((centre[a[i]] - centre[b[k]]) ** 2).sum()
-        gap = np.sqrt(square)
-        ratio = np.divide(s[a][:, None] + s[b][None], gap, out=np.zeros_like(gap), where=gap > 0)
-        ratio[a[:, None] == b[None]] = -np.inf
-        np.maximum.at(worst, a, ratio.max(1))
-        np.maximum.at(worst, b, ratio.max(0))
-    seen = pa.array(np.isfinite(worst))
-    return pa.table({"label": table["label"], "worst": pa.array(worst)}).filter(seen)
+def _matrix(cells: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """An array column as rows x dimensions."""
+    return cells.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _largest_ratios(s: np.ndarray, centre: np.ndarray, other_s: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Per row the largest (s + other_s) / distance to another centre, 0 where there is none; a bounded block at a time."""
+    out = np.zeros(len(s))
+    for at in range(0, len(s), step := max(1, 1_000_000 // max(1, len(others)))):
+        rows = slice(at, at + step)
+        square = np.zeros((len(out[rows]), len(others)))
+        for x, y in zip(centre[rows].T, others.T):
+            gap = x[:, None] - y[None]
+            square += gap * gap
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = (s[rows][:, None] + other_s[None]) / np.sqrt(square)
+        ratio[square == 0] = 0.0
+        out[rows] = ratio.max(1, initial=0.0)
+    return out
+
+
+def _halving(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dimension, cut) per inner node of a tree that halves the sample ``depth`` times, widest side first."""
+    dims, cuts = np.zeros(1 << depth, int), np.zeros(1 << depth)
+    parts = {1: sample}
+    for node in range(1, 1 << depth):
+        rows = parts.pop(node)
+        if len(rows):
+            dims[node] = np.ptp(rows, axis=0).argmax()
+            cuts[node] = np.median(rows[:, dims[node]])
+        low = rows[:, dims[node]] <= cuts[node]
+        parts[2 * node], parts[2 * node + 1] = rows[low], rows[~low]
+    return dims, cuts
+
+
+def _visits(s: np.ndarray, centre: np.ndarray, found: np.ndarray, own: int, low: np.ndarray, high: np.ndarray, top: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) pairs: the cells whose box and largest spread could beat what a row has found."""
+    apart = np.maximum(np.maximum(low - centre.max(0), centre.min(0) - high), 0)
+    across = np.maximum(high - centre.min(0), centre.max(0) - low)
+    nearest, farthest = np.sqrt((apart**2).sum(1)), np.sqrt((across**2).sum(1))
+    other = ids != own
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # some centre of the cell has its largest spread, and is no farther than its far corner
+        sure = np.where(other, np.nan_to_num((s.min() + top) / farthest, nan=0.0, posinf=0.0), 0.0).max(initial=0.0)
+    worth = np.flatnonzero(other & ((s.max() + top) * (1 + 1e-9) > max(found.min(), sure * (1 - 1e-9)) * nearest))
+    rows, cells = [], []
+    for at in range(0, len(s), step := max(1, 1_000_000 // max(1, len(worth)))):
+        part = slice(at, at + step)
+        square, far = (np.zeros((len(s[part]), len(worth))) for _ in range(2))
+        for x, a, b in zip(centre[part].T, low[worth].T, high[worth].T):
+            square += np.maximum(np.maximum(a[None] - x[:, None], x[:, None] - b[None]), 0) ** 2
+            far += np.maximum(b[None] - x[:, None], x[:, None] - a[None]) ** 2
+        reach = s[part][:, None] + top[worth][None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sure = np.nan_to_num(reach / np.sqrt(far), nan=0.0, posinf=0.0).max(1, initial=0.0)
+        best = np.maximum(found[part], sure * (1 - 1e-9))
+        r, c = np.nonzero(reach * (1 + 1e-9) > best[:, None] * np.sqrt(square))
+        rows.append(r + at)
+        cells.append(ids[worth[c]])
+    return np.concatenate(rows), np.concatenate(cells)
+
+
+def _beyond_cells(held: DataFrame, dimensions: int) -> DataFrame:
+    """(centre, s, w): what rows of ``held`` (cell, centre, s, w) find in the other cells that could hold more."""
+    edges = [f(F.col("centre")[k]) for f in (F.min, F.max) for k in range(dimensions)]
+    boxes = held.groupBy("cell").agg(F.array(*edges).alias("box"), F.max("s").alias("top")).collect()  # at most MAX_CELLS rows
+    ids = np.array([r["cell"] for r in boxes])
+    box, top = np.array([r["box"] for r in boxes], float), np.array([r["top"] for r in boxes], float)
+    low, high = box[:, :dimensions], box[:, dimensions:]
+
+    def spread_out(batches):
+        for batch in batches:
+            cell, s, w = (batch[c].to_numpy() for c in ("cell", "s", "w"))
+            centre = _matrix(pa.chunked_array([batch["centre"]]), len(cell))
+            for own in np.unique(cell):
+                mine = np.flatnonzero(cell == own)
+                rows, cells = _visits(s[mine], centre[mine], w[mine], own, low, high, top, ids)
+                for at in range(0, len(rows), 100_000):
+                    some = batch.take(pa.array(mine[rows[at : at + 100_000]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[at : at + 100_000], pa.int32()), some["centre"], some["s"]], names=["cell", "centre", "s"])
+
+    asked = cut_lineage(held.mapInArrow(spread_out, "cell int, centre array<double>, s double"))
+    loads = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("pieces"))
+    loads = F.broadcast(cut_lineage(loads))  # at most MAX_CELLS rows
+    visitors = asked.join(loads, "cell").withColumn("piece", F.pmod(F.xxhash64("centre", "s"), "pieces").cast("int")).drop("pieces")
+    hosts = held.join(loads, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("cell", "piece", "centre", "s")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"centre": left["centre"].slice(0, 0), "s": left["s"].slice(0, 0), "w": pa.array([], pa.float64())})
+        w = _largest_ratios(left["s"].to_numpy(), _matrix(left["centre"], len(left)), right["s"].to_numpy(), _matrix(right["centre"], len(right)))
+        return pa.table({"centre": left["centre"], "s": left["s"], "w": w})
+
+    block = ["cell", "piece"]
+    pairs = spread_groups(visitors, block).groupBy(*block).cogroup(spread_groups(hosts, block).groupBy(*block))
+    return pairs.applyInArrow(meet, "centre array<double>, s double, w double")
 
 
 def worst_ratios(points: DataFrame, label: str, features: str, part_clusters: int = PART_CLUSTERS) -> DataFrame:
     """(label, w): the largest (s_i + s_j) / d_ij of each cluster, s being mean distances from the centroids.
 
-    Clusters are compared part by part, two parts in a task.
+    Equal clusters are compared once.  Centroids are dealt to cells of some
+    ``part_clusters`` and compared inside their cell; a cluster visits those other cells
+    whose box and largest s could still hold a larger ratio, in bounded blocks.  Clusters at one place have
+    the ratio 0, as have those whose centroid or s is not finite.
     """
     by_label = broadcast_if_small(cut_lineage(centroids(points, label, features)))
     coords = F.transform(quoted(features), lambda x: x.cast("double"))
@@ -192,11 +277,36 @@ def worst_ratios(points: DataFrame, label: str, features: str, part_clusters: in
         .groupBy("label")
         .agg(F.avg(F.sqrt(_squared(F.col("x"), F.col("centre")))).alias("s"), F.first("centre").alias("centre"))
     )
-    dealt, parts = _parts(spread, part_clusters)
-    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    pairs = dealt.withColumn("other", other).select("label", "s", "centre", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    kind = points.schema[label].dataType.simpleString()
-    return pairs.groupBy("low", "high").applyInArrow(_worst, f"label {kind}, worst double").groupBy("label").agg(F.max("worst").alias("w"))
+    clusters = cut_lineage(spread)
+    sound = F.forall("centre", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.coalesce(F.abs("s") < float("inf"), F.lit(False))
+    places = cut_lineage(clusters.where(sound).select("centre", "s").distinct())
+    size = places.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("centre")), F.lit(1)).alias("d")).first()
+    depth = max(0, int(np.ceil(np.log2(min(MAX_CELLS, max(1, size["n"] / part_clusters))))))
+    share = min(1.0, (16 << depth) / max(1, size["n"]))
+    drawn = places.where(F.pmod(F.xxhash64("centre", F.lit(7)), F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000)))) if depth else places.limit(0)
+    # only the cells' borders hang on these rows
+    dims, cuts = _halving(np.array([r["centre"] for r in drawn.select("centre").collect()], float).reshape(-1, size["d"]), depth)
+
+    def deal(batches):
+        for batch in batches:
+            centre = _matrix(pa.chunked_array([batch["centre"]]), batch.num_rows)
+            node = np.ones(batch.num_rows, int)
+            for _ in range(depth):
+                node = 2 * node + (centre[np.arange(len(node)), dims[node]] > cuts[node])
+            yield batch.append_column("cell", pa.array(node.astype("int32")))
+
+    def inside(table: pa.Table) -> pa.Table:
+        s, centre = table["s"].to_numpy(), _matrix(table["centre"], len(table))
+        return table.append_column("w", pa.array(_largest_ratios(s, centre, s, centre)))
+
+    dealt = places.mapInArrow(deal, "centre array<double>, s double, cell int")
+    held = spread_groups(dealt, ["cell"]).groupBy("cell").applyInArrow(inside, "centre array<double>, s double, cell int, w double")
+    if depth:
+        held = cut_lineage(held)
+        held = held.select("centre", "s", "w").unionByName(_beyond_cells(held, size["d"]))
+    best = held.groupBy("centre", "s").agg(F.max("w").alias("w"))
+    several = clusters.limit(2).count() > 1
+    return clusters.join(best, ["centre", "s"], "left").where(F.lit(several)).select("label", F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
 def davies_bouldin(points: DataFrame, label: str, features: str, part_clusters: int = PART_CLUSTERS) -> DataFrame:

@@ -203,6 +203,36 @@ def test_cluster_scores_part_by_part(spark):
     assert evaluate.davies_bouldin(df.where("k = 1"), "k", "v").first()[0] is None
 
 
+@pytest.mark.parametrize("kind", ["plane", "copies", "outliers", "line"])
+def test_worst_ratios_meet_few_cells(spark, kind, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 50, (2000, 2))
+    if kind == "copies":
+        x = np.floor(x / 4)
+    if kind == "line":
+        x[:, 1] = 1.0
+    reach = rng.uniform(0, 3, 2000)
+    if kind == "outliers":
+        reach[:3], x[:3] = 1e5, [[1e4, 0.0], [25.0, 25.0], [-1e3, 7.0]]
+    # two points a cluster, at the same distance from its centroid
+    rows = [(i, [float(a + side * r), float(b)]) for i, ((a, b), r) in enumerate(zip(x, reach)) for side in (-1, 1)]
+    df = spark.createDataFrame([*rows, (-1, [1.0, None])], "k int, v array<double>")
+    met = []
+    plain = evaluate._beyond_cells
+    monkeypatch.setattr(evaluate, "_beyond_cells", lambda *a: met.append(plain(*a)) or met[-1])
+    got = {r.label: r.w for r in evaluate.worst_ratios(df, "k", "v", part_clusters=20).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "v"])
+    centre = np.stack(pdf.groupby("k")["v"].apply(lambda v: np.stack(v.to_list()).mean(0)).to_list())
+    s = np.array([np.linalg.norm(np.stack(v.to_list()) - centre[k], axis=1).mean() for k, v in pdf.groupby("k")["v"]])
+    gap = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(2))
+    want = np.divide(s[:, None] + s[None], gap, out=np.zeros_like(gap), where=gap > 0).max(1)
+    # a centroid that is missing a coordinate takes part without hiding the others
+    assert got.pop(-1) == 0
+    if kind != "copies":  # where centroids all but agree, their last bits decide
+        assert [got[i] for i in range(2000)] == pytest.approx(list(want), rel=1e-6)
+    assert len(got) == 2000 and met[0].count() < 10 * 2000
+
+
 def test_mentions_both_ways(spark):
     words = ["The Random Forest wins", "ridge, RIDGE", "x", "a forest", None, "", "gradient boosted trees and a random forest", "customer#000017 met customer#000018"]
     messages = spark.createDataFrame([*enumerate(words), (None, "Ridge"), (2, "random  forest"), (2, "a ridge")], "msg int, text string")
