@@ -9,7 +9,9 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import double, quoted, require_numeric
 from .blocks import cut_lineage, positions, spread_groups
@@ -209,7 +211,7 @@ def nearest_neighbours(
     Training rows are filed under their nearest pivot.  Rows that lie nearer
     than any bound allows cannot be in a pivot's cell whose centre is farther
     than its radius plus that bound, so a new row visits only the other cells.
-    Cells and visitors are cut by hash, so a task compares bounded blocks.
+    Cells and visitors are cut by hash, so a task compares bounded blocks, equal vectors once.
     ``features`` is an array column of both tables; equal distances go to the
     smaller training key.
     """
@@ -266,47 +268,91 @@ def nearest_neighbours(
         F.pmod(F.xxhash64("qid"), F.element_at(new_cuts, F.col("cell"))).cast("int").alias("qs"),
     )
     block = ["cell", "ts", "qs"]
-    out = T.StructType(
+    near = T.StructType(
         [
-            T.StructField("qid", new.schema[key].dataType),
+            T.StructField("distance", T.DoubleType()),
             T.StructField("tid", train.schema[train_key].dataType),
             T.StructField("label", train.schema[label].dataType),
-            T.StructField("distance", T.DoubleType()),
         ]
     )
+    out = T.StructType([T.StructField("qid", new.schema[key].dataType), T.StructField("best", T.ArrayType(near))])
+
+    def compare(filed_rows: pa.Table, asked_rows: pa.Table) -> pa.Table:
+        if not len(filed_rows) or not len(asked_rows):
+            return pa.table({"qid": asked_rows["qid"].slice(0, 0), "best": pa.array([], to_arrow_type(out["best"].dataType))})
+        filed_rows = filed_rows.sort_by("tid")
+        base = vectors(filed_rows["v"])
+        _, which = distinct_rows(base)
+        # of equal vectors only the first k can be among the nearest
+        order = np.argsort(which, kind="stable")
+        group = which[order]
+        first = np.sort(order[np.arange(len(order)) - np.searchsorted(group, group) < k])
+        filed_rows, base = filed_rows.take(pa.array(first)), base[first]
+        some, which = distinct_rows(vectors(asked_rows["q"]))
+        at, square = nearest_rows(base, vectors(asked_rows["q"])[some], k)
+        at, dist = at[which], np.sqrt(square[which])
+        taken = filed_rows.take(pa.array(at.ravel()))
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(dist.ravel()), taken["tid"].combine_chunks(), taken["label"].combine_chunks()], names=["distance", "tid", "label"]
+        )
+        best = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1], dtype="int32")), pairs)
+        return pa.table({"qid": asked_rows["qid"].combine_chunks(), "best": best})
 
-    def compare(filed_rows: pd.DataFrame, asked_rows: pd.DataFrame) -> pd.DataFrame:
-        if filed_rows.empty or asked_rows.empty:
-            return pd.DataFrame(columns=out.names)
-        filed_rows = filed_rows.sort_values("tid", kind="stable")
-        base = np.stack(filed_rows["v"].to_numpy()).astype(float)
-        parts = []
-        for at in range(0, len(asked_rows), 256):
-            some = asked_rows.iloc[at : at + 256]
-            dist = distances(np.stack(some["q"].to_numpy()).astype(float), base)
-            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "qid": np.repeat(some["qid"].to_numpy(), best.shape[1]),
-                        "tid": filed_rows["tid"].to_numpy()[best.ravel()],
-                        "label": filed_rows["label"].to_numpy()[best.ravel()],
-                        "distance": np.take_along_axis(dist, best, axis=1).ravel(),
-                    }
-                )
-            )
-        return pd.concat(parts)
-
-    found = spread_groups(left, block).groupBy(*block).cogroup(spread_groups(right, block).groupBy(*block)).applyInPandas(compare, out)
-    # at most k rows per visited block and new row
-    ranked = found.groupBy("qid").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("distance", "tid", "label"))), 1, k).alias("best")
-    )
+    found = spread_groups(left, block).groupBy(*block).cogroup(spread_groups(right, block).groupBy(*block)).applyInArrow(compare, out)
+    # at most k neighbours per visited block and new row
+    ranked = found.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     return ranked.select(F.col("qid").alias(key), F.posexplode("best").alias("rank", "n")).select(
         key, (F.col("rank") + 1).alias("rank"), F.col("n.tid").alias("neighbour"), "n.distance", F.col("n.label").alias("label")
     )
 
 
+def vectors(cells: pa.ChunkedArray) -> np.ndarray:
+    """An array column as rows x dimensions."""
+    return cells.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(cells), -1)
+
+
+def distinct_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a row of each kind, kind of every row)."""
+    x = np.ascontiguousarray(x + 0.0)
+    _, at, which = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return at, which
+
+
+def nearest_rows(base: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, squared distances) of the ``k`` rows of ``base`` nearest to each asked row, equals by place.
+
+    Products tell which rows can be among them, within their rounding error; only those are
+    measured by differences.
+    """
+    n, d = base.shape
+    k = min(k, n)
+    places, squares = np.empty((len(asked), k), int), np.empty((len(asked), k))
+    norms = (base * base).sum(1)
+    table = np.vstack([-2 * base.T, norms])
+    parts = max(1, n // max(64, 8 * k))
+    for at in range(0, len(asked), 128):
+        some = asked[at : at + 128]
+        like = np.hstack([some, np.ones((len(some), 1))]) @ table
+        if np.isfinite(like).all():
+            # the k-th least of minima of separate rows is no smaller than the k-th least of all
+            width = n // parts
+            least = like[:, : parts * width].reshape(len(some), parts, width).min(1)
+            limit = np.partition(least, min(k, width) - 1, axis=1)[:, min(k, width) - 1] if width >= k else np.full(len(some), np.inf)
+            slack = 16 * (d + 4) * np.finfo(float).eps * ((some * some).sum(1) + norms.max())
+            row, col = np.nonzero(like <= (limit + slack)[:, None])
+        else:
+            row, col = np.indices(like.shape).reshape(2, -1)
+        square = np.empty(len(row))
+        for i in range(0, len(row), step := max(1, 4_000_000 // d)):
+            gap = some[row[i : i + step]] - base[col[i : i + step]]
+            square[i : i + step] = (gap**2).sum(axis=1)
+        order = np.lexsort((col, square, row))
+        starts = np.searchsorted(row[order], np.arange(len(some)))
+        chosen = order[starts[:, None] + np.arange(k)]
+        places[at : at + 128], squares[at : at + 128] = col[chosen], square[chosen]
+    return places, squares
+
+
 def assign_clusters(train: DataFrame, train_key: str, label: str, features: str, new: DataFrame, key: str, k: int = NEIGHBOURS) -> DataFrame:
     """(key, prediction): majority label of the ``k`` nearest training rows, ties to the smaller label."""
     return knn_votes(nearest_neighbours(train, train_key, label, features, new, key, k), key, "label", "rank", k)

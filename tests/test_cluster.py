@@ -79,3 +79,23 @@ def test_neighbours(spark, pivots, monkeypatch):
     for i in range(60):
         counts = np.bincount(labels[want[i]], minlength=3)
         assert votes[i] == counts.argmax()
+
+
+@pytest.mark.parametrize("kind", ["far", "grid", "copies", "few"])
+def test_nearest_rows_against_differences(kind):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3 if kind == "few" else 900, 6)) + (1e4 if kind == "far" else 0)
+    if kind in ("grid", "copies"):
+        base = np.round(base) if kind == "grid" else np.repeat(base[:9], 100, axis=0)
+    asked = np.concatenate([base[:150], base[:150] + 1e-9])
+    square = ((asked[:, None] - base[None]) ** 2).sum(2)
+    want = np.argsort(square, axis=1, kind="stable")[:, :5]
+    at, found = cluster.nearest_rows(base, asked, 5)
+    assert np.array_equal(at, want) and np.array_equal(found, np.take_along_axis(square, want, axis=1))
+
+
+def test_neighbours_among_copies(spark):
+    rows = [(i, "ab"[i % 2], [float(i % 3), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, label string, v array<double>")
+    got = cluster.nearest_neighbours(df, "id", "label", "v", df, "id", 5, 2).orderBy("id", "rank").collect()
+    assert [r["neighbour"] for r in got] == [n for i, _, _ in rows for n in range(i % 3, 15, 3)]
