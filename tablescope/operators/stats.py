@@ -20,7 +20,7 @@ from ..functions.columns import (
     sample_skewness,
 )
 from .blocks import TASK_ROWS, cut_lineage, running_totals
-from .lookups import BROADCAST_BYTES, measured_bytes
+from .lookups import BROADCAST_BYTES
 from .quantiles import quantiles
 
 STATISTICS = [
@@ -290,13 +290,46 @@ def average_ranks(df: DataFrame, columns: Sequence[str], task_rows: int = TASK_R
     return totals.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0).drop("upto")
 
 
+HOT_SHARE = 1_000
+"""A value of more than one row in so many is looked up without a shuffle; there are fewer than this a column."""
+
+LOOKUP_ROWS = 1_000_000
+"""Cells a task of the shuffled lookup gets on average."""
+
+
+def _shuffled_ranks(ranked: DataFrame, ranks: DataFrame, wide: Sequence[int], rows: int) -> DataFrame:
+    """Ranks ``c{i}`` for the columns ``v{i}`` in ``wide``, whose rank tables are too large for a broadcast.
+
+    Rows go long over these columns only; values of many rows meet their ranks by broadcast, so no task
+    of the join gets all rows of one value, and one regrouping by number makes rows again.
+    """
+    rest = [c for c in ranked.columns if c.startswith("c")]
+    numbered = cut_lineage(ranked.withColumn("_row", F.monotonically_increasing_id()))
+    none = F.lit(None).cast("double")
+    # what is known of a row travels with its first cell
+    cells = [
+        F.struct(F.lit(f"v{i}").alias("column"), F.col(f"v{i}").alias("value"), *[(F.col(c) if k == 0 else none).alias(c) for c in rest])
+        for k, i in enumerate(wide)
+    ]
+    long = numbered.select("_row", F.explode(F.array(*cells)).alias("c")).select("_row", "c.*")
+    tasks = max(int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * len(wide) // LOOKUP_ROWS))
+    often = F.col("n") > F.lit(rows // HOT_SHARE)
+    hot = ranks.where(often).select("column", "value", F.col("rank").alias("hot"))
+    met = long.join(F.broadcast(hot), ["column", "value"], "left")
+    seldom = met.where("hot IS NULL").drop("hot").repartition(tasks, "column", "value")
+    found = seldom.join(ranks.where(~often).select("column", "value", "rank").repartition(tasks, "column", "value"), ["column", "value"])
+    found = found.unionByName(met.where("hot IS NOT NULL").withColumnRenamed("hot", "rank"))
+    if len(wide) == 1:
+        return found.select(*rest, F.col("rank").alias(f"c{wide[0]}"))
+    own = [F.max(F.when(F.col("column") == f"v{i}", F.col("rank"))).alias(f"c{i}") for i in wide]
+    return found.repartition(tasks, "_row").groupBy("_row").agg(*[F.max(c).alias(c) for c in rest], *own).drop("_row")
+
+
 def spearman(df: DataFrame, columns: Sequence[str] | None = None, task_rows: int = TASK_ROWS, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Rank correlation matrix in the form of :func:`pearson`, listwise nulls dropped.
 
     Ranks of measured small size are looked up column by column without a
-    shuffle.  Beyond it rows are written once with a number and go long: one
-    join fetches the ranks of all columns, one regrouping by number makes rows
-    of ranks again, however many columns there are.
+    shuffle; only columns whose ranks are beyond it together go through a shuffled lookup.
     """
     columns = list(numeric_columns(df) if columns is None else columns)
     for c in columns:
@@ -304,18 +337,21 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, task_rows: int
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, coefficient double")
     values = df.select(*[double(c).alias(f"v{i}") for i, c in enumerate(columns)]).na.drop()
-    ranks = cut_lineage(average_ranks(values, values.columns, task_rows).select("column", "value", "rank"))
-    if measured_bytes(ranks) <= limit:
-        ranked = values
-        for i, c in enumerate(values.columns):
-            one = ranks.where(F.col("column") == c).select(F.col("value").alias(f"k{i}"), F.col("rank").alias(f"c{i}"))
-            ranked = ranked.join(F.broadcast(one), F.col(c) == F.col(f"k{i}")).drop(f"k{i}", c)
-    else:
-        rows = cut_lineage(values.withColumn("_row", F.monotonically_increasing_id()))
-        cells = rows.select("_row", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in values.columns])).alias("c"))
-        found = cells.select("_row", "c.*").join(ranks, ["column", "value"])
-        back = found.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(f"c{i}") for i, c in enumerate(values.columns)])
-        ranked = back.drop("_row")
+    ranks = cut_lineage(average_ranks(values, values.columns, task_rows).select("column", "value", "n", "rank"))
+    sizes = {r["column"]: (r["values"], r["rows"]) for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).collect()}
+    ranked, left, wide = values, limit, []
+    for c in sorted(sizes, key=lambda c: (sizes[c][0], c)):
+        i = int(c[1:])
+        left -= 32 * sizes[c][0]
+        if left < 0:
+            wide.append(i)
+            continue
+        one = ranks.where(F.col("column") == c).select(F.col("value").alias(f"k{i}"), F.col("rank").alias(f"c{i}"))
+        ranked = ranked.join(F.broadcast(one), F.col(c) == F.col(f"k{i}")).drop(f"k{i}", c)
+    if wide:
+        ranked = _shuffled_ranks(ranked, ranks, wide, max(n for _, n in sizes.values()))
+    elif not sizes:
+        ranked = values.select(*[F.col(c).alias(f"c{c[1:]}") for c in values.columns])
     return _pairs(ranked, columns) if len(columns) <= AGGREGATED else _products(ranked.select(*[f"c{i}" for i in range(len(columns))]), columns)
 
 

@@ -118,6 +118,24 @@ def test_spearman_in_blocks(hot):
     assert got["id", "value"] == pytest.approx(pdf.corr().loc["id", "value"])
 
 
+@pytest.mark.parametrize("limit", [0, 50 * 32, 2100 * 32])
+def test_spearman_without_hot_values_in_the_join(spark, limit, monkeypatch):
+    """Ranks of none, of the narrow columns, of one wide column are broadcast; a constant one is never shuffled."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"a": rng.permutation(2000) + 0.5, "b": rng.integers(0, 40, 2000), "c": 5.0, "d": rng.normal(size=2000)})
+    pdf["d"] = np.where(rng.random(2000) < 0.3, 1.0, pdf["a"] / 1000 + pdf["d"])
+    seen = []
+    plain = stats.cut_lineage
+    monkeypatch.setattr(stats, "cut_lineage", lambda df: seen.append(df.columns) or plain(df))
+    got = {(r[0], r[1]): r[2] for r in stats.spearman(spark.createDataFrame(pdf), ["a", "b", "c", "d"], limit=limit).collect()}
+    want = pdf.rank().corr()
+    for x in "abcd":
+        for y in "abcd":
+            assert (got[x, y] is None) if "c" in (x, y) else got[x, y] == pytest.approx(want.loc[x, y], abs=1e-12)
+    # the wide columns alone are numbered, the others travel as ranks
+    assert limit == 0 or seen[-1] == (["v0", "c2", "c1", "c3", "_row"] if limit > 50 * 32 else ["v0", "v3", "c2", "c1", "_row"])
+
+
 def test_weighted_median_in_blocks(spark):
     rows = [("a", 1, 3), ("a", 5, 1), ("b", 2, 1), ("b", 4, 1), ("c", 9, 2), ("c", 1, 5), ("c", 3, 1)]
     df = spark.createDataFrame(rows, "key string, value bigint, w bigint")
