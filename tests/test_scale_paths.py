@@ -118,6 +118,17 @@ def test_spearman_in_blocks(hot):
     assert got["id", "value"] == pytest.approx(pdf.corr().loc["id", "value"])
 
 
+def test_blocks_of_a_table_fit_a_task(spark):
+    """Blocks and chunks of the split path hold no more rows than an unsplit group may have."""
+    assert blocks.BLOCK_ROWS <= blocks.TASK_ROWS
+    df = spark.range(2_500_000).select("id", (F.col("id") % 7).cast("double").alias("v"))
+    made = series.trend(df, "v", ["id"], task_rows=0)
+    assert made.groupBy(F.spark_partition_id()).count().count() > 1
+    want = [sum(k % 7 for k in range(i - 11, i + 1)) / 12 for i in (999_999, 1_000_000, 2_000_003)]
+    got = made.where(F.col("id").isin(999_999, 1_000_000, 2_000_003)).orderBy("id").collect()
+    assert [r["trend"] for r in got] == pytest.approx(want) and made.count() == 2_500_000
+
+
 @pytest.mark.parametrize("limit", [0, 50 * 32, 2100 * 32])
 def test_spearman_without_hot_values_in_the_join(spark, limit, monkeypatch):
     """Ranks of none, of the narrow columns, of one wide column are broadcast; a constant one is never shuffled."""
