@@ -1,4 +1,4 @@
-"""Forecasts for many series: Spark resamples and groups, a small kernel fits each series."""
+"""Forecasts for many series: Spark resamples and groups, a small kernel fits series of one length together."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import quoted
-from ..functions.solvers import arima, exponential_smoothing
+from ..functions.solvers import arima_many, smooth_many
 from .blocks import spread_groups
 from .calendars import Calendar
 from .series import forecast_metrics, resample, trend
@@ -25,27 +27,28 @@ FALLBACKS = {
 
 
 def _fit(y: np.ndarray, steps: int, algorithm: str, period: int) -> tuple[str, np.ndarray, np.ndarray]:
-    """(method used, forecast, standard error per step); falls back when the series is too short."""
+    """(method used, forecasts, standard errors per step) of (series, time); falls back when the series are too short."""
+    n = y.shape[1]
     if algorithm == "sarima":
-        if period > 1 and len(y) >= 2 * period + 4:
-            mean, se, _ = arima(y, steps, period)
+        if period > 1 and n >= 2 * period + 4:
+            mean, se, _ = arima_many(y, steps, period)
             return "sarima", mean, se
         method, mean, se = _fit(y, steps, "arima", period)
         return FALLBACKS["sarima"] if method == "arima" else method, mean, se
     if algorithm == "arima":
-        if len(y) >= 5:
-            mean, se, _ = arima(y, steps)
+        if n >= 5:
+            mean, se, _ = arima_many(y, steps)
             return "arima", mean, se
         return FALLBACKS["arima"], *_smoothed(y, steps, 1)
-    if period > 1 and len(y) >= 2 * period:
+    if period > 1 and n >= 2 * period:
         return "holt_winters", *_smoothed(y, steps, period)
     return FALLBACKS["holt_winters"], *_smoothed(y, steps, 1)
 
 
 def _smoothed(y: np.ndarray, steps: int, period: int) -> tuple[np.ndarray, np.ndarray]:
-    fitted, ahead = exponential_smoothing(y, steps, period)
-    rmse = float(np.sqrt(np.mean((y - fitted) ** 2)))
-    return ahead, rmse * np.sqrt(np.arange(1, steps + 1))
+    fitted, ahead = smooth_many(y, steps, period)
+    rmse = np.sqrt(np.ascontiguousarray((y - fitted) ** 2).mean(axis=1))
+    return ahead, rmse[:, None] * np.sqrt(np.arange(1, steps + 1))
 
 
 def fit_series(
@@ -57,7 +60,7 @@ def fit_series(
     period: int = 7,
     train_ratio: float = 0.8,
 ) -> DataFrame:
-    """Fit every series of (keys, ts, y); one task per series, one row per calendar point at most.
+    """Fit every series of (keys, ts, y), one row per calendar point at most; a task fits series of one length together.
 
     Rows: ``residual`` (test part: ts, actual, predicted, residual) and
     ``forecast`` (step, predicted, lower, upper), each with ``method_used``.
@@ -81,29 +84,56 @@ def fit_series(
             T.StructField("method_used", T.StringType()),
         ]
     )
-    names = [f.name for f in out.fields]
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        y = pdf["y"].to_numpy(float)
-        cut = int(len(y) * train_ratio)
+    schema = to_arrow_schema(out)
+
+    def many(batches):
+        for batch in batches:
+            lengths = pc.list_value_length(batch["_y"]).to_numpy()
+            for n in np.unique(lengths):
+                yield alike(batch.take(pa.array(np.flatnonzero(lengths == n))), int(n))
+
+    def alike(batch: pa.RecordBatch, n: int) -> pa.RecordBatch:
+        """Rows of all series of one length: the test part of each, then its forecast."""
+        size = batch.num_rows
+        y = batch["_y"].flatten().to_numpy(zero_copy_only=False).reshape(size, n)
+        cut = int(n * train_ratio)
         if cut < 5:
-            cut = max(1, len(y) - 2)
-        method, test_pred, _ = _fit(y[:cut], len(y) - cut, name, period)
+            cut = max(1, n - 2)
+        method, tested, _ = _fit(y[:, :cut], n - cut, name, period)
         _, ahead, se = _fit(y, horizon, name, period)
-        test = pd.DataFrame({"ts": pdf["ts"].iloc[cut:].to_numpy(), "actual": y[cut:], "predicted": test_pred})
-        test["kind"], test["residual"] = "residual", test["actual"] - test["predicted"]
-        test["step"] = np.arange(1, len(test) + 1)
-        future = pd.DataFrame({"predicted": ahead, "lower": ahead - z * se, "upper": ahead + z * se})
-        future["kind"], future["step"] = "forecast", np.arange(1, horizon + 1)
-        future["ts"] = pdf["ts"].iloc[-1]
-        for part in (test, future):
-            for i, k in enumerate(keys):
-                part[k] = key[i]
-            part["method_used"] = method
-        return pd.concat([test.reindex(columns=names), future.reindex(columns=names)])
-
-    return spread_groups(series, keys).groupBy(*[quoted(k) for k in keys]).applyInPandas(one, out)
+        ahead, se = (np.broadcast_to(x, (size, horizon)) for x in (ahead, se))
+        rows = np.arange(size)[:, None] * n
+        test, future = np.arange(cut, n), np.full(horizon, n - 1)
+        places = np.concatenate([rows + test, rows + future], axis=1).ravel()
+        none = np.full((size, n - cut), np.nan)
+        later = np.full((size, horizon), np.nan)
+
+        def column(left: np.ndarray, right: np.ndarray) -> pa.Array:
+            """Test part and forecast beside each other; not a number is null, as the columns have nothing else to say."""
+            return pa.array(np.concatenate([left, right], axis=1).ravel(), from_pandas=True)
+
+        per = n - cut + horizon
+        columns = [batch[f"_k{i}"].take(pa.array(np.repeat(np.arange(size), per))) for i in range(len(keys))]
+        columns += [
+            pa.array(np.tile(np.repeat(["residual", "forecast"], [n - cut, horizon]), size)),
+            pa.array(np.tile(np.concatenate([np.arange(1, n - cut + 1), np.arange(1, horizon + 1)]), size)),
+            batch["_ts"].flatten().take(pa.array(places)),
+            column(y[:, cut:], later),
+            column(tested, ahead),
+            column(none, ahead - z * se),
+            column(none, ahead + z * se),
+            column(y[:, cut:] - tested, later),
+            pa.array([method] * (size * per)),
+        ]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    points = F.array_sort(F.collect_list(F.struct("ts", "y")))
+    whole = series.groupBy(*[quoted(k) for k in keys]).agg(points.alias("_points")).select(
+        *[quoted(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.transform("_points", lambda p: p["ts"].cast("timestamp")).alias("_ts"),
+        F.transform("_points", lambda p: p["y"].cast("double")).alias("_y"),
+    )
+    return spread_groups(whole, [f"_k{i}" for i in range(len(keys))]).mapInArrow(many, out)
 
 
 def forecast(

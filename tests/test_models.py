@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tablescope.functions.solvers import arima, exponential_smoothing
+from tablescope.functions.solvers import arima, arima_many, exponential_smoothing, smooth_many
 from tablescope.operators import explain, forecast, prep, series, train
 
 
@@ -210,3 +210,27 @@ def test_calendar_length_matches_pandas(spark):
         got = {(r["a"], r["b"]): r["n"] for r in df.select("a", "b", series.calendar_length(us("a"), us("b"), F.lit(code)).alias("n")).collect()}
         for a, b in spans:
             assert got[a, b] == len(pd.date_range(a, b, freq=code)), (code, a, b)
+
+
+@pytest.mark.parametrize("period", [1, 4])
+def test_series_fitted_together_as_each_alone(period):
+    y = np.random.default_rng(6).normal(20, 5, (70, 23))
+    for many, one in ((smooth_many, exponential_smoothing), (arima_many, arima)):
+        together = many(y, 6, period)
+        for i in (0, 33, 69):
+            for a, b in zip(together, one(y[i], 6, period)):
+                assert np.array_equal(a[i], b)
+
+
+def test_series_of_all_lengths_in_one_batch(spark):
+    rows = [(k, f"2024-01-{d:02d}", float((d * 7 + k) % 5)) for k in range(1, 20) for d in range(1, k + 1)]
+    df = spark.createDataFrame([*rows, (None, "2024-01-01", 2.0)], "k int, at string, y double")
+    made = forecast.forecast(df, "at", "y", ["k"], "holt_winters", horizon=3, period=3).toPandas()
+    ahead = made[made["kind"] == "forecast"]
+    assert len(ahead) == 20 * 3 and ahead["predicted"].notna().all() and ahead["actual"].isna().all()
+    held = made[made["kind"] == "residual"].groupby("k").size()
+    assert [held.get(n, 0) for n in range(1, 20)] == [n - (c if (c := int(n * 0.8)) >= 5 else max(1, n - 2)) for n in range(1, 20)]
+    last = ahead[ahead["k"] == 19].sort_values("step")
+    assert [d.strftime("%d") for d in last["ts"]] == ["20", "21", "22"]
+    y = np.array([float((d * 7 + 19) % 5) for d in range(1, 20)])
+    assert list(last["predicted"]) == list(exponential_smoothing(y, 3, 3)[1])
