@@ -195,24 +195,30 @@ def missing_timestamps(df: DataFrame, date_column: str, frequency: str, keys: Se
     """(keys, ts): points of a calendar (any code of ``calendars``) at which a series has no row.
 
     Points are made in ranges of ``RUN``, dealt to tasks by series and range, so one long calendar is many small pieces.
+    A range learns by number which of its points are taken, so points themselves are never shuffled.
     """
     part = [quoted(k) for k in keys]
     calendar = Calendar.parse(frequency)
     present = instants(df, date_column, keys).drop("n")
     spans = present.groupBy(*part).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    place = (calendar.length(F.col("first_us"), F.col("us")) - 1).cast("bigint")
+    met = present.join(broadcast_if_small(spans), list(keys)) if keys else present.crossJoin(F.broadcast(spans))  # without keys one row
+    taken = (
+        met.withColumn("i", place)
+        .where((F.col("i") >= 0) & (calendar.point(F.col("first_us"), F.col("i")) == F.col("us")))
+        .groupBy(*part, F.floor(F.col("i") / RUN).alias("hi"))
+        .agg(F.collect_list("i").alias("taken"))
+    )
     ranges = (
         spans.withColumn("n", calendar.length(F.col("first_us"), F.col("last_us")))
         .where("n > 0")
         .withColumn("hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN))))
-        .repartition(*part, "hi")
-    )
-    points = (
-        ranges.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(RUN - 1).cast("bigint"))))
-        .withColumn("i", F.col("hi") * RUN + F.col("lo"))
-        .where("i < n")
-        .select(*part, calendar.point(F.col("first_us"), F.col("i")).alias("us"))
     )
-    return points.join(present, [*keys, "us"], "left_anti").select(*part, F.timestamp_micros("us").alias("ts"))
+    last = F.least(F.col("n").cast("bigint"), (F.col("hi") + 1) * RUN) - 1
+    whole = F.sequence(F.col("hi") * RUN, last)
+    free = F.when(F.col("taken").isNull(), whole).otherwise(F.array_except(whole, F.col("taken")))
+    points = ranges.join(taken, [*keys, "hi"], "left").select(*part, "first_us", F.explode(free).alias("i"))
+    return points.select(*part, F.timestamp_micros(calendar.point(F.col("first_us"), F.col("i"))).alias("ts"))
 
 
 def detect_series(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -103,3 +103,19 @@ def test_gaps_of_any_calendar(spark):
 def test_unknown_codes(code):
     with pytest.raises(ValueError):
         Calendar.parse(code)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_missing_points_are_not_shuffled(spark, keys, monkeypatch):
+    """Ranges know which of their points are taken; instants off the calendar take none."""
+    monkeypatch.setattr(series, "RUN", 4)
+    start = dt.datetime(2024, 1, 1)
+    days = {"a": [0, 1, 2, 9, 10, 23], "b": [3], "c": [5, 16]}
+    rows = [(k, start + dt.timedelta(days=d)) for k, at in days.items() for d in at]
+    rows += [("a", start + dt.timedelta(days=4, hours=7)), ("a", start), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, at timestamp")
+    made = series.missing_timestamps(df, "at", "D", keys)
+    assert "LeftAnti" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((*[r[k] for k in keys], (r["ts"] - start).days) for r in made.collect())
+    have = days if keys else {None: sum(days.values(), [])}
+    assert got == sorted((*([k] if keys else []), d) for k, at in have.items() for d in range(min(at), max(at) + 1) if d not in at)
