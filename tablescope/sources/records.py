@@ -96,7 +96,8 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = batch["value"].slice(a, b - a)
             between, inside, lasts, spans_between, spans_inside = state
             for line in lines.filter(pc.match_substring(lines, '"')).to_pylist():
-                between, inside = inside_after(line, between), inside_after(line, inside)
+                after = inside_after(line, between)
+                between, inside = after, after if inside == between else inside_after(line, inside)
                 lasts, spans_between, spans_inside = lasts and inside, spans_between or between, spans_inside or inside
             state = (between, inside, lasts, spans_between, spans_inside)
     if now is not None:
@@ -173,7 +174,8 @@ def csv_records(spark: SparkSession, path: str, broadcast_ranges: int = BROADCAS
         known = lines.join(F.broadcast(opened), ["file", "start"], "left")
     else:
         known = lines.join(opened, ["file", "start"], "left").repartition("file", "start").sortWithinPartitions("file", "start", "seq")
-    pieces = known.select("file", "start", "owner", "value").mapInArrow(_pieces, PIECES)
+    # written, as records are read several times (names, types, cells) and putting them together is the dear part
+    pieces = cut_lineage(known.select("file", "start", "owner", "value").mapInArrow(_pieces, PIECES))
     parts = F.array_sort(F.collect_list(F.struct("start", "value")))
     value = F.array_join(F.transform(parts, lambda p: p["value"]), "\n")
     over = pieces.where("NOT whole").groupBy("file", "owner").agg(F.bool_or("header").alias("header"), value.alias("value"))

@@ -74,3 +74,12 @@ def test_saved_pipeline_scores_the_same(spark, folder, t):
     a = train.score(trained.pipeline, new, trained.preparation.columns).collect()
     b = train.score(pipelines.load_pipeline(path), new, trained.preparation.columns).collect()
     assert a == b and all(r["Prediction"] is not None for r in a)
+
+
+def test_csv_records_are_put_together_once(spark, folder):
+    """Names, types and cells come from written records, not from the lines again."""
+    path = f"{folder}/once"
+    spark.createDataFrame([(i, f'a "{i}"\nb') for i in range(50)], "id int, note string").coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    got = tables.read_table(spark, path, "csv")
+    assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(i, f'a "{i}"\nb') for i in range(50)]
