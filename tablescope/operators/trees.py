@@ -127,8 +127,27 @@ def _passes(x: np.ndarray, leaves: Leaves) -> np.ndarray:
     return good
 
 
+def _alike(x: np.ndarray, leaves: Leaves) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a row of each kind, kind of every row): rows of a kind pass the same features of every leaf's path."""
+    kind = np.zeros(len(x), np.int64)
+    for f in np.unique(leaves.feature):
+        on = leaves.feature == f
+        if (leaves.allowed[on] != -1).any():
+            place = np.unique(x[:, f], return_inverse=True)[1]
+        else:
+            edges = np.unique(np.concatenate([leaves.low[on], leaves.high[on]]))
+            place = np.where(np.isnan(x[:, f]), -1, np.searchsorted(edges, x[:, f])) + 1
+        kind = np.unique(kind * (int(place.max(initial=0)) + 1) + place, return_inverse=True)[1]
+    return np.unique(kind, return_index=True)[1], kind
+
+
 def contributions(x: np.ndarray, leaves: Leaves, width: int) -> np.ndarray:
-    """Shapley values of ``width`` features for each row of ``x``, summed over the leaves."""
+    """Shapley values of ``width`` features for each row of ``x``, summed over the leaves; rows no leaf tells apart share the work."""
+    first, kind = _alike(x, leaves)
+    return _contributions(x[first], leaves, width)[kind]
+
+
+def _contributions(x: np.ndarray, leaves: Leaves, width: int) -> np.ndarray:
     out = np.zeros((len(x), width))
     deep = leaves.feature.shape[1]
     at, weight = np.polynomial.legendre.leggauss((deep + 1) // 2)
@@ -171,9 +190,10 @@ def tree_shapley(trained: Trained, df: DataFrame, key: Sequence[str], which: int
     def explain(part: Leaves):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.array(batch["x"].to_pylist(), float).reshape(batch.num_rows, len(names))
+                x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(names))
                 values = contributions(x, part, len(names))
-                yield batch.append_column("s", pa.array(list(values), pa.list_(pa.float64())))
+                ends = pa.array(np.arange(0, values.size + 1, len(names), dtype="int32"))
+                yield batch.append_column("s", pa.ListArray.from_arrays(ends, pa.array(values.ravel())))
 
         return run
 

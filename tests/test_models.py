@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablescope.functions.solvers import arima, arima_many, exponential_smoothing, smooth_many
-from tablescope.operators import explain, forecast, prep, series, train
+from tablescope.operators import explain, forecast, prep, series, train, trees
 
 
 @pytest.fixture(scope="module")
@@ -234,3 +234,24 @@ def test_series_of_all_lengths_in_one_batch(spark):
     assert [d.strftime("%d") for d in last["ts"]] == ["20", "21", "22"]
     y = np.array([float((d * 7 + 19) % 5) for d in range(1, 20)])
     assert list(last["predicted"]) == list(exponential_smoothing(y, 3, 3)[1])
+
+
+def test_rows_alike_share_their_contributions(monkeypatch):
+    rng = np.random.default_rng(8)
+    shape = (40, 3)
+    feature = np.stack([rng.permutation(4)[:3] for _ in range(40)])
+    low = np.where(rng.random(shape) < 0.5, -np.inf, np.round(rng.normal(size=shape), 1))
+    allowed = np.full(shape, -1, object)
+    allowed[feature == 3] = 0b0110
+    low[feature == 3] = -np.inf
+    leaves = trees.Leaves(rng.normal(size=40), feature, low, np.where(feature == 3, np.inf, low + 0.7), rng.uniform(0.1, 1, shape), allowed)
+    x = np.round(rng.normal(size=(3000, 4)), 1)
+    x[:, 3] = rng.integers(0, 4, 3000)
+    x[5, 0] = np.nan
+    sizes = []
+    plain = trees._contributions
+    monkeypatch.setattr(trees, "_contributions", lambda x, *a: sizes.append(len(x)) or plain(x, *a))
+    assert np.array_equal(trees.contributions(x, leaves, 4), plain(x, leaves, 4))
+    few = np.repeat(x[:10], 300, axis=0)
+    assert np.array_equal(trees.contributions(few, leaves, 4), np.repeat(plain(x[:10], leaves, 4), 300, axis=0))
+    assert sizes[1] <= 10
