@@ -24,6 +24,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import double, quoted, require_column
+from .blocks import cut_lineage
 from .evaluate import auc, auc_one_vs_rest, classification_metrics, davies_bouldin, regression_metrics, silhouette_squared
 from .kinds import classify
 from .prep import FEATURES, Preparation, fit_preparation, route_features
@@ -285,6 +286,8 @@ def _classify(rows, target, name, hyper, preparation, left_out, key, test_fracti
         F.col("_prediction").cast("int").alias("predicted_code"),
         *[F.col(c).alias(f"score{i}") for i, c in scores.items()],
     )
+    # several metrics read the test part; preparing, splitting and scoring all rows runs once for them
+    scored = cut_lineage(scored)
     metrics = classification_metrics(scored, "actual_code", "predicted_code").first().asDict()
     metrics["rocAuc"] = None
     if scores and len(classes) == 2:

@@ -255,3 +255,10 @@ def test_rows_alike_share_their_contributions(monkeypatch):
     few = np.repeat(x[:10], 300, axis=0)
     assert np.array_equal(trees.contributions(few, leaves, 4), np.repeat(plain(x[:10], leaves, 4), 300, axis=0))
     assert sizes[1] <= 10
+
+
+def test_scored_test_rows_are_written_once(people):
+    made = train.train(people, ["Age", "Group"], "Label", "naive_bayes", ["id"])
+    plan = made.scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "LogicalRDD" not in plan and "Relation" in plan
+    assert made.scored.count() == 48 and set(made.scored.columns) >= {"id", "actual", "predicted", "score1"}
