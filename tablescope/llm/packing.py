@@ -15,9 +15,11 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
@@ -31,50 +33,127 @@ GROUP = 8192
 """Pieces packed together, on average."""
 KEPT = 500_000
 """Words whose ids are kept at most."""
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-LETTERS = dict(enumerate(byte_characters()))
+LETTERS = {i: c for i, c in enumerate(byte_characters()) if i != 10}
+"""Letters that stand for bytes; a line feed is in no word and stands between words."""
+BLANK, LETTER, NUMBER, OTHER = range(4)
+MARKS = 0xD800
+"""Special tokens stand in texts as lone surrogates from here on, which no UTF-8 text holds."""
+
+
+def _kinds() -> np.ndarray:
+    """The kind of every code point."""
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    kinds = np.full(len(every), OTHER, np.uint8)
+    for kind, pattern in ((BLANK, r"\p{White_Space}+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for found in regex.finditer(pattern, every):
+            kinds[found.start() : found.end()] = kind
+    kinds[MARKS : 0xE000] = NUMBER  # a word each
+    return kinds
 
 
 class WordTokenizer:
     """Ids of whole texts by way of their words, for a vocabulary file whose words do not depend on each other.
 
-    The words are cut as the file says (normal form C, lower case, its pattern); the tokenizers library turns a
-    word into ids, and results are kept by word.
+    The words are cut as the file says (normal form C, lower case, its pattern ``'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|
+    [^\\s\\p{L}\\p{N}]+``), over the bytes of many texts at once; the tokenizers library turns a word into ids, and results are
+    kept by word.  No Python loop runs per word but for those not seen before.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
+        special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
+        self.special = {chr(MARKS + k).encode("utf-8", "surrogatepass"): i for k, i in enumerate(special.values())}
+        self.marks = {c: chr(MARKS + k) for k, c in enumerate(special)}
+        self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.kinds = _kinds()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.binary())
+        self.ids, self.starts = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
     @staticmethod
     def lower(text: str) -> str:
         """Lower case letter by letter, whatever stands beside a letter."""
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
-    def words(self, text: str) -> list[str]:
-        if self.split is None or "<|" not in text:
-            return WORD.findall(self.lower(unicodedata.normalize("NFC", text)))
-        parts = self.split.split(text)
-        return [w for i, p in enumerate(parts) for w in ([f"\n{p}"] if i % 2 else WORD.findall(self.lower(unicodedata.normalize("NFC", p))))]
+    def normal(self, raw: bytes) -> bytes:
+        """The text in normal form and lower case, special tokens as their marks."""
+        if b"<|" not in raw or self.split is None:
+            if raw.isascii():
+                return raw.lower()
+            return self.lower(unicodedata.normalize("NFC", raw.decode())).encode()
+        parts = self.split.split(raw.decode())
+        made = [self.marks[p] if i % 2 else self.lower(unicodedata.normalize("NFC", p)) for i, p in enumerate(parts)]
+        return "".join(made).encode("utf-8", "surrogatepass")
+
+    def words(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """All words of the texts one after the other, and the number of words before each text and in all."""
+        made = [self.normal(t) for t in texts]
+        at = np.cumsum([0, *(len(t) + 1 for t in made)])
+        raw = np.frombuffer(b"\n".join(made) + b"\n\n\n\n", np.uint8)
+        kind = self.kinds[:256][raw]
+        first = np.empty(len(raw), bool)
+        first[0] = True
+        wide = np.flatnonzero(raw >= 0xC0)
+        if len(wide):
+            code, long = raw[wide].astype(np.int32), np.zeros(len(wide), bool)
+            code = np.where(code < 0xE0, code & 0x1F, np.where(code < 0xF0, code & 0x0F, code & 0x07))
+            for k in (1, 2, 3):  # bytes that go on with a code point are of its kind
+                long = (raw[wide + k] & 0xC0) == 0x80 if k == 1 else long & ((raw[wide + k] & 0xC0) == 0x80)
+                code = np.where(long, code << 6 | raw[wide + k] & 0x3F, code)
+            kind[wide] = self.kinds[code]
+            more = np.flatnonzero((raw & 0xC0) == 0x80)
+            kind[more] = kind[wide[np.searchsorted(wide, more, "right") - 1]]
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        if len(wide):
+            first[more] = False
+        first &= kind != BLANK
+        mark = np.flatnonzero(first & (raw == ord("'")))
+        mark = mark[kind[mark + 1] == LETTER]
+        a, b = raw[mark + 1], raw[mark + 2]
+        one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        mark, size = mark[one | two], np.where(one, 1, 2)[one | two]
+        first[mark + 1] = False
+        after = mark + 1 + size
+        first[after[kind[after] == LETTER]] = True
+        held = kind != BLANK
+        ends = np.flatnonzero(np.append(first[held], True)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw[held])])
+        return found, np.searchsorted(np.flatnonzero(first), at)
+
+    def _learn(self, new: pa.Array) -> None:
+        """Keep the ids of more words."""
+        tokenize = self.model.tokenize
+        listed = new.to_pylist()
+        letters = b"\n".join(listed).decode("latin-1").translate(LETTERS).split("\n")
+        ids = [[self.special[w]] if w in self.special else [t.id for t in tokenize(s)] for w, s in zip(listed, letters)]
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), "<u4", ends[-1])])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+        self.known = pa.concat_arrays([self.known, new])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        documents = [self.words(t.decode()) for t in texts]
-        new = set().union(*documents) - self.known.keys()
-        if len(self.known) + len(new) > KEPT:
-            self.known = {}
-            new = set().union(*documents)
-        tokenize = self.model.tokenize
-        for word in new:
-            if word[0] == "\n":  # a special token
-                ids = [self.special[word[1:]]]
-            else:
-                ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(LETTERS))]
-            self.known[word] = np.array(ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in documents]
+        words, cuts = self.words(texts)
+        coded = words.dictionary_encode()
+        place = pc.index_in(coded.dictionary, self.known)
+        if place.null_count and len(self.known) + place.null_count > KEPT:
+            self._forget()
+            place = pc.index_in(coded.dictionary, self.known)
+        if place.null_count:
+            new = place.is_null()
+            place = place.fill_null(0).to_numpy().copy()
+            place[new.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + pc.sum(new).as_py())
+            self._learn(coded.dictionary.filter(new))
+        word = np.asarray(place)[coded.indices.to_numpy()]
+        sizes = np.diff(self.starts)[word]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.starts[word] - ends[:-1], sizes) + np.arange(ends[-1])]
+        cuts = ends[cuts].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -88,7 +167,7 @@ def _pieces(path: str, end: int, length: int, with_ids: bool):
         closing = np.array([end], "<u4").tobytes()
         for batch in batches:
             texts = texts_of(batch.column(1))
-            for a, b in slices(texts, 1 << 20):
+            for a, b in slices(texts, 1 << 22):
                 row, number, start, size, crc, ids = [], [], [], [], [], []
                 for d, raw in enumerate(tokenizer.encode(texts[a:b]), a):
                     raw += closing

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tablescope.llm import bpe, fingerprints, neardup, packing, pii, quality, secrets, substrings, toxicity
 
-from .conftest import PASSAGE, ROWS
+from .conftest import LONG, PASSAGE, ROWS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -139,6 +140,34 @@ def test_packing_of_whole_documents(docs, none, word_path):
     assert placed.ids == ids and placed.length == len(ids)
 
 
+def test_words_as_the_library(word_path, monkeypatch):
+    odd = [*"'''''strevelmdRSTxa09 .,!-\n\t\r\x00\x1c\x85\xa0\u2003\u0301\u0307ÉςΣİıI²Ⅷ٣日ſ", "\U0001f600", "\U00010400", "\U0001d7d8", "\u1100\u1161"]
+    odd += ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "don't we'll", "\u212b", "\ud7ff\ue000\uffff"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(odd[i] for i in rng.integers(0, len(odd), rng.integers(0, 60))) for _ in range(400)]
+    tokenizer = packing.WordTokenizer(word_path)
+    want = [np.array(tokenizer.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    raw = [t.encode() for t in texts]
+    for kept in (packing.KEPT, 50):  # with few words kept they are forgotten all the time
+        monkeypatch.setattr(packing, "KEPT", kept)
+        assert [x for a in range(0, 400, 7) for x in tokenizer.encode(raw[a : a + 7])] == want
+
+
+def test_known_words_cost_little(word_path):
+    text = LONG * 4
+    tokenizer = packing.WordTokenizer(word_path)
+
+    def seconds(job):
+        def once():
+            start = time.process_time()
+            job()
+            return time.process_time() - start
+
+        return min(once() for _ in range(5))
+
+    assert 10 * seconds(lambda: tokenizer.encode([text.encode()])) < seconds(lambda: tokenizer.whole.encode(text, add_special_tokens=False))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_is_tight(seed):
     rng = np.random.default_rng(seed)
