@@ -94,6 +94,11 @@ def _boosted(hyper: dict, seed: int) -> dict:
     }
 
 
+PART_BYTES = 1 << 28
+"""What one task may hold of the training rows, as Spark's learners keep them between their passes."""
+ROW_BYTES, VALUE_BYTES = 240, 8
+"""What they keep of a row, and of each entry of its vector."""
+
 TINY_PENALTY = 1e-6
 """Picks the shortest of the equally good solutions when indicator columns add up to one."""
 
@@ -205,7 +210,7 @@ def train(
     numeric, categorical, left_out = route_features(kinds, features)
     hyper = dict(hyperparameters or {})
     if task == "clustering":
-        return _cluster(df, name, hyper, numeric, categorical, left_out, seed, scaling, encoding)
+        return _cluster(df, name, hyper, numeric, categorical, left_out, key, seed, scaling, encoding)
     if target is None:
         raise ValueError("a target column is required")
     require_column(df, target)
@@ -225,8 +230,33 @@ def _no_leftovers(name: str, hyper: dict) -> None:
         raise ValueError(f"{name}: unknown hyperparameters {sorted(hyper)}")
 
 
-def _fit(estimator: Estimator, prepared: DataFrame) -> tuple[Model, float]:
+def _part_rows(prepared: DataFrame) -> tuple[int, int]:
+    """(rows, rows of the largest partition)."""
+    row = prepared.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    return row["rows"] or 0, row["most"] or 0
+
+
+def bounded_parts(prepared: DataFrame, columns: Sequence[str], key: Sequence[str], width: int) -> DataFrame:
+    """``columns`` of the rows, in partitions that a learner may keep: as they are, or dealt by the key if one is too large.
+
+    Dealt rows are in the order of their keys' hashes, so that whoever samples them finds the same ones on every run.
+    """
+    rows, most = _part_rows(prepared)
+    allowed = max(1, PART_BYTES // (ROW_BYTES + VALUE_BYTES * width))
+    kept = [quoted(c) for c in columns]
+    if most <= allowed:
+        return prepared.select(*kept)
+    parts = -(-rows // allowed)
+    if not key:
+        return prepared.select(*kept).repartition(parts)
+    dealt = prepared.select(*kept, F.xxhash64(*[quoted(k) for k in key]).alias("_at"))
+    return dealt.repartition(parts, "_at").sortWithinPartitions("_at").drop("_at")
+
+
+def _fit(estimator: Estimator, prepared: DataFrame, columns: Sequence[str], key: Sequence[str], preparation: Preparation) -> tuple[Model, float]:
     start = time.time()
+    if not isinstance(estimator, (LinearRegression, NaiveBayes)):  # these read the rows once and keep none
+        prepared = bounded_parts(prepared, columns, key, len(preparation.names))
     model = estimator.fit(prepared)
     return model, time.time() - start
 
@@ -238,7 +268,7 @@ def _regress(rows, target, name, hyper, preparation, left_out, key, test_fractio
     redundant = any(n.startswith("cat__") for n in preparation.names)
     estimator = _regressor(name, hyper, seed, part, redundant)
     _no_leftovers(name, hyper)
-    model, seconds = _fit(estimator, part)
+    model, seconds = _fit(estimator, part, [FEATURES, "_label"], key, preparation)
     scored = model.transform(parted.where("is_test")).select(
         *[quoted(k) for k in key], F.col("_label").alias("actual"), F.col("_prediction").alias("predicted")
     )
@@ -267,7 +297,7 @@ def _classify(rows, target, name, hyper, preparation, left_out, key, test_fracti
     _no_leftovers(name, hyper)
     # the class count travels with the column, so a class absent from the training part keeps its place
     part = part.withColumn("_label", F.col("_label").alias("_label", metadata=_nominal(len(classes))))
-    model, seconds = _fit(estimator, part)
+    model, seconds = _fit(estimator, part, [FEATURES, "_label"], key, preparation)
     tested = model.transform(parted.where("is_test"))
     scores = {}
     if "probability" in tested.columns:
@@ -311,14 +341,14 @@ def _nominal(n: int) -> dict:
     return {"ml_attr": {"type": "nominal", "vals": [str(i) for i in range(n)]}}
 
 
-def _cluster(df, name, hyper, numeric, categorical, left_out, seed, scaling, encoding) -> Trained:
+def _cluster(df, name, hyper, numeric, categorical, left_out, key, seed, scaling, encoding) -> Trained:
     # bisecting k-means splits a cluster by noise in proportion to its centre, which must not be zero
     offset = 1.0 if name == "hierarchical" else 0.0
     preparation = fit_preparation(df, numeric, categorical, scaling, encoding, offset)
     prepared = preparation.pipeline.transform(df)
     estimator = _clusterer(name, hyper, seed)
     _no_leftovers(name, hyper)
-    model, seconds = _fit(estimator, prepared)
+    model, seconds = _fit(estimator, prepared, [FEATURES], key, preparation)
     scored = model.transform(prepared).withColumn("predicted", F.col("_prediction"))
     metrics = clustering_metrics(scored, "predicted", FEATURES)
     if name == "kmeans":

@@ -262,3 +262,30 @@ def test_scored_test_rows_are_written_once(people):
     plan = made.scored._jdf.queryExecution().optimizedPlan().toString()
     assert "UDF" not in plan and "LogicalRDD" not in plan and "Relation" in plan
     assert made.scored.count() == 48 and set(made.scored.columns) >= {"id", "actual", "predicted", "score1"}
+
+
+@pytest.mark.parametrize(("algorithm", "target", "key"), [("xgboost", "y", ["id"]), ("random_forest_clf", "k", ["id"]), ("kmeans", None, [])])
+def test_learners_hold_bounded_parts(spark, monkeypatch, algorithm, target, key):
+    """Training rows that a learner keeps are cut into partitions of bounded size, and the model is as good."""
+    noise = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
+    table = spark.range(0, 4000, 1, 1).select("id", (F.col("id") % 97).cast("double").alias("a"), noise.alias("b"))
+    table = table.withColumns({"y": F.col("a") * 2 + F.col("b"), "k": F.when(F.col("a") > 50, "u").otherwise("v")})
+    hyper = {"n_clusters": 3} if target is None else {"n_estimators": 2, "max_depth": 3}
+    kinds = {"a": "numerical", "b": "numerical", "y": "numerical", "k": "categorical"}
+    seen, fit = [], train.Estimator.fit
+
+    def sizes(self, df, params=None):
+        seen.append([r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()])
+        return fit(self, df, params)
+
+    monkeypatch.setattr(train.Estimator, "fit", sizes)
+    runs = []
+    for held in (1 << 28, 500 * (240 + 8 * 2)):
+        monkeypatch.setattr(train, "PART_BYTES", held, raising=False)
+        seen.clear()
+        runs.append((train.train(table, ["a", "b"], target, algorithm, key, hyper, kinds).metrics, max(seen, key=sum)))
+    (plain, whole), (got, parts) = runs
+    assert len(whole) == 1 and sum(parts) == whole[0]
+    assert max(parts) <= 600 and len(parts) == -(-whole[0] // 500)
+    for name, value in plain.items():
+        assert got[name] == pytest.approx(value, rel=0.2, abs=0.02), name
