@@ -168,20 +168,53 @@ def _matrix(cells: pa.ChunkedArray, rows: int) -> np.ndarray:
     return cells.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def _largest_ratios(s: np.ndarray, centre: np.ndarray, other_s: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Per row the largest (s + other_s) / distance to another centre, 0 where there is none; a bounded block at a time."""
-    out = np.zeros(len(s))
-    for at in range(0, len(s), step := max(1, 1_000_000 // max(1, len(others)))):
-        rows = slice(at, at + step)
-        square = np.zeros((len(out[rows]), len(others)))
-        for x, y in zip(centre[rows].T, others.T):
-            gap = x[:, None] - y[None]
-            square += gap * gap
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = (s[rows][:, None] + other_s[None]) / np.sqrt(square)
-        ratio[square == 0] = 0.0
-        out[rows] = ratio.max(1, initial=0.0)
-    return out
+def _gaps(centre: np.ndarray, others: np.ndarray) -> np.ndarray:
+    square = np.zeros((len(centre), len(others)))
+    for x, y in zip(centre.T, others.T):
+        gap = x[:, None] - y[None]
+        square += gap * gap
+    return np.sqrt(square)
+
+
+def _ratios(s: np.ndarray, top: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(gap > 0, (s[:, None] + top) / gap, 0.0)
+
+
+def _highest(lo: np.ndarray, hi: np.ndarray, centre: np.ndarray, top: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, top, gap) of the others that have the largest (s + top) / gap for some s of a row, from ``lo`` to ``hi``; and
+    per row three s with a ratio that is reached there; a bounded block at a time.
+
+    For each other the ratio is a line in s.  The three s are both ends and where the best lines of the ends cross: a line
+    that is above these two nowhere of the three is above them nowhere.
+    """
+    at, best = np.stack([lo, hi, lo], 1), np.zeros((len(lo), 3))
+    found = [(np.zeros(0, int), np.zeros(0), np.zeros(0))]
+    for start in range(0, len(lo) if len(others) else 0, step := max(1, 1_000_000 // max(1, len(others)))):
+        end = min(start + step, len(lo))
+        gap = _gaps(centre[start:end], others)
+        each = np.arange(end - start)
+        ratio = _ratios(lo[start:end], top, gap)
+        first = ratio.argmax(1)
+        best[start:end] = ratio[each, first][:, None]
+        kept = np.zeros(gap.shape, bool)
+        kept[each, first] = True
+        if len(wide := np.flatnonzero(hi[start:end] > lo[start:end])):
+            mine, rows, each = gap[wide], wide + start, np.arange(len(wide))
+            ratio = _ratios(hi[rows], top, mine)
+            last, first = ratio.argmax(1), first[wide]
+            best[rows, 1] = ratio[each, last]
+            kept[wide, last] = True
+            a, b = mine[each, first], mine[each, last]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cross = (top[last] * a - top[first] * b) / (b - a)
+            at[rows, 2] = np.clip(np.where(np.isfinite(cross), cross, lo[rows]), lo[rows], hi[rows])
+            ratio = _ratios(at[rows, 2], top, mine)
+            best[rows, 2] = np.maximum(ratio[each, first], ratio[each, last])
+            kept[wide] |= ratio > best[rows, 2][:, None]
+        row, other = np.nonzero(kept & (gap > 0))
+        found.append((row + start, top[other], gap[row, other]))
+    return *(np.concatenate(c) for c in zip(*found)), at, best
 
 
 def _halving(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +231,7 @@ def _halving(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return dims, cuts
 
 
-def _visits(s: np.ndarray, centre: np.ndarray, found: np.ndarray, own: int, low: np.ndarray, high: np.ndarray, top: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _visits(at: np.ndarray, best: np.ndarray, centre: np.ndarray, own: int, low: np.ndarray, high: np.ndarray, top: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) pairs: the cells whose box and largest spread could beat what a row has found."""
     apart = np.maximum(np.maximum(low - centre.max(0), centre.min(0) - high), 0)
     across = np.maximum(high - centre.min(0), centre.max(0) - low)
@@ -206,67 +239,110 @@ def _visits(s: np.ndarray, centre: np.ndarray, found: np.ndarray, own: int, low:
     other = ids != own
     with np.errstate(divide="ignore", invalid="ignore"):
         # some centre of the cell has its largest spread, and is no farther than its far corner
-        sure = np.where(other, np.nan_to_num((s.min() + top) / farthest, nan=0.0, posinf=0.0), 0.0).max(initial=0.0)
-    worth = np.flatnonzero(other & ((s.max() + top) * (1 + 1e-9) > max(found.min(), sure * (1 - 1e-9)) * nearest))
+        sure = np.where(other, np.nan_to_num((at.min() + top) / farthest, nan=0.0, posinf=0.0), 0.0).max(initial=0.0)
+    worth = np.flatnonzero(other & ((at.max() + top) * (1 + 1e-9) > max(best.min(), sure * (1 - 1e-9)) * nearest))
     rows, cells = [], []
-    for at in range(0, len(s), step := max(1, 1_000_000 // max(1, len(worth)))):
-        part = slice(at, at + step)
-        square, far = (np.zeros((len(s[part]), len(worth))) for _ in range(2))
+    for start in range(0, len(at) if len(worth) else 0, step := max(1, 1_000_000 // max(1, len(worth)))):
+        part = slice(start, start + step)
+        square, far = (np.zeros((len(at[part]), len(worth))) for _ in range(2))
         for x, a, b in zip(centre[part].T, low[worth].T, high[worth].T):
             square += np.maximum(np.maximum(a[None] - x[:, None], x[:, None] - b[None]), 0) ** 2
             far += np.maximum(b[None] - x[:, None], x[:, None] - a[None]) ** 2
-        reach = s[part][:, None] + top[worth][None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sure = np.nan_to_num(reach / np.sqrt(far), nan=0.0, posinf=0.0).max(1, initial=0.0)
-        best = np.maximum(found[part], sure * (1 - 1e-9))
-        r, c = np.nonzero(reach * (1 + 1e-9) > best[:, None] * np.sqrt(square))
-        rows.append(r + at)
+        near, far = np.sqrt(square), np.sqrt(far)
+        reach = [(at[part, k][:, None] + top[worth][None]) * (1 + 1e-9) for k in range(3)]
+        hit = np.logical_or.reduce([reach[k] > best[part, k][:, None] * near for k in range(3)])
+        # what the cell that is sure of the most at the low end holds for the row at both ends
+        each, most = np.arange(len(near)), (reach[0] / np.maximum(far, 1e-300)).argmax(1)
+        sure = [(at[part, k] + top[worth[most]]) / np.maximum(far[each, most], 1e-300) * (1 - 1e-9) for k in (0, 1)]
+        hit &= (reach[0] > sure[0][:, None] * near) | (reach[1] > sure[1][:, None] * near)
+        r, c = np.nonzero(hit)
+        rows.append(r + start)
         cells.append(ids[worth[c]])
-    return np.concatenate(rows), np.concatenate(cells)
+    return np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0, "int32"), *cells])
+
+
+_FOUND = ["lo", "hi", "cross", "best_lo", "best_hi", "best_cross"]
+_LINES = "centre array<double>, top double, gap double"
+
+
+def _columns(table: pa.Table | pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [table[c].to_numpy() for c in names]
+
+
+def _taken(table: pa.Table, rows: np.ndarray, top: np.ndarray, gap: np.ndarray) -> pa.Table:
+    return pa.table({"centre": table["centre"].take(pa.array(rows)), "top": top, "gap": gap})
 
 
 def _beyond_cells(held: DataFrame, dimensions: int) -> DataFrame:
-    """(centre, s, w): what rows of ``held`` (cell, centre, s, w) find in the other cells that could hold more."""
+    """(centre, top, gap): the lines that rows of ``held`` find in the other cells that could hold more."""
     edges = [f(F.col("centre")[k]) for f in (F.min, F.max) for k in range(dimensions)]
-    boxes = held.groupBy("cell").agg(F.array(*edges).alias("box"), F.max("s").alias("top")).collect()  # at most MAX_CELLS rows
-    ids = np.array([r["cell"] for r in boxes])
+    boxes = held.groupBy("cell").agg(F.array(*edges).alias("box"), F.max("hi").alias("top")).collect()  # at most MAX_CELLS rows
+    ids = np.array([r["cell"] for r in boxes], "int32")
     box, top = np.array([r["box"] for r in boxes], float), np.array([r["top"] for r in boxes], float)
     low, high = box[:, :dimensions], box[:, dimensions:]
 
     def spread_out(batches):
         for batch in batches:
-            cell, s, w = (batch[c].to_numpy() for c in ("cell", "s", "w"))
+            cell, *found = _columns(batch, ["cell", *_FOUND])
+            at, best = np.stack(found[:3], 1), np.stack(found[3:], 1)
             centre = _matrix(pa.chunked_array([batch["centre"]]), len(cell))
-            for own in np.unique(cell):
-                mine = np.flatnonzero(cell == own)
-                rows, cells = _visits(s[mine], centre[mine], w[mine], own, low, high, top, ids)
-                for at in range(0, len(rows), 100_000):
-                    some = batch.take(pa.array(mine[rows[at : at + 100_000]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[at : at + 100_000], pa.int32()), some["centre"], some["s"]], names=["cell", "centre", "s"])
-
-    asked = cut_lineage(held.mapInArrow(spread_out, "cell int, centre array<double>, s double"))
+            order = np.argsort(cell, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                if not len(mine):
+                    continue
+                rows, cells = _visits(at[mine], best[mine], centre[mine], cell[mine[0]], low, high, top, ids)
+                for start in range(0, len(rows), 100_000):
+                    some = batch.take(pa.array(mine[rows[start : start + 100_000]]))
+                    columns = [some[c] for c in ["centre", *_FOUND]]
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[start : start + 100_000], pa.int32()), *columns], names=["cell", "centre", *_FOUND])
+
+    schema = "cell int, centre array<double>, " + ", ".join(f"{c} double" for c in _FOUND)
+    asked = cut_lineage(held.select("cell", "centre", *_FOUND).mapInArrow(spread_out, schema))
     loads = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("pieces"))
     loads = F.broadcast(cut_lineage(loads))  # at most MAX_CELLS rows
-    visitors = asked.join(loads, "cell").withColumn("piece", F.pmod(F.xxhash64("centre", "s"), "pieces").cast("int")).drop("pieces")
-    hosts = held.join(loads, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("cell", "piece", "centre", "s")
+    visitors = asked.join(loads, "cell").withColumn("piece", F.pmod(F.xxhash64("centre"), "pieces").cast("int")).drop("pieces")
+    hosts = held.join(loads, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("cell", "piece", "centre", "hi")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pa.table({"centre": left["centre"].slice(0, 0), "s": left["s"].slice(0, 0), "w": pa.array([], pa.float64())})
-        w = _largest_ratios(left["s"].to_numpy(), _matrix(left["centre"], len(left)), right["s"].to_numpy(), _matrix(right["centre"], len(right)))
-        return pa.table({"centre": left["centre"], "s": left["s"], "w": w})
+            return _taken(left, np.zeros(0, int), np.zeros(0), np.zeros(0))
+        lo, hi, cross, *best = _columns(left, _FOUND)
+        rows, tops, gaps, *_ = _highest(lo, hi, _matrix(left["centre"], len(left)), right["hi"].to_numpy(), _matrix(right["centre"], len(right)))
+        more = np.logical_or.reduce([(s[rows] + tops) / gaps > found[rows] for s, found in zip((lo, hi, cross), best)])
+        return _taken(left, rows[more], tops[more], gaps[more])
 
     block = ["cell", "piece"]
     pairs = spread_groups(visitors, block).groupBy(*block).cogroup(spread_groups(hosts, block).groupBy(*block))
-    return pairs.applyInArrow(meet, "centre array<double>, s double, w double")
+    return pairs.applyInArrow(meet, _LINES)
+
+
+def _halved(spots: DataFrame, part_clusters: int) -> tuple[DataFrame, int, int]:
+    """The spots with the ``cell`` each is dealt to, dimensions, and how often space was halved for the cells."""
+    size = spots.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("centre")), F.lit(1)).alias("d")).first()
+    depth = max(0, int(np.ceil(np.log2(min(MAX_CELLS, max(1, size["n"] / part_clusters))))))
+    share = min(1.0, (16 << depth) / max(1, size["n"]))
+    drawn = spots.where(F.pmod(F.xxhash64("centre", F.lit(7)), F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000)))) if depth else spots.limit(0)
+    # only the cells' borders hang on these rows
+    dims, cuts = _halving(np.array([r["centre"] for r in drawn.select("centre").collect()], float).reshape(-1, size["d"]), depth)
+
+    def deal(batches):
+        for batch in batches:
+            centre = _matrix(pa.chunked_array([batch["centre"]]), batch.num_rows)
+            node = np.ones(batch.num_rows, int)
+            for _ in range(depth):
+                node = 2 * node + (centre[np.arange(len(node)), dims[node]] > cuts[node])
+            yield batch.append_column("cell", pa.array(node.astype("int32")))
+
+    return spots.mapInArrow(deal, "centre array<double>, lo double, hi double, cell int"), size["d"], depth
 
 
 def worst_ratios(points: DataFrame, label: str, features: str, part_clusters: int = PART_CLUSTERS) -> DataFrame:
     """(label, w): the largest (s_i + s_j) / d_ij of each cluster, s being mean distances from the centroids.
 
-    Equal clusters are compared once.  Centroids are dealt to cells of some
-    ``part_clusters`` and compared inside their cell; a cluster visits those other cells
-    whose box and largest s could still hold a larger ratio, in bounded blocks.  Clusters at one place have
+    Clusters with one centroid are a spot: others need only the largest s of it, and it asks for the whole range of
+    its s at once, as the ratio to another spot is a line in s.  Spots are dealt to cells of some ``part_clusters``
+    and compared inside their cell; a spot visits those other cells whose box and largest s could still hold a larger ratio,
+    in bounded blocks.  Each cluster then takes the largest of its spot's few lines.  Clusters at one place have
     the ratio 0, as have those whose centroid or s is not finite.
     """
     by_label = broadcast_if_small(cut_lineage(centroids(points, label, features)))
@@ -279,34 +355,30 @@ def worst_ratios(points: DataFrame, label: str, features: str, part_clusters: in
     )
     clusters = cut_lineage(spread)
     sound = F.forall("centre", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.coalesce(F.abs("s") < float("inf"), F.lit(False))
-    places = cut_lineage(clusters.where(sound).select("centre", "s").distinct())
-    size = places.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("centre")), F.lit(1)).alias("d")).first()
-    depth = max(0, int(np.ceil(np.log2(min(MAX_CELLS, max(1, size["n"] / part_clusters))))))
-    share = min(1.0, (16 << depth) / max(1, size["n"]))
-    drawn = places.where(F.pmod(F.xxhash64("centre", F.lit(7)), F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000)))) if depth else places.limit(0)
-    # only the cells' borders hang on these rows
-    dims, cuts = _halving(np.array([r["centre"] for r in drawn.select("centre").collect()], float).reshape(-1, size["d"]), depth)
-
-    def deal(batches):
-        for batch in batches:
-            centre = _matrix(pa.chunked_array([batch["centre"]]), batch.num_rows)
-            node = np.ones(batch.num_rows, int)
-            for _ in range(depth):
-                node = 2 * node + (centre[np.arange(len(node)), dims[node]] > cuts[node])
-            yield batch.append_column("cell", pa.array(node.astype("int32")))
+    spots = cut_lineage(clusters.where(sound).groupBy("centre").agg(F.min("s").alias("lo"), F.max("s").alias("hi")))
+    dealt, dimensions, depth = _halved(spots, part_clusters)
 
     def inside(table: pa.Table) -> pa.Table:
-        s, centre = table["s"].to_numpy(), _matrix(table["centre"], len(table))
-        return table.append_column("w", pa.array(_largest_ratios(s, centre, s, centre)))
-
-    dealt = places.mapInArrow(deal, "centre array<double>, s double, cell int")
-    held = spread_groups(dealt, ["cell"]).groupBy("cell").applyInArrow(inside, "centre array<double>, s double, cell int, w double")
+        lo, hi = _columns(table, ["lo", "hi"])
+        centre = _matrix(table["centre"], len(table))
+        rows, tops, gaps, at, best = _highest(lo, hi, centre, hi, centre)
+        starts = np.searchsorted(rows, np.arange(len(table) + 1)).astype("int32")
+        lines = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(tops), pa.array(gaps)], names=["top", "gap"]))
+        found = [*at.T, *best.T]
+        return pa.table({"centre": table["centre"], "cell": table["cell"], **{c: np.ascontiguousarray(v) for c, v in zip(_FOUND, found)}, "lines": lines})
+
+    schema = "centre array<double>, cell int, " + ", ".join(f"{c} double" for c in _FOUND) + ", lines array<struct<top:double,gap:double>>"
+    held = spread_groups(dealt, ["cell"]).groupBy("cell").applyInArrow(inside, schema)
+    best = held.select("centre", "lines")
     if depth:
         held = cut_lineage(held)
-        held = held.select("centre", "s", "w").unionByName(_beyond_cells(held, size["d"]))
-    best = held.groupBy("centre", "s").agg(F.max("w").alias("w"))
+        beyond = _beyond_cells(held, dimensions).groupBy("centre").agg(F.array_agg(F.struct("top", "gap")).alias("more"))
+        lines = F.concat("lines", F.coalesce("more", F.array().cast("array<struct<top:double,gap:double>>")))
+        best = held.select("centre", "lines").join(beyond, "centre", "left").select("centre", lines.alias("lines"))
     several = clusters.limit(2).count() > 1
-    return clusters.join(best, ["centre", "s"], "left").where(F.lit(several)).select("label", F.coalesce("w", F.lit(0.0)).alias("w"))
+    ratio = F.array_max(F.transform("lines", lambda x: (F.col("s") + x["top"]) / x["gap"]))
+    joined = clusters.join(best, "centre", "left").where(F.lit(several))
+    return joined.select("label", F.coalesce(F.when(sound, ratio), F.lit(0.0)).alias("w"))
 
 
 def davies_bouldin(points: DataFrame, label: str, features: str, part_clusters: int = PART_CLUSTERS) -> DataFrame:

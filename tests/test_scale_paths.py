@@ -262,6 +262,28 @@ def test_worst_ratios_meet_few_cells(spark, kind, monkeypatch):
     assert len(got) == 2000 and met[0].count() < 10 * 2000
 
 
+def test_worst_ratios_of_clusters_at_few_places(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    spots = np.array([(float(a), float(b)) for a in range(8) for b in range(5)])
+    place = rng.integers(0, len(spots), 3000)
+    reach = rng.uniform(0, 3, 3000) * (1 + place % 3) ** 2
+    rows = [(i, [float(spots[p, 0] + side * r), float(spots[p, 1])]) for i, (p, r) in enumerate(zip(place, reach)) for side in (-1, 1)]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    # centroids and spreads as they are computed, so that clusters of a place are at one place to the last bit
+    monkeypatch.setattr(evaluate, "centroids", lambda points, label, features: spark.createDataFrame(
+        [(i, 2, [float(c) for c in spots[p]]) for i, p in enumerate(place)], "label int, n bigint, centre array<double>"))
+    dealt = []
+    plain = evaluate.spread_groups
+    monkeypatch.setattr(evaluate, "spread_groups", lambda t, keys: dealt.append((t, keys)) or plain(t, keys))
+    got = {r.label: r.w for r in evaluate.worst_ratios(df, "k", "v", part_clusters=5).collect()}
+    centre = spots[place]
+    gap = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(2))
+    want = np.divide(reach[:, None] + reach[None], gap, out=np.zeros_like(gap), where=gap > 0).max(1)
+    assert [got[i] for i in range(3000)] == pytest.approx(list(want), rel=1e-9)
+    # what meets in a task grows with the places, not with the clusters at them
+    assert len(dealt) == 3 and all(t.groupBy(*keys).count().agg({"count": "max"}).first()[0] <= 40 for t, keys in dealt)
+
+
 def test_mentions_both_ways(spark):
     words = ["The Random Forest wins", "ridge, RIDGE", "x", "a forest", None, "", "gradient boosted trees and a random forest", "customer#000017 met customer#000018"]
     messages = spark.createDataFrame([*enumerate(words), (None, "Ridge"), (2, "random  forest"), (2, "a ridge")], "msg int, text string")
