@@ -24,6 +24,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import double, quoted, require_column
+from . import boosting
 from .blocks import cut_lineage
 from .evaluate import auc, auc_one_vs_rest, classification_metrics, davies_bouldin, regression_metrics, silhouette_squared
 from .kinds import classify
@@ -236,12 +237,12 @@ def _part_rows(prepared: DataFrame) -> tuple[int, int]:
     return row["rows"] or 0, row["most"] or 0
 
 
-def bounded_parts(prepared: DataFrame, columns: Sequence[str], key: Sequence[str], width: int) -> DataFrame:
+def bounded_parts(prepared: DataFrame, columns: Sequence[str], key: Sequence[str], width: int, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``columns`` of the rows, in partitions that a learner may keep: as they are, or dealt by the key if one is too large.
 
     Dealt rows are in the order of their keys' hashes, so that whoever samples them finds the same ones on every run.
     """
-    rows, most = _part_rows(prepared)
+    rows, most = sizes or _part_rows(prepared)
     allowed = max(1, PART_BYTES // (ROW_BYTES + VALUE_BYTES * width))
     kept = [quoted(c) for c in columns]
     if most <= allowed:
@@ -255,9 +256,17 @@ def bounded_parts(prepared: DataFrame, columns: Sequence[str], key: Sequence[str
 
 def _fit(estimator: Estimator, prepared: DataFrame, columns: Sequence[str], key: Sequence[str], preparation: Preparation) -> tuple[Model, float]:
     start = time.time()
-    if not isinstance(estimator, (LinearRegression, NaiveBayes)):  # these read the rows once and keep none
-        prepared = bounded_parts(prepared, columns, key, len(preparation.names))
-    model = estimator.fit(prepared)
+    width = len(preparation.names)
+    if isinstance(estimator, (LinearRegression, NaiveBayes)):  # these read the rows once and keep none
+        return estimator.fit(prepared), time.time() - start
+    sizes = _part_rows(prepared)
+    if isinstance(estimator, GBTRegressor) and sizes[0] > boosting.GROUPED_ROWS:
+        made = boosting.grouped(prepared, FEATURES, "_label", key, sizes[0], estimator.getMaxBins())
+        if made is not None:
+            groups, cuts = made
+            model = estimator.setWeightCol(boosting.WEIGHT).fit(bounded_parts(groups, [FEATURES, "_label", boosting.WEIGHT], [boosting.BINS], width))
+            return boosting.with_cuts(model, cuts, prepared), time.time() - start
+    model = estimator.fit(bounded_parts(prepared, columns, key, width, sizes))
     return model, time.time() - start
 
 

@@ -6,10 +6,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tablescope.functions.solvers import arima, arima_many, exponential_smoothing, smooth_many
-from tablescope.operators import explain, forecast, prep, series, train, trees
+from tablescope.operators import boosting, explain, forecast, prep, sampling, series, train, trees
 
 
 @pytest.fixture(scope="module")
@@ -289,3 +290,49 @@ def test_learners_hold_bounded_parts(spark, monkeypatch, algorithm, target, key)
     assert max(parts) <= 600 and len(parts) == -(-whole[0] // 500)
     for name, value in plain.items():
         assert got[name] == pytest.approx(value, rel=0.2, abs=0.02), name
+
+
+def test_boosting_takes_groups_of_rows(spark, monkeypatch):
+    """Many rows reach the learner once per combination of bins, and give the model that the same bins give on all rows."""
+    hashed = F.pmod(F.xxhash64("id"), F.lit(100_000))
+    table = spark.range(0, 6000, 1, 3).select("id", (hashed % 9).cast("double").alias("a"), (hashed / 777).alias("b"), (F.col("id") % 3).cast("string").alias("g"))
+    table = table.withColumn("y", F.col("a") * F.col("b") + F.when(F.col("g") == "2", 500.0).otherwise(F.col("id") % 7))
+    kinds = {"a": "numerical", "b": "numerical", "g": "categorical", "y": "numerical"}
+    hyper = {"n_estimators": 4, "max_depth": 3}
+    plain = train.train(table, ["a", "b", "g"], "y", "xgboost", ["id"], hyper, kinds)
+    seen, fit = [], train.Estimator.fit
+    monkeypatch.setattr(train.Estimator, "fit", lambda self, df, params=None: seen.append((type(self).__name__, df.count())) or fit(self, df, params))
+    monkeypatch.setattr(boosting, "GROUPED_ROWS", 1000)
+    monkeypatch.setattr(boosting, "SAMPLE", 500)
+    monkeypatch.setattr(boosting, "BLOCK_CELLS", 7000)
+    made = train.train(table, ["a", "b", "g"], "y", "xgboost", ["id"], hyper, kinds)
+    assert dict(seen)["GBTRegressor"] <= 9 * 32 * 3
+    assert made.metrics["r2"] == pytest.approx(plain.metrics["r2"], abs=0.03) and made.metrics["r2"] > 0.9
+    monkeypatch.undo()
+
+    prepared = made.preparation.pipeline.transform(table).withColumn("_label", F.col("y"))
+    part = sampling.split(prepared, ["id"], 0.2, 42).where("NOT is_test")
+    monkeypatch.setattr(boosting, "SAMPLE", 500)
+    groups, cuts = boosting.grouped(part, "_features", "_label", ["id"], 4800, 32)
+    rows = part.select("id", "_label", vector_to_array("_features").alias("x")).collect()
+    binned = [(r.id, r._label, Vectors.dense([float(np.sum(c < v)) for c, v in zip(cuts, r.x)])) for r in rows]
+    assert groups.count() == len({tuple(b[2]) for b in binned}) and groups.agg(F.sum("_weight")).first()[0] == 4800
+    estimator = train.GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="_prediction", maxIter=4, maxDepth=3, stepSize=0.3, seed=42)
+    on_bins = spark.createDataFrame(binned, ["id", "_label", "_features"])
+    want = {r.id: r._prediction for r in estimator.fit(on_bins).transform(on_bins).collect()}
+    got = {r.id: r._prediction for r in made.model.transform(part).collect()}
+    assert len(got) == 4800 and [got[i] for i in want] == pytest.approx(list(want.values()), rel=1e-9)
+    roots = [n for n in trees.model_nodes(made, spark).collect() if n["id"] == 0]
+    assert len(roots) == 4 and all(n["rows"] == 4800 for n in roots)
+
+
+def test_bins_and_their_combinations():
+    rng = np.random.default_rng(2)
+    assert list(boosting.bin_cuts(np.array([3.0, 1.0, 1.0, 2.0]), 32)) == [1.5, 2.5] and not len(boosting.bin_cuts(np.ones(5), 32))
+    values = rng.normal(size=10_000)
+    cuts = boosting.bin_cuts(values, 32)
+    sizes = np.bincount(np.searchsorted(cuts, values))
+    assert len(cuts) == 31 and sizes.min() > 300 and sizes.max() < 330
+    bins = np.repeat(rng.integers(0, 32, (200, 30)).astype("int16"), 3, axis=0)[rng.permutation(600)]
+    first, kind = boosting._kinds(bins, [32] * 30)
+    assert len(first) == 200 and np.array_equal(bins[first][kind], bins)
