@@ -10,7 +10,7 @@ their bins, there are as many groups as rows and the learner does what it did on
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +57,23 @@ def _kinds(bins: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarr
     return first, kind
 
 
-def grouped(prepared: DataFrame, features: str, label: str, key: Sequence[str], rows: int, bins: int) -> tuple[DataFrame, list[np.ndarray]] | None:
+def drawn(rows: DataFrame, key: Sequence[str], total: int, wanted: int) -> DataFrame:
+    """About ``wanted`` of ``total`` rows by a hash of their key, the same on every run; at most twice as many if keys repeat."""
+    place = F.pmod(F.xxhash64(F.lit("bins"), *[quoted(k) for k in key]), F.lit(1 << 30))
+    return rows.where(place < F.lit(int(wanted / total * (1 << 30)))).orderBy(place).limit(2 * wanted)
+
+
+def grouped(
+    rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], features: str, label: str, key: Sequence[str], total: int, bins: int
+) -> tuple[DataFrame, list[np.ndarray]] | None:
     """(groups, cuts): per combination of bins (features, label, weight, bins), the features being numbers of bins.
 
-    Cuts come from a sample by a hash of the key, the same on every run; None if the key does not tell rows apart, so that there is none.
+    ``prepare`` adds the features and the label to rows.  Cuts come from a sample; None if the key does not tell rows
+    apart, so that there is none.
     """
     wanted = max(SAMPLE, bins * bins)
     x = vector_to_array(features).alias("x")
-    drawn = F.pmod(F.xxhash64(F.lit("bins"), *[quoted(k) for k in key]), F.lit(1 << 30))
-    sample = prepared.where(drawn < F.lit(int(wanted / rows * (1 << 30)))).orderBy(drawn).limit(2 * wanted).select(x).collect()
+    sample = prepare(drawn(rows, key, total, wanted)).select(x).collect()
     if not wanted < 2 * len(sample) < 4 * wanted:
         return None
     cuts = [bin_cuts(column, bins) for column in np.array([r["x"] for r in sample], float).T]
@@ -91,7 +99,7 @@ def grouped(prepared: DataFrame, features: str, label: str, key: Sequence[str],
         if cells:
             yield counted(held)
 
-    parts = prepared.select(x, quoted(label).alias("y")).mapInArrow(count, f"{BINS} array<smallint>, n bigint, total double")
+    parts = prepare(rows).select(x, quoted(label).alias("y")).mapInArrow(count, f"{BINS} array<smallint>, n bigint, total double")
     groups = cut_lineage(parts.groupBy(BINS).agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
     vector = array_to_vector(F.col(BINS).cast("array<double>"))
     return groups.select(vector.alias(features), (F.col("total") / F.col("n")).alias(label), F.col("n").cast("double").alias(WEIGHT), BINS), cuts

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -254,31 +254,38 @@ def bounded_parts(prepared: DataFrame, columns: Sequence[str], key: Sequence[str
     return dealt.repartition(parts, "_at").sortWithinPartitions("_at").drop("_at")
 
 
-def _fit(estimator: Estimator, prepared: DataFrame, columns: Sequence[str], key: Sequence[str], preparation: Preparation) -> tuple[Model, float]:
+def _fit(
+    estimator: Estimator, rows: DataFrame, columns: Sequence[str], key: Sequence[str], preparation: Preparation,
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> tuple[Model, float]:
+    """The estimator fitted on ``columns`` of the prepared rows, and the seconds it took."""
     start = time.time()
     width = len(preparation.names)
     if isinstance(estimator, (LinearRegression, NaiveBayes)):  # these read the rows once and keep none
-        return estimator.fit(prepared), time.time() - start
-    sizes = _part_rows(prepared)
+        return estimator.fit(prepare(rows)), time.time() - start
+    sizes = _part_rows(rows)
     if isinstance(estimator, GBTRegressor) and sizes[0] > boosting.GROUPED_ROWS:
-        made = boosting.grouped(prepared, FEATURES, "_label", key, sizes[0], estimator.getMaxBins())
+        made = boosting.grouped(rows, prepare, FEATURES, "_label", key, sizes[0], estimator.getMaxBins())
         if made is not None:
             groups, cuts = made
             model = estimator.setWeightCol(boosting.WEIGHT).fit(bounded_parts(groups, [FEATURES, "_label", boosting.WEIGHT], [boosting.BINS], width))
-            return boosting.with_cuts(model, cuts, prepared), time.time() - start
-    model = estimator.fit(bounded_parts(prepared, columns, key, width, sizes))
+            return boosting.with_cuts(model, cuts, rows), time.time() - start
+    model = estimator.fit(bounded_parts(prepare(rows), columns, key, width, sizes))
     return model, time.time() - start
 
 
 def _regress(rows, target, name, hyper, preparation, left_out, key, test_fraction, seed) -> Trained:
-    prepared = preparation.pipeline.transform(rows).withColumn("_label", double(target))
-    parted = split(prepared, key, test_fraction, seed)
+    def prepare(part: DataFrame) -> DataFrame:
+        return preparation.pipeline.transform(part).withColumn("_label", double(target))
+
+    # only the rows of a part are prepared for it: Spark moves no filter below an assembled vector
+    parted = split(rows, key, test_fraction, seed)
     part = parted.where(~F.col("is_test"))
     redundant = any(n.startswith("cat__") for n in preparation.names)
-    estimator = _regressor(name, hyper, seed, part, redundant)
+    estimator = _regressor(name, hyper, seed, prepare(part), redundant)
     _no_leftovers(name, hyper)
-    model, seconds = _fit(estimator, part, [FEATURES, "_label"], key, preparation)
-    scored = model.transform(parted.where("is_test")).select(
+    model, seconds = _fit(estimator, part, [FEATURES, "_label"], key, preparation, prepare)
+    scored = model.transform(prepare(parted.where("is_test"))).select(
         *[quoted(k) for k in key], F.col("_label").alias("actual"), F.col("_prediction").alias("predicted")
     )
     metrics = regression_metrics(scored, "actual", "predicted").first().asDict()

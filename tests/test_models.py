@@ -313,7 +313,7 @@ def test_boosting_takes_groups_of_rows(spark, monkeypatch):
     prepared = made.preparation.pipeline.transform(table).withColumn("_label", F.col("y"))
     part = sampling.split(prepared, ["id"], 0.2, 42).where("NOT is_test")
     monkeypatch.setattr(boosting, "SAMPLE", 500)
-    groups, cuts = boosting.grouped(part, "_features", "_label", ["id"], 4800, 32)
+    groups, cuts = boosting.grouped(part, lambda rows: rows, "_features", "_label", ["id"], 4800, 32)
     rows = part.select("id", "_label", vector_to_array("_features").alias("x")).collect()
     binned = [(r.id, r._label, Vectors.dense([float(np.sum(c < v)) for c, v in zip(cuts, r.x)])) for r in rows]
     assert groups.count() == len({tuple(b[2]) for b in binned}) and groups.agg(F.sum("_weight")).first()[0] == 4800
