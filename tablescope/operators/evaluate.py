@@ -133,8 +133,20 @@ def _long(points: DataFrame, label: str, features: str) -> DataFrame:
     )
 
 
+NARROW = 16
+"""Coordinates averaged side by side; longer vectors, or of several lengths, go through one row per coordinate."""
+
+
 def centroids(points: DataFrame, label: str, features: str) -> DataFrame:
     """(label, n, centre): mean vector per label."""
+    size = F.size(quoted(features))
+    ends = points.where(size > 0).agg(F.min(size), F.max(size)).first()
+    if ends[0] is not None and ends[0] == ends[1] <= NARROW:
+        x = [F.get(quoted(features), F.lit(k)).cast("double") for k in range(ends[0])]
+        each = [f(v).alias(f"{tag}{k}") for k, v in enumerate(x) for tag, f in (("m", F.avg), ("n", F.count))]
+        means = points.where(size > 0).groupBy(quoted(label).alias("label")).agg(*each)
+        n = F.array_max(F.array(*[f"n{k}" for k in range(len(x))]))
+        return means.select("label", n.alias("n"), F.array(*[f"m{k}" for k in range(len(x))]).alias("centre"))
     means = _long(points, label, features).groupBy("label", "dim").agg(F.avg("x").alias("m"), F.count("x").alias("n"))
     return means.groupBy("label").agg(
         F.max("n").alias("n"),

@@ -284,6 +284,18 @@ def test_worst_ratios_of_clusters_at_few_places(spark, monkeypatch):
     assert len(dealt) == 3 and all(t.groupBy(*keys).count().agg({"count": "max"}).first()[0] <= 40 for t, keys in dealt)
 
 
+@pytest.mark.parametrize("odd", [[], [("a", [1.0]), ("b", [4.0, 5.0, 6.0])]])
+def test_centroids_side_by_side_and_by_rows(spark, monkeypatch, odd):
+    rows = [("a", [1.0, 2.0]), ("a", [3.0, None]), ("b", [None, 5.0]), (None, [7.0, 8.0]), ("c", None), ("c", []), ("d", [None, None]), *odd]
+    df = spark.createDataFrame(rows, "k string, v array<double>")
+    made = evaluate.centroids(df, "k", "v")
+    assert ("posexplode" in made._jdf.queryExecution().toString()) == bool(odd)  # rows of coordinates only where lengths differ
+    got = sorted(map(str, made.collect()))
+    monkeypatch.setattr(evaluate, "NARROW", 0, raising=False)
+    assert got == sorted(map(str, evaluate.centroids(df, "k", "v").collect()))
+    assert evaluate.centroids(df.where("k = 'c'"), "k", "v").count() == 0
+
+
 def test_mentions_both_ways(spark):
     words = ["The Random Forest wins", "ridge, RIDGE", "x", "a forest", None, "", "gradient boosted trees and a random forest", "customer#000017 met customer#000018"]
     messages = spark.createDataFrame([*enumerate(words), (None, "Ridge"), (2, "random  forest"), (2, "a ridge")], "msg int, text string")
